@@ -167,7 +167,8 @@ FRAGMENTS["eng"] = """select t.series_id, t.timestamp as target_timestamp, temp_
     coalesce(q.holiday_freq, 0.0) as holiday_freq,
     (epoch_us(t.timestamp) - epoch_us(origin))::double / 1e6 / 31536000.0 as trend_idx, slope, intercept
     from dtest t join dstate s on s.series_id = t.series_id join dorigin o on o.series_id = t.series_id
-    left join dfreq q on q.series_id = t.series_id and q.holiday_name = t.holiday_name"""
+    left join hol h on h.holiday_date = cast(t.timestamp_central as date)
+    left join dfreq q on q.series_id = t.series_id and q.holiday_name = h.holiday_name"""
 
 _ORDER = list(FRAGMENTS)
 _USES: dict[str, list[str]] = {}

@@ -1,0 +1,290 @@
+"""Queries over folds, fitted statistics, forecasts, ensembles and models."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loadweave.catalog.ctes import sql
+from loadweave.catalog.registry import query, rounded
+from loadweave.catalog.tables import FOLDS, daily
+from loadweave.config import DAILY, FEATURES, FEATURES_V3, TARGET
+from loadweave.operators import ensemble, features as feat, folds, forecast
+from loadweave.plans import experiment as lab
+from loadweave.session import materialise, scratch_path
+
+KEYS = list(DAILY.keys)
+ON = [*KEYS, "fold_id"]
+MODELS = ["constant", "persistence", "trend"]
+FLAGS = ["is_extreme_heat_event", "is_extreme_cold_event", "is_holiday_x_extreme", "is_high_precip_event"]
+
+
+def train_rows(spark, sf) -> DataFrame:
+    return daily(spark, sf).train
+
+
+def naive_and_trend(train: DataFrame) -> DataFrame:
+    return forecast.naive_baselines(train, FOLDS, DAILY).unionByName(forecast.trend_oof(train, FOLDS, DAILY))
+
+
+@query("fold_sizes", sql(
+    "select fold_id, 'train' as role, count(*) as n_rows, min(timestamp) as first_ts, max(timestamp) as last_ts from ftrain group by 1 "
+    "union all select fold_id, 'val', count(*), min(timestamp), max(timestamp) from fval group by 1", "ftrain", "fval", "hol"))
+def fold_sizes(spark, sf):
+    return folds.fold_sizes(train_rows(spark, sf), FOLDS)
+
+
+@query("fold_roles", sql(
+    "select series_id, timestamp, fold_id, 'train' as role from ftrain union all "
+    "select series_id, timestamp, fold_id, 'val' from fval", "ftrain", "fval", "hol"))
+def fold_roles(spark, sf):
+    return folds.fold_roles(train_rows(spark, sf).select("series_id", "timestamp"), FOLDS)
+
+
+@query("fold_thresholds", sql(
+    "select series_id, fold_id, round(heat, 6) as heat, round(cold, 6) as cold, round(precip, 6) as precip from fthr",
+    "fthr", "hol"))
+def fold_thresholds(spark, sf):
+    fits = folds.fit_by_fold(train_rows(spark, sf), FOLDS, KEYS, feat.threshold_stats())
+    return rounded(fits, 6, "heat", "cold", "precip")
+
+
+@query("extreme_flags", sql(
+    "select v.series_id, v.timestamp, v.fold_id, coalesce(cast(tmax > heat as int), 0) as is_extreme_heat_event, "
+    "coalesce(cast(tmin < cold as int), 0) as is_extreme_cold_event, is_holiday * greatest(coalesce(cast(tmax > heat as int), 0), "
+    "coalesce(cast(tmin < cold as int), 0)) as is_holiday_x_extreme, coalesce(cast(precip_mm > precip as int), 0) as is_high_precip_event "
+    "from fval v join fthr t on t.series_id = v.series_id and t.fold_id = v.fold_id", "fval", "fthr", "hol"))
+def extreme_flags(spark, sf):
+    train = train_rows(spark, sf)
+    val = folds.fold_roles(train, FOLDS, roles=("val",))
+    out = feat.apply_fold_features(val, train, FOLDS, KEYS, [feat.EXTREME_EVENTS])
+    return out.select("series_id", "timestamp", "fold_id", *FLAGS)
+
+
+_FREQ = ("fq as (select series_id, fold_id, holiday_name, count(*)::double / sum(count(*)) over (partition by series_id, fold_id) "
+         "as holiday_freq from ftrain where holiday_name is not null group by 1, 2, 3) ")
+
+
+@query("holiday_freq_map", sql(
+    _FREQ + "select series_id, fold_id, holiday_name, round(holiday_freq, 9) as holiday_freq from fq", "ftrain", "hol"
+).replace(") fq as", "), fq as"))
+def holiday_freq_map(spark, sf):
+    return rounded(feat.fit_holiday_freq_by_fold(train_rows(spark, sf), FOLDS, KEYS), 9, "holiday_freq")
+
+
+@query("holiday_freq_feature", sql(
+    _FREQ + "select v.series_id, timestamp, v.fold_id, round(coalesce(holiday_freq, 0.0), 9) as holiday_freq from fval v "
+    "left join fq on fq.series_id = v.series_id and fq.fold_id = v.fold_id and fq.holiday_name = v.holiday_name", "ftrain", "fval", "hol"
+).replace(") fq as", "), fq as"))
+def holiday_freq_feature(spark, sf):
+    train = train_rows(spark, sf)
+    val = folds.fold_roles(train, FOLDS, roles=("val",))
+    out = feat.apply_fold_features(val, train, FOLDS, KEYS, [feat.HOLIDAY_FREQ])
+    return rounded(out.select("series_id", "timestamp", "fold_id", "holiday_freq"), 9, "holiday_freq")
+
+
+SCALED = ["temp_c", "humidity_pct", "load_lag_24", "load_lag_168", "dayofweek"]
+_STATS = "st as (select series_id, fold_id, " + ", ".join(
+    f"avg({c}) as mean_{c}, stddev_pop({c}) as std_{c}" for c in SCALED) + " from ftrain group by 1, 2) "
+
+
+@query("fold_scaler_stats", sql(
+    _STATS + "select series_id, fold_id, " + ", ".join(f"round(mean_{c}, 4) as mean_{c}, round(std_{c}, 4) as std_{c}" for c in SCALED)
+    + " from st", "ftrain", "hol").replace(") st as", "), st as"))
+def fold_scaler_stats(spark, sf):
+    fits = folds.fit_by_fold(train_rows(spark, sf), FOLDS, KEYS, forecast.scaler_stats(SCALED))
+    return rounded(fits, 4, *[f"{s}_{c}" for c in SCALED for s in ("mean", "std")])
+
+
+@query("scaled_features", sql(
+    _STATS + "select v.series_id, timestamp, v.fold_id, " + ", ".join(
+        f"round(({c} - mean_{c}) / case when std_{c} = 0 then 1 else std_{c} end, 6) as {c}" for c in SCALED)
+    + " from fval v join st on st.series_id = v.series_id and st.fold_id = v.fold_id", "ftrain", "fval", "hol").replace(") st as", "), st as"))
+def scaled_features(spark, sf):
+    train = train_rows(spark, sf)
+    fits = folds.fit_by_fold(train, FOLDS, KEYS, forecast.scaler_stats(SCALED))
+    val = folds.fold_roles(train, FOLDS, roles=("val",)).join(fits, ON)
+    return val.select("series_id", "timestamp", "fold_id", *[F.round(forecast.scaled(c), 6).alias(c) for c in SCALED])
+
+
+_OOF = "select series_id, timestamp, model, fold_id, y_true, round(y_pred, 4) as y_pred from oof"
+
+
+@query("naive_baselines_oof", sql(_OOF + " where model <> 'trend'", "oof", "hol"))
+def naive_baselines_oof(spark, sf):
+    return rounded(forecast.naive_baselines(train_rows(spark, sf), FOLDS, DAILY), 4, "y_pred")
+
+
+@query("trend_fit", sql(
+    "select series_id, fold_id, round(slope, 3) as slope, round(intercept, 3) as intercept from ftrend", "ftrend", "hol"))
+def trend_fit(spark, sf):
+    return rounded(forecast.fit_trend_by_fold(train_rows(spark, sf), FOLDS, DAILY), 3, "slope", "intercept")
+
+
+@query("trend_oof", sql(_OOF + " where model = 'trend'", "oof", "hol"))
+def trend_oof(spark, sf):
+    return rounded(forecast.trend_oof(train_rows(spark, sf), FOLDS, DAILY), 4, "y_pred")
+
+
+_METRICS = ("count(*) as n_rows, round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 4) as rmse, "
+            "round(avg(abs(y_true - y_pred) / greatest(abs(y_true), 2.220446049250313e-16)) * 100, 6) as mape")
+
+
+@query("baseline_metrics", sql(f"select model, fold_id, {_METRICS} from oof group by 1, 2", "oof", "hol"))
+def baseline_metrics(spark, sf):
+    out = forecast.oof_metrics(naive_and_trend(train_rows(spark, sf)), ("model", "fold_id"))
+    return rounded(rounded(out, 4, "rmse"), 6, "mape")
+
+
+_CUT = "cut as (select model, quantile_cont(y_true, 0.95) as cutoff from oof group by 1) "
+_PEAK = "round(avg(case when y_true >= cutoff then abs(y_true - y_pred) / greatest(abs(y_true), 2.220446049250313e-16) end) * 100, 6)"
+
+
+@query("model_comparison", sql(
+    _CUT + f"select oof.model, {_METRICS}, {_PEAK} as peak_mape, round(any_value(cutoff), 4) as cutoff from oof "
+    "join cut on cut.model = oof.model group by 1", "oof", "hol").replace(") cut as", "), cut as"))
+def model_comparison(spark, sf):
+    oof = materialise(naive_and_trend(train_rows(spark, sf)), "oof")
+    out = forecast.compare_models(oof).orderBy("peak_mape")
+    return rounded(rounded(out, 4, "rmse", "cutoff"), 6, "mape", "peak_mape")
+
+
+@query("best_model", sql(
+    "select arg_min(model, rmse) as best, round(min(rmse), 4) as rmse from (select model, "
+    "sqrt(avg((y_true - y_pred) * (y_true - y_pred))) as rmse from oof group by 1)", "oof", "hol"))
+def best_model(spark, sf):
+    out = forecast.oof_metrics(naive_and_trend(train_rows(spark, sf)))
+    return out.agg(F.min_by("model", "rmse").alias("best"), F.round(F.min("rmse"), 4).alias("rmse"))
+
+
+_PAIRS = ", ".join(f"('{a}', '{b}', corr(y_true - {a}, y_true - {b}))" for a in MODELS for b in MODELS)
+
+
+@query("residual_corr", sql(
+    "select model_a, model_b, round(c, 6) as corr, n_rows from (select count(*) as n_rows, " + ", ".join(
+        f"corr(y_true - {a}, y_true - {b}) as c{i}{j}" for i, a in enumerate(MODELS) for j, b in enumerate(MODELS))
+    + " from oofw), lateral (values " + ", ".join(
+        f"('{a}', '{b}', c{i}{j})" for i, a in enumerate(MODELS) for j, b in enumerate(MODELS)) + ") v(model_a, model_b, c)",
+    "oofw", "hol"))
+def residual_corr(spark, sf):
+    wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
+    return rounded(forecast.residual_correlation(wide, MODELS), 6, "corr")
+
+
+_TRI = [(i, j) for i in range(3) for j in range(i, 3)]
+
+
+@query("error_gram", sql(
+    "select model_a, model_b, round(s / n_rows, 2) as mean_ee, n_rows from (select count(*) as n_rows, " + ", ".join(
+        f"sum(({MODELS[i]} - y_true) * ({MODELS[j]} - y_true)) as s{i}{j}" for i, j in _TRI)
+    + " from oofw), lateral (values " + ", ".join(f"('{MODELS[i]}', '{MODELS[j]}', s{i}{j})" for i, j in _TRI)
+    + ") v(model_a, model_b, s)", "oofw", "hol"))
+def error_gram(spark, sf):
+    wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
+    out = ensemble.error_gram(wide, MODELS)
+    return out.select("model_a", "model_b", F.round(F.col("sum_ee") / F.col("n_rows"), 2).alias("mean_ee"), "n_rows")
+
+
+@query("ensemble_blend", sql(
+    "select series_id, timestamp, y_true, round(0.2 * constant + 0.3 * persistence + 0.5 * trend, 4) as y_pred from oofw", "oofw", "hol"))
+def ensemble_blend(spark, sf):
+    wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
+    mix = forecast.blend({"constant": 0.2, "persistence": 0.3, "trend": 0.5})
+    return wide.select("series_id", "timestamp", "y_true", F.round(mix, 4).alias("y_pred"))
+
+
+def _weights(spark, ens: ensemble.Ensemble) -> DataFrame:
+    rows = [(m, float(w), float(ens.solo[m]), float(ens.score)) for m, w in ens.weights.items()]
+    return spark.createDataFrame(rows, "model string, weight double, solo_rmse double, score double")
+
+
+@query("hill_climb_vote")
+def hill_climb_vote(spark, sf):
+    """Equal-vote ensemble found from the error matrix."""
+    wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
+    return _weights(spark, ensemble.vote_ensemble(ensemble.Gram.collect(wide, MODELS)))
+
+
+@query("hill_climb_alpha")
+def hill_climb_alpha(spark, sf):
+    """Share-by-share ensemble found from the error matrix, negative weights allowed."""
+    wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
+    gram = ensemble.Gram.collect(wide, MODELS)
+    return _weights(spark, ensemble.blend_ensemble(ensemble.gram_scorer(gram), MODELS, negative_weights=True))
+
+
+_KNN_X = " + ".join(
+    f"pow((v.{c} - mean_{c}) / case when std_{c} = 0 then 1 else std_{c} end - (t.{c} - mean_{c}) / case when std_{c} = 0 then 1 else std_{c} end, 2)"
+    for c in SCALED)
+
+
+@query("knn_residual", sql(
+    _STATS + ", pairs as (select v.series_id, v.fold_id, v.timestamp, v.actual_load_mw as y_true, v.trend_idx as tv, "
+    f"sqrt({_KNN_X}) as d, t.actual_load_mw - (slope * t.trend_idx + intercept) as res, slope, intercept, t.timestamp as tt "
+    "from fval v join ftrain t on t.series_id = v.series_id and t.fold_id = v.fold_id join st on st.series_id = v.series_id "
+    "and st.fold_id = v.fold_id join ftrend r on r.series_id = v.series_id and r.fold_id = v.fold_id), "
+    "near as (select * from pairs qualify row_number() over (partition by series_id, fold_id, timestamp order by d, tt) <= 15) "
+    "select series_id, timestamp, 'knn' as model, fold_id, y_true, round(any_value(slope * tv + intercept) + "
+    "coalesce(avg(res) filter (where d = 0), sum(res / d) filter (where d > 0) / sum(1 / d) filter (where d > 0)), 3) as y_pred "
+    "from near group by series_id, timestamp, fold_id, y_true", "ftrain", "fval", "ftrend", "hol").replace(") st as", "), st as"))
+def knn_residual(spark, sf):
+    """Trend plus the residuals of the 15 nearest train rows, for all folds at once."""
+    table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, SCALED, scale=True)
+    return rounded(lab.knn_cross_validate(table, "knn", 15), 3, "y_pred")
+
+
+# --- Spark ML: few and shallow trees, so that a run over all folds stays short -----------------
+SMALL = {"trees": 5, "depth": 3, "learning_rate": 0.3}
+
+
+@query("ml_linear_cv")
+def ml_linear_cv(spark, sf):
+    """Linear regression on scaled raw features, no trend."""
+    table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, FEATURES, scale=True, trend=False)
+    return lab.fold_rmse(lab.cross_validate(table, lab.linear_model, "linear"))
+
+
+@query("ml_gbt_cv")
+def ml_gbt_cv(spark, sf):
+    """Trend plus boosted trees with fold-fitted extreme-event flags."""
+    table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, FEATURES_V3, [feat.EXTREME_EVENTS])
+    return lab.fold_rmse(lab.cross_validate(table, lambda: lab.boosted_trees(SMALL), "gbt_a"))
+
+
+@query("model_sweep")
+def model_sweep(spark, sf):
+    """Several models over one stored fold table, each logged; compared by peak error."""
+    train = train_rows(spark, sf)
+    table = lab.prepare_folds(train, FOLDS, DAILY, FEATURES_V3, [feat.EXTREME_EVENTS])
+    scaled = lab.prepare_folds(train, FOLDS, DAILY, FEATURES_V3, [feat.EXTREME_EVENTS], scale=True)
+    builders = {name: (lambda name=name: lab.BUILDERS[name](SMALL)) for name in ("gbt_a", "linear")}
+    oof = lab.model_sweep(table, scaled, builders, runs=scratch_path(spark, "runs"))
+    return forecast.compare_models(oof).orderBy("peak_mape")
+
+
+SMALL_SPACE = {"trees": ("int", 3, 6), "depth": ("int", 2, 4), "learning_rate": ("log", 0.05, 0.4)}
+
+
+def _studies(table, families=("gbt_a", "gbt_c"), n=2):
+    return [lab.random_search(table, f, n, space=SMALL_SPACE) for f in families]
+
+
+@query("random_search")
+def random_search(spark, sf):
+    table = lab.prepare_folds(train_rows(spark, sf), FOLDS[:2], DAILY, FEATURES)
+    rows = [(s.family, i, p["trees"], p["depth"], p["learning_rate"], v)
+            for s in _studies(table, ("gbt_a",), 3) for i, (p, v) in enumerate(s.trials)]
+    return spark.createDataFrame(rows, "family string, trial int, trees double, depth double, learning_rate double, rmse double")
+
+
+@query("champion_select")
+def champion_select(spark, sf):
+    """Tune, pick the best family, decide on the holiday feature, fit on all train rows, score the test rows."""
+    d = daily(spark, sf, "full")
+    table = lab.prepare_folds(d.train, FOLDS[-2:], DAILY, FEATURES_V3, [feat.EXTREME_EVENTS])
+    best = lab.choose_champion(_studies(table, n=1), d.train, FOLDS[-2:], DAILY, FEATURES_V3)
+    _, scored = lab.final_fit(d.train, d.test, DAILY, FEATURES_V3, lambda: lab.BUILDERS[best.family](best.params), best.use_holiday)
+    return lab.test_metrics(scored).withColumns({
+        "family": F.lit(best.family), "cv_rmse": F.lit(best.oof_rmse), "use_holiday": F.lit(best.use_holiday)})

@@ -56,13 +56,13 @@ class Daily:
         return self.split.test
 
 
-def daily(spark: SparkSession, sf: str) -> Daily:
-    """Feature rows of all zones, split with a purge; holidays are named over the train span.
+def daily(spark: SparkSession, sf: str, calendar_scope: str = "train") -> Daily:
+    """Feature rows of all zones, split with a purge; holidays are named over the train span by default.
 
     The core and the feature table are stored, since every fit reads the latter several times.
     """
     core = materialise(daily_core(spark, sf), "core")
     base = feat.drop_warmup(feat.add_base_features(core, DAILY, **ROLL))
     train = chronological_split(base, test_start_local=TEST_START_LOCAL).train
-    named = materialise(feat.attach_holiday_names(base, train, DAILY), "features")
+    named = materialise(feat.attach_holiday_names(base, train, DAILY, calendar_scope=calendar_scope), "features")
     return Daily(core, chronological_split(named, test_start_local=TEST_START_LOCAL))
