@@ -39,6 +39,8 @@ FRAGMENTS: dict[str, str] = {
         sum({CENTS})::double / 100.0 as actual_load_mw from events group by 1, 2""",
     "ml": f"""select cast(user_id as varchar) as series_id, date_trunc('hour', ts) as timestamp,
         sum({CENTS})::double / 100.0 as actual_load_mw from events group by 1, 2""",
+    "sys": f"""select 'system' as series_id, date_trunc('hour', ts) as timestamp,
+        sum({CENTS})::double / 100.0 as actual_load_mw from events group by 1, 2""",
     "sw": f"""select date_trunc('hour', ts) as timestamp, {_CITY} as city,
         sum({CENTS})::double / count(*) / 200.0 - 5.0 as temp_c,
         sum(cast(json_extract_string(props, '$.k') as bigint))::double / count(*) as humidity_pct,

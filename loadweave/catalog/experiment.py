@@ -159,9 +159,6 @@ def best_model(spark, sf):
     return out.agg(F.min_by("model", "rmse").alias("best"), F.round(F.min("rmse"), 4).alias("rmse"))
 
 
-_PAIRS = ", ".join(f"('{a}', '{b}', corr(y_true - {a}, y_true - {b}))" for a in MODELS for b in MODELS)
-
-
 @query("residual_corr", sql(
     "select model_a, model_b, round(c, 6) as corr, n_rows from (select count(*) as n_rows, " + ", ".join(
         f"corr(y_true - {a}, y_true - {b}) as c{i}{j}" for i, a in enumerate(MODELS) for j, b in enumerate(MODELS))
@@ -177,14 +174,14 @@ _TRI = [(i, j) for i in range(3) for j in range(i, 3)]
 
 
 @query("error_gram", sql(
-    "select model_a, model_b, round(s / n_rows, 2) as mean_ee, n_rows from (select count(*) as n_rows, " + ", ".join(
+    "select model_a, model_b, round(s / n_rows / 1e6, 4) as mean_ee, n_rows from (select count(*) as n_rows, " + ", ".join(
         f"sum(({MODELS[i]} - y_true) * ({MODELS[j]} - y_true)) as s{i}{j}" for i, j in _TRI)
     + " from oofw), lateral (values " + ", ".join(f"('{MODELS[i]}', '{MODELS[j]}', s{i}{j})" for i, j in _TRI)
     + ") v(model_a, model_b, s)", "oofw", "hol"))
 def error_gram(spark, sf):
     wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
     out = ensemble.error_gram(wide, MODELS)
-    return out.select("model_a", "model_b", F.round(F.col("sum_ee") / F.col("n_rows"), 2).alias("mean_ee"), "n_rows")
+    return out.select("model_a", "model_b", F.round(F.col("sum_ee") / F.col("n_rows") / 1e6, 4).alias("mean_ee"), "n_rows")
 
 
 @query("ensemble_blend", sql(

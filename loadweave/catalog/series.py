@@ -66,6 +66,19 @@ def load_lags(spark, sf):
     return blocks.time_lags(adapters.hourly_load(spark, sf, "user_id"), HOURLY, feat.HOUR_LAGS).drop(TARGET)
 
 
+@query("load_features", sql(
+    "select l.series_id, l.timestamp, c as timestamp_central, l.actual_load_mw, cast(hour(c) as int) as hour, "
+    "cast(isodow(c) - 1 as int) as dayofweek, cast(month(c) as int) as month, cast(isodow(c) in (6, 7) as int) as is_weekend, "
+    "a.actual_load_mw as load_lag_24, b.actual_load_mw as load_lag_168 "
+    f"from (select *, {local('timestamp')} as c from sys) l join sys a on a.timestamp = l.timestamp - interval 24 hour "
+    "join sys b on b.timestamp = l.timestamp - interval 168 hour", "sys"))
+def load_features(spark, sf):
+    """System load: gaps made visible, calendar, lags, then rows without a full history dropped."""
+    filled = gaps.gap_fill(adapters.hourly_load(spark, sf, None), HOURLY, aligned=True)
+    lagged = blocks.time_lags(filled, HOURLY, feat.HOUR_LAGS)
+    return feat.calendar_features(lagged).dropna(subset=[TARGET, *feat.HOUR_LAGS])
+
+
 @query("lag_spot_check", sql(
     "select lag_name, count(*) as n_rows, count(v) as n_known, cast(0 as bigint) as n_mismatch from (select 'load_lag_24' as lag_name, a.actual_load_mw as v "
     "from ml j left join ml a on a.series_id = j.series_id and a.timestamp = j.timestamp - interval 24 hour union all "
@@ -78,18 +91,18 @@ def lag_spot_check(spark, sf):
 
 @query("rolling_std", sql(
     "select city, timestamp, round(case when count(temp_c) over w >= 24 then stddev_samp(temp_c) over w end, 4) as roll_std, "
-    "round(temp_c - lag(temp_c, 24) over (partition by city order by timestamp), 6) as temp_change from sw "
+    "round(temp_c - lag(temp_c, 24) over (partition by city order by timestamp), 10) as temp_change from sw "
     "window w as (partition by city order by timestamp rows between 71 preceding and current row)", "sw"))
 def rolling_std(spark, sf):
     """Frames counted in rows, over each station's readings with their holes."""
     out = blocks.on_rows(adapters.station_weather(spark, sf), CITY_SERIES, 71, {
         "roll_std": blocks.rolling_std("temp_c", 72, 24), "temp_change": blocks.change_from("temp_c", 24)})
-    return rounded(rounded(out.select("city", "timestamp", "roll_std", "temp_change"), 4, "roll_std"), 6, "temp_change")
+    return rounded(rounded(out.select("city", "timestamp", "roll_std", "temp_change"), 4, "roll_std"), 10, "temp_change")
 
 
 @query("rolling_std_clock", sql(
     "select city, timestamp, round(case when count(temp_c) over w >= 24 then stddev_samp(temp_c) over w end, 4) as roll_std, "
-    "round(temp_c - first(temp_c) over b, 6) as temp_change from sw window w as (partition by city order by timestamp "
+    "round(temp_c - first(temp_c) over b, 10) as temp_change from sw window w as (partition by city order by timestamp "
     "range between interval 71 hour preceding and current row), b as (partition by city order by timestamp "
     "range between interval 24 hour preceding and interval 24 hour preceding)", "sw"))
 def rolling_std_clock(spark, sf):
@@ -97,7 +110,7 @@ def rolling_std_clock(spark, sf):
     out = blocks.on_clock(adapters.station_weather(spark, sf), CITY_SERIES, 71, {
         "roll_std": blocks.rolling_std("temp_c", 72, 24, rows=False),
         "temp_change": blocks.change_from("temp_c", 24, rows=False)})
-    return rounded(rounded(out.select("city", "timestamp", "roll_std", "temp_change"), 4, "roll_std"), 6, "temp_change")
+    return rounded(rounded(out.select("city", "timestamp", "roll_std", "temp_change"), 4, "roll_std"), 10, "temp_change")
 
 
 @query("trend_idx", sql(
@@ -209,13 +222,13 @@ def target_mean_std(spark, sf):
     "byb as (select ed.feature, 'histogram' as mode, e0 as bin_lo, e1 as bin_hi, count(x) as n_rows, "
     "avg(y) filter (where x < hi) as mean_target from ed left join u on u.feature = ed.feature and x >= e0 "
     "and (x < e1 or (b = 9 and x <= e1)) group by ed.feature, e0, e1) "
-    "select feature, mode, round(bin_lo, 6) as bin_lo, round(bin_hi, 6) as bin_hi, n_rows, round(mean_target, 4) as mean_target, "
+    "select feature, mode, round(bin_lo, 6) as bin_lo, round(bin_hi, 6) as bin_hi, n_rows, round(mean_target, 6) as mean_target, "
     "k as n_unique, cast(0 as bigint) as n_null from (select * from byv union all select * from byb) join st using (feature)",
     "dtrain", "hol").replace(") u as", "), u as"))
 def feature_target_profile(spark, sf):
     d = daily(spark, sf)
     out = profile.feature_profile(d.train, ["temp_c", "humidity_pct", "tmax", "dayofweek"], TARGET, n_bins=10)
-    return rounded(rounded(out.drop("category"), 6, "bin_lo", "bin_hi"), 4, "mean_target")
+    return rounded(rounded(out.drop("category"), 6, "bin_lo", "bin_hi"), 6, "mean_target")
 
 
 @query("category_order", sql(

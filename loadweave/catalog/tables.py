@@ -62,7 +62,7 @@ def daily(spark: SparkSession, sf: str, calendar_scope: str = "train") -> Daily:
     The core and the feature table are stored, since every fit reads the latter several times.
     """
     core = materialise(daily_core(spark, sf), "core")
-    base = feat.drop_warmup(feat.add_base_features(core, DAILY, **ROLL))
+    base = materialise(feat.drop_warmup(feat.add_base_features(core, DAILY, **ROLL)), "features")
     train = chronological_split(base, test_start_local=TEST_START_LOCAL).train
-    named = materialise(feat.attach_holiday_names(base, train, DAILY, calendar_scope=calendar_scope), "features")
+    named = feat.attach_holiday_names(base, train, DAILY, calendar_scope=calendar_scope)
     return Daily(core, chronological_split(named, test_start_local=TEST_START_LOCAL))

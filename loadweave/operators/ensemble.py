@@ -41,6 +41,8 @@ class Gram:
     @classmethod
     def collect(cls, wide: DataFrame, models: Sequence[str]) -> Gram:
         rows = error_gram(wide, models).collect()
+        if not rows[0]["n_rows"]:
+            raise ValueError("no row is forecast by every model")
         cell = {}
         for r in rows:
             cell[r["model_a"], r["model_b"]] = cell[r["model_b"], r["model_a"]] = r["sum_ee"]

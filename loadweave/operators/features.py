@@ -17,7 +17,7 @@ from loadweave.functions.timefn import to_local, weekday_of, is_weekend, years_s
 from loadweave.operators.blocks import change_from, on_clock, on_rows, rolling_std, time_lags
 from loadweave.operators.folds import Fold, fit_by_fold
 from loadweave.operators.gaps import gap_fill
-from loadweave.operators.holidays import calendar_bounds, holiday_name, with_holiday_name
+from loadweave.operators.holidays import add_holiday_name, calendar_bounds, with_holiday_name
 
 HOUR_LAGS = {"load_lag_24": (TARGET, 24), "load_lag_168": (TARGET, 168)}
 DAY_LAGS = {"load_lag_24": (TARGET, 1), "load_lag_168": (TARGET, 7)}
@@ -52,11 +52,10 @@ def core_features(joined: DataFrame, layout: Layout, lags: Mapping[str, tuple[st
     lagged = calendar_features(time_lags(labelled, layout, lags).dropna(subset=[TARGET, *lags]))
     longest_day = 25 * 3600
     if max(n for _, n in lags.values()) * layout.step > longest_day:
-        name = holiday_name(F.to_date("timestamp_central"))
-        flagged = lagged.withColumn("is_holiday", name.isNotNull().cast("int"))
+        named = add_holiday_name(lagged, F.to_date("timestamp_central"), "_holiday")
     else:
         named = with_holiday_name(lagged, layout, calendar_bounds(joined, layout, zone), zone, "_holiday")
-        flagged = named.withColumn("is_holiday", F.col("_holiday").isNotNull().cast("int"))
+    flagged = named.withColumn("is_holiday", F.col("_holiday").isNotNull().cast("int"))
     return flagged.select(*layout.keys, *CORE_COLUMNS)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,42 +32,42 @@ FLOATING_DAYS = [
 ]
 
 
-def holiday_name(day: Column) -> Column:
-    """Name of the holiday observed on a date, else null.
+def _case_text() -> str:
+    """SQL ``case`` over ``_md`` (month * 100 + day), ``_wd`` (0 = Monday) and ``_day``.
 
     A fixed holiday on a Saturday is observed the Friday before, on a Sunday the Monday after.
     """
-    weekday = F.weekday(day)
-
-    def is_day(d: Column, month: int, dom: int) -> Column:
-        return (F.month(d) == month) & (F.dayofmonth(d) == dom)
-
-    name = F.lit(None).cast("string")
-    for month, weekday_no, first, label, since in FLOATING_DAYS:
-        hit = (F.month(day) == month) & (weekday == weekday_no) & F.dayofmonth(day).between(first, first + 6)
-        if since:
-            hit &= day >= F.lit(since).cast("date")
-        name = F.when(hit, F.lit(label)).otherwise(name)
-    for month, dom, label, since in FIXED_DAYS:
-        hit = (
-            (is_day(day, month, dom) & (weekday <= FRI))
-            | (is_day(F.date_add(day, 1), month, dom) & (weekday == FRI))
-            | (is_day(F.date_sub(day, 1), month, dom) & (weekday == MON))
-        )
-        if since:
-            hit &= day >= F.lit(since).cast("date")
-        name = F.when(hit, F.lit(label)).otherwise(name)
-    return name
-
-
-def federal_holidays(days: DataFrame, start: Column, end: Column) -> DataFrame:
+    def quoted(name: str) -> str:
+        return "'" + name.replace("'", "\\'") + "'"
+
+    branches = []
+    for month, dom, name, since in FIXED_DAYS:
+        day = date(2001, month, dom)
+        before, after = day - timedelta(days=1), day + timedelta(days=1)
+        hit = (f"((_wd <= {FRI} and _md = {month * 100 + dom})"
+               f" or (_wd = {FRI} and _md = {before.month * 100 + before.day})"
+               f" or (_wd = {MON} and _md = {after.month * 100 + after.day}))")
+        branches.append((hit, name, since))
+    for month, weekday, first, name, since in FLOATING_DAYS:
+        at = month * 100 + first
+        branches.append((f"(_wd = {weekday} and _md between {at} and {at + 6})", name, since))
+    whens = [
+        f"when {hit}{f' and _day >= date {since!r}' if since else ''} then {quoted(name)}"
+        for hit, name, since in branches]
+    return f"case {' '.join(whens)} end"
+
+
+def add_holiday_name(df: DataFrame, day: Column, out: str = "holiday_name") -> DataFrame:
+    """Name of the holiday observed on a date, else null."""
+    parts = df.withColumn("_day", day).withColumns({
+        "_md": F.month("_day") * 100 + F.dayofmonth("_day"), "_wd": F.weekday("_day")})
+    return parts.withColumn(out, F.expr(_case_text())).drop("_day", "_md", "_wd")
+
+
+def federal_holidays(spans: DataFrame, start: Column, end: Column) -> DataFrame:
     """Table of holidays between two dates of each input row (one row per range)."""
-    return (
-        days.select(F.explode(F.sequence(start.cast("date"), end.cast("date"))).alias("holiday_date"))
-        .distinct()
-        .withColumn("holiday_name", holiday_name(F.col("holiday_date")))
-        .where(F.col("holiday_name").isNotNull())
-    )
+    days = spans.select(F.explode(F.sequence(start.cast("date"), end.cast("date"))).alias("holiday_date")).distinct()
+    return add_holiday_name(days, F.col("holiday_date")).where(F.col("holiday_name").isNotNull())
 
 
 def federal_holidays_between(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -85,10 +87,10 @@ def with_holiday_name(df: DataFrame, layout: Layout, bounds: DataFrame, zone: st
     A series that starts partway through a holiday does not see that day, since its midnight came
     before the span began.
     """
-    day = F.to_date(to_local(F.col(layout.ts), zone))
-    midnight = day.cast("timestamp_ntz")
+    named = add_holiday_name(df, F.to_date(to_local(F.col(layout.ts), zone)), "_name")
+    midnight = F.to_date(to_local(F.col(layout.ts), zone)).cast("timestamp_ntz")
     return (
-        df.join(bounds, list(layout.keys), "left")
-        .withColumn(out, F.when(midnight.between(F.col("cal_start"), F.col("cal_end")), holiday_name(day)))
-        .drop("cal_start", "cal_end")
+        named.join(bounds, list(layout.keys), "left")
+        .withColumn(out, F.when(midnight.between(F.col("cal_start"), F.col("cal_end")), F.col("_name")))
+        .drop("cal_start", "cal_end", "_name")
     )

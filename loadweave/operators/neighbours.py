@@ -19,7 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS = 24
+from loadweave.session import materialise
+
+MAX_PIVOTS = 256
+ROWS_PER_CELL = 2_000
 PIECE = 20_000
 CHUNK = 256
 
@@ -124,22 +127,28 @@ def _search(train: DataFrame, visits: DataFrame, group: Sequence[str], k: int, p
             }))
         return pd.concat(found)[columns]
 
-    return query_parts.groupBy(*split).cogroup(train_parts.groupBy(*split)).applyInPandas(
+    # Fresh column ids: both sides stem from the same tables, which a cogroup by name cannot tell apart.
+    left, right = query_parts.toDF(*query_parts.columns), train_parts.toDF(*train_parts.columns)
+    return left.groupBy(*split).cogroup(right.groupBy(*split)).applyInPandas(
         best, "_qid string, _tid string, _d double, _y double")
 
 
 def nearest(train: DataFrame, queries: DataFrame, group: Sequence[str], features: Sequence[str], k: int,
-            train_id: str, query_id: str, label: str, pivots: int = PIVOTS, piece: int = PIECE) -> DataFrame:
+            train_id: str, query_id: str, label: str, pivots: int | None = None, piece: int = PIECE) -> DataFrame:
     """The k nearest train rows of each query within its group: ``(_qid, _tid, _d, _y, _rank)``.
 
-    Ids are text, unique within the frame for queries, unique within a group for train rows.
+    Ids are text, unique within the frame for queries, unique within a group for train rows. The
+    number of pivots follows the largest group. Steps that are read more than once are stored.
     """
     group = list(group)
     x = F.array(*[F.col(c).cast("double") for c in features]).alias("_x")
     train = train.select(*group, F.col(train_id).cast("string").alias("_tid"), x, F.col(label).alias("_y"))
     queries = queries.select(*group, F.col(query_id).cast("string").alias("_qid"), x)
+    if pivots is None:
+        largest = train.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+        pivots = max(1, min(MAX_PIVOTS, largest // ROWS_PER_CELL))
     centres = _pick_pivots(train, pivots)
-    placed = _home_cells(train, centres)
+    placed = materialise(_home_cells(train, centres), "placed")
     cells = (
         placed.groupBy(*group, "_cell")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_rmin"), F.max("_r").alias("_rmax"))
@@ -152,10 +161,14 @@ def nearest(train: DataFrame, queries: DataFrame, group: Sequence[str], features
         ranked = Window.partitionBy("_qid").orderBy("_d", "_tid")
         return df.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= k)
 
-    opening = top(_search(placed, _plan_visits(known, centres, k, first=True), group, k, piece)).drop("_rank")
+    first = materialise(_plan_visits(known, centres, k, first=True).drop("_cells"), "visits")
+    opening = top(_search(placed, first, group, k, piece))
+    if len(centres) == 1:
+        return opening
+    opening = materialise(opening.drop("_rank"), "opening")
     bounds = opening.groupBy("_qid").agg(F.max("_d").alias("_bound"))
-    rest = _plan_visits(known.join(bounds, "_qid"), centres, k, first=False)
-    return top(opening.unionByName(_search(placed, rest, group, k, piece)))
+    rest = _plan_visits(known.join(bounds, "_qid"), centres, k, first=False).drop("_cells")
+    return top(opening.unionByName(_search(placed, materialise(rest, "visits"), group, k, piece)))
 
 
 def weighted_vote(found: DataFrame) -> DataFrame:

@@ -145,4 +145,4 @@ def score_batch(raw: DataFrame, bundle: Bundle, layout: Layout) -> tuple[DataFra
 def batch_summary(responses: DataFrame, rejected: DataFrame) -> DataFrame:
     """How many rows of the batch succeeded and how many were refused."""
     marks = responses.select(F.lit(1).alias("ok")).unionByName(rejected.select(F.lit(0).alias("ok")))
-    return marks.agg(F.sum("ok").alias("n_scored"), F.count(F.lit(1)).alias("n_rows"))
+    return marks.agg(F.coalesce(F.sum("ok"), F.lit(0)).alias("n_scored"), F.count(F.lit(1)).alias("n_rows"))

@@ -26,11 +26,12 @@ def hour_of_event() -> Column:
     return F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
 
 
-def hourly_load(spark: SparkSession, sf_dir: str, series: str = "event_type") -> DataFrame:
-    """Hourly load per zone (``event_type``) or per meter (``user_id``)."""
+def hourly_load(spark: SparkSession, sf_dir: str, series: str | None = "event_type") -> DataFrame:
+    """Hourly load per zone (``event_type``), per meter (``user_id``) or of the whole system (``None``)."""
+    name = F.col(series).cast("string") if series else F.lit("system")
     return (
         table(spark, sf_dir, "events")
-        .groupBy(F.col(series).cast("string").alias("series_id"), hour_of_event().alias("timestamp"))
+        .groupBy(name.alias("series_id"), hour_of_event().alias("timestamp"))
         .agg((F.sum(cents("value")) / 100.0).alias(TARGET))
     )
 
