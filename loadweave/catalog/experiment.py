@@ -270,9 +270,9 @@ def _studies(table, families=("gbt_a", "gbt_c"), n=2):
 
 @query("random_search")
 def random_search(spark, sf):
-    table = lab.prepare_folds(train_rows(spark, sf), FOLDS[:2], DAILY, FEATURES)
+    table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, FEATURES)
     rows = [(s.family, i, p["trees"], p["depth"], p["learning_rate"], v)
-            for s in _studies(table, ("gbt_a",), 3) for i, (p, v) in enumerate(s.trials)]
+            for s in _studies(table, ("gbt_a",), 2) for i, (p, v) in enumerate(s.trials)]
     return spark.createDataFrame(rows, "family string, trial int, trees double, depth double, learning_rate double, rmse double")
 
 
@@ -280,8 +280,8 @@ def random_search(spark, sf):
 def champion_select(spark, sf):
     """Tune, pick the best family, decide on the holiday feature, fit on all train rows, score the test rows."""
     d = daily(spark, sf, "full")
-    table = lab.prepare_folds(d.train, FOLDS[-2:], DAILY, FEATURES_V3, [feat.EXTREME_EVENTS])
-    best = lab.choose_champion(_studies(table, n=1), d.train, FOLDS[-2:], DAILY, FEATURES_V3)
+    table = lab.prepare_folds(d.train, FOLDS, DAILY, FEATURES_V3, [feat.EXTREME_EVENTS])
+    best = lab.choose_champion(_studies(table, n=1), d.train, FOLDS, DAILY, FEATURES_V3)
     _, scored = lab.final_fit(d.train, d.test, DAILY, FEATURES_V3, lambda: lab.BUILDERS[best.family](best.params), best.use_holiday)
     return lab.test_metrics(scored).withColumns({
         "family": F.lit(best.family), "cv_rmse": F.lit(best.oof_rmse), "use_holiday": F.lit(best.use_holiday)})

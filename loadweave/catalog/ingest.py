@@ -10,6 +10,7 @@ from loadweave.catalog.tables import hourly_joined
 from loadweave.config import CITIES, GATE_COLUMNS, HOURLY, JOINED_VALUES, TARGET
 from loadweave.functions.timefn import gate_text
 from loadweave.operators import align, holidays, profile, quality, weather
+from loadweave.session import materialise
 from loadweave.sources import adapters, readers
 
 WEATHER_SQL = "temp_c, humidity_pct, precip_mm"
@@ -261,5 +262,5 @@ def seeded_sample(spark, sf):
     "round(max(v), 6) as max from (unpivot (select actual_load_mw, temp_c, humidity_pct, tmax from hj) "
     "on columns(*) into name column_name value v) group by 1", "hj"))
 def describe_joined(spark, sf):
-    out = profile.describe(hourly_joined(spark, sf), [TARGET, "temp_c", "humidity_pct", "tmax"])
+    out = profile.describe(materialise(hourly_joined(spark, sf), "joined"), [TARGET, "temp_c", "humidity_pct", "tmax"])
     return rounded(out, 6, "mean", "std", "min", "p25", "p50", "p75", "max")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from loadweave.catalog.ctes import local, sql
@@ -10,18 +12,25 @@ from loadweave.catalog.tables import daily, daily_base, daily_core, hourly_core
 from loadweave.config import CORE_COLUMNS, DAILY, HOURLY, TARGET, Layout
 from loadweave.functions.timefn import to_local
 from loadweave.operators import blocks, features as feat, gaps, profile
+from loadweave.operators.folds import split_at
+from loadweave.session import materialise
 from loadweave.sources import adapters
 
 CITY_SERIES = Layout(keys=("city",))
 
 
+def stored_load(spark, sf, series="user_id"):
+    """Hourly load as a stored table, so that the events are scanned once however often it is read."""
+    return materialise(adapters.hourly_load(spark, sf, series), "load")
+
+
 @query("hourly_gap_fill", sql(
     f"select b.series_id, b.timestamp, {local('b.timestamp')} as timestamp_central, actual_load_mw from "
     "(select series_id, unnest(generate_series(min(timestamp), max(timestamp), interval 1 hour)) as timestamp from ml group by 1) b "
     "left join ml on ml.series_id = b.series_id and ml.timestamp = b.timestamp", "ml"))
 def hourly_gap_fill(spark, sf):
     """Every meter's hours from its first to its last, absent ones with nulls."""
-    return gaps.gap_fill(adapters.hourly_load(spark, sf, "user_id"), HOURLY, aligned=True)
+    return gaps.gap_fill(stored_load(spark, sf), HOURLY, aligned=True)
 
 
 @query("gap_report", sql(
@@ -29,7 +38,7 @@ def hourly_gap_fill(spark, sf):
     "cast(epoch(timestamp) - epoch(prev_ts) as bigint) as delta_seconds from (select series_id, timestamp, "
     "lag(timestamp) over (partition by series_id order by timestamp) as prev_ts from ml)) where delta_seconds <> 3600", "ml"))
 def gap_report(spark, sf):
-    return gaps.gap_report(adapters.hourly_load(spark, sf, "user_id"), HOURLY)
+    return gaps.gap_report(stored_load(spark, sf), HOURLY)
 
 
 @query("duplicate_report", """
@@ -55,7 +64,7 @@ def calendar_central(spark, sf):
     f"max({local('timestamp')}) as z from dl group by 1) s on s.series_id = d.series_id left join hol h on "
     f"h.holiday_date = cast({local('d.timestamp')} as date) and cast(h.holiday_date as timestamp) between s.a and s.z", "dl", "hol"))
 def holiday_flag(spark, sf):
-    return feat.holiday_flag(adapters.daily_load(spark, sf).drop(TARGET), DAILY)
+    return feat.holiday_flag(materialise(adapters.daily_load(spark, sf).drop(TARGET), "load"), DAILY)
 
 
 @query("load_lags", sql(
@@ -74,7 +83,7 @@ def load_lags(spark, sf):
     "join sys b on b.timestamp = l.timestamp - interval 168 hour", "sys"))
 def load_features(spark, sf):
     """System load: gaps made visible, calendar, lags, then rows without a full history dropped."""
-    filled = gaps.gap_fill(adapters.hourly_load(spark, sf, None), HOURLY, aligned=True)
+    filled = gaps.gap_fill(stored_load(spark, sf, None), HOURLY, aligned=True)
     lagged = blocks.time_lags(filled, HOURLY, feat.HOUR_LAGS)
     return feat.calendar_features(lagged).dropna(subset=[TARGET, *feat.HOUR_LAGS])
 
@@ -85,7 +94,7 @@ def load_features(spark, sf):
     "select 'load_lag_168', a.actual_load_mw from ml j left join ml a on a.series_id = j.series_id "
     "and a.timestamp = j.timestamp - interval 168 hour) group by 1", "ml"))
 def lag_spot_check(spark, sf):
-    lagged = blocks.time_lags(adapters.hourly_load(spark, sf, "user_id"), HOURLY, feat.HOUR_LAGS)
+    lagged = materialise(blocks.time_lags(adapters.hourly_load(spark, sf, "user_id"), HOURLY, feat.HOUR_LAGS), "lagged")
     return gaps.lag_spot_check(lagged, HOURLY, feat.HOUR_LAGS)
 
 
@@ -95,7 +104,7 @@ def lag_spot_check(spark, sf):
     "window w as (partition by city order by timestamp rows between 71 preceding and current row)", "sw"))
 def rolling_std(spark, sf):
     """Frames counted in rows, over each station's readings with their holes."""
-    out = blocks.on_rows(adapters.station_weather(spark, sf), CITY_SERIES, 71, {
+    out = blocks.on_rows(materialise(adapters.station_weather(spark, sf), "readings"), CITY_SERIES, 71, {
         "roll_std": blocks.rolling_std("temp_c", 72, 24), "temp_change": blocks.change_from("temp_c", 24)})
     return rounded(rounded(out.select("city", "timestamp", "roll_std", "temp_change"), 4, "roll_std"), 10, "temp_change")
 
@@ -117,7 +126,7 @@ def rolling_std_clock(spark, sf):
     "select series_id, timestamp, round((epoch_us(timestamp) - min(epoch_us(timestamp)) over (partition by series_id))::double "
     "/ 1e6 / 31536000.0, 9) as trend_idx from ml", "ml"))
 def trend_idx(spark, sf):
-    out = feat.with_trend_idx(adapters.hourly_load(spark, sf, "user_id"), HOURLY).drop(TARGET)
+    out = feat.with_trend_idx(stored_load(spark, sf), HOURLY).drop(TARGET)
     return rounded(out, 9, "trend_idx")
 
 
@@ -135,7 +144,7 @@ def core_features(spark, sf):
 def core_features_filled(spark, sf):
     """The same steps with gap rows inserted first, on daily data."""
     from loadweave.catalog.tables import daily_joined
-    return rounded(feat.core_features_filled(daily_joined(spark, sf), DAILY, feat.DAY_LAGS), 6, *_W)
+    return rounded(feat.core_features_filled(materialise(daily_joined(spark, sf), "joined"), DAILY, feat.DAY_LAGS), 6, *_W)
 
 
 @query("daily_core_features", sql(f"select {_CORE} from djcore", "djcore", "hol"))
@@ -178,6 +187,16 @@ def purged_split_counts(spark, sf):
                                       F.max("timestamp").alias("last_ts"))
 
 
+@query("unpurged_split_counts", sql(
+    "select 'train' as part, count(*) as n_rows from dl where timestamp <= timestamp '2000-12-31' union all "
+    "select 'test', count(*) from dl where timestamp >= timestamp '2001-01-01'", "dl"))
+def unpurged_split_counts(spark, sf):
+    """The exploratory split: explicit bounds, no purge."""
+    split = split_at(adapters.daily_load(spark, sf), datetime(2000, 12, 31), datetime(2001, 1, 1))
+    marked = split.train.select(F.lit("train").alias("part")).unionByName(split.test.select(F.lit("test").alias("part")))
+    return marked.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 # --- Exploration ------------------------------------------------------------------------------
 
 @query("describe_core", sql(
@@ -186,7 +205,7 @@ def purged_split_counts(spark, sf):
     "round(max(v), 4) as max from (unpivot (select actual_load_mw, temp_c, humidity_pct, precip_mm, tmax, tmin, tavg, load_lag_24, "
     "dayofweek::double as dayofweek from djcore) on columns(*) into name column_name value v) group by 1", "djcore", "hol"))
 def describe_core(spark, sf):
-    out = profile.describe(daily_core(spark, sf), [
+    out = profile.describe(materialise(daily_core(spark, sf), "core"), [
         TARGET, "temp_c", "humidity_pct", "precip_mm", "tmax", "tmin", "tavg", "load_lag_24", "dayofweek"])
     return rounded(out, 4, "mean", "std", "min", "p25", "p50", "p75", "max")
 
@@ -200,7 +219,7 @@ _EDGES = "select feature, lo, hi, b, lo + b * ((hi - lo) / {n}) as e0, case when
     "(select min(actual_load_mw) as lo, max(actual_load_mw) as hi, avg(actual_load_mw) as mean, stddev_samp(actual_load_mw) as std from djcore), range(100) t(b)) "
     "left join (select actual_load_mw as v from djcore) on v >= e0 and (v < e1 or (b = 99 and v <= e1)) group by all", "djcore", "hol"))
 def target_histogram(spark, sf):
-    out = profile.target_histogram(daily_core(spark, sf), TARGET, 100)
+    out = profile.target_histogram(materialise(daily_core(spark, sf), "core"), TARGET, 100)
     return rounded(rounded(out, 6, "bin_lo", "bin_hi"), 4, "mean", "std")
 
 
@@ -232,8 +251,8 @@ def feature_target_profile(spark, sf):
 
 
 @query("category_order", sql(
-    "select category, n_rows, round(mean_target, 4) as mean_target, cast(row_number() over (order by case category when '5-LOW' then 1 when '1-URGENT' then 2 "
-    "else 3 end, n_rows desc, category) as int) as position from (select series_id as category, count(*) as n_rows, "
+    "select category, n_rows, round(mean_target, 4) as mean_target, case category when '5-LOW' then 1 when '1-URGENT' then 2 "
+    "else 3 end as preferred from (select series_id as category, count(*) as n_rows, "
     "avg(actual_load_mw) as mean_target from djcore group by 1)", "djcore", "hol"))
 def category_order(spark, sf):
     """Zones profiled as a text feature, two of them in a given order and the rest by count."""

@@ -17,6 +17,10 @@ class Layout:
     ts: str = "timestamp"
     step: int = 3600  # seconds between consecutive rows
 
+    def __post_init__(self) -> None:
+        if not self.keys:
+            raise ValueError("a layout needs at least one key column; give a lone series a constant one")
+
     @property
     def order(self) -> list[str]:
         return [*self.keys, self.ts]

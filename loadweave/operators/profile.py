@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,16 +31,13 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def target_histogram(df: DataFrame, column: str, n_bins: int = 100) -> DataFrame:
     """Equal-width bins, the last one closed, with the mean and deviation of the column on each row."""
-    # Pre-aggregated by value, so a value shared by many rows is one row from here on.
-    known = df.where(F.col(column).isNotNull())
-    stats = known.groupBy(F.lit(column).alias("feature")).agg(
-        F.min(column).alias("lo"), F.max(column).alias("hi"), F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("std"))
-    values = known.groupBy(F.lit(column).alias("feature"), F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    placed = values.join(F.broadcast(stats), "feature")  # a single row of statistics
+    known = df.where(F.col(column).isNotNull()).select(F.lit(column).alias("feature"), F.col(column).alias("v"))
+    stats = known.groupBy("feature").agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    placed = known.join(F.broadcast(stats), "feature")  # a single row of statistics
     index = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(equal_width_bin(F.col("v"), F.col("lo"), F.col("hi"), n_bins), F.lit(n_bins - 1)))
-    counts = placed.select(index.cast("int").alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("n_rows"))
+    counts = placed.groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"))
     bins = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / n_bins
     return bins.join(counts, "bin", "left").select(
@@ -99,16 +96,17 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], target: str, n_bins:
 
 
 def category_profile(df: DataFrame, column: str, target: str, order: Sequence[str] | None = None) -> DataFrame:
-    """Count and mean target per category, ranked by the given order, then by count; else by name."""
+    """Count and mean target per category, sorted by the given order, then by count; else by name.
+
+    ``preferred`` is the place in the given order, or one past its end.
+    """
     groups = df.where(F.col(column).isNotNull() & F.col(target).isNotNull()).groupBy(
         F.col(column).alias("category")).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(target).alias("mean_target"))
-    if order:
-        place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("category"))
-        ranking = [F.when(place > 0, place).otherwise(F.lit(len(order) + 1)), F.col("n_rows").desc(), F.col("category")]
-    else:
-        ranking = [F.col("category")]
-    # The window holds one row per category, after aggregation.
-    return groups.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ranking)))
+    if not order:
+        return groups.withColumn("preferred", F.lit(1)).orderBy("category")
+    place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("category"))
+    ranked = groups.withColumn("preferred", F.when(place > 0, place).otherwise(F.lit(len(order) + 1)).cast("int"))
+    return ranked.orderBy("preferred", F.col("n_rows").desc(), "category")
 
 
 def feature_profile(df: DataFrame, columns: Sequence[str], target: str, n_bins: int = 10,
@@ -152,9 +150,9 @@ def train_test_distribution(train: DataFrame, test: DataFrame, columns: Sequence
         return df.select(F.lit(mark).alias("in_test"), F.inline(rows)).where(F.col("v").isNotNull())
 
     def both(cols: Sequence[str], kind: str) -> DataFrame:
-        rows = long(train, 0, cols, kind).unionByName(long(test, 1, cols, kind))
-        return rows.groupBy("feature", "v").agg(
-            F.count_if(F.col("in_test") == 0).alias("n_train"), F.count_if(F.col("in_test") == 1).alias("n_test"))
+        return long(train, 0, cols, kind).unionByName(long(test, 1, cols, kind))
+
+    per_split = [F.count_if(F.col("in_test") == 0).alias("n_train"), F.count_if(F.col("in_test") == 1).alias("n_test")]
 
     parts = []
     if numeric:
@@ -163,8 +161,7 @@ def train_test_distribution(train: DataFrame, test: DataFrame, columns: Sequence
         flat = F.col("hi") == F.col("lo")
         index = F.when(flat, F.lit(0)).otherwise(
             F.least(equal_width_bin(F.col("v"), F.col("lo"), F.col("hi"), n_bins), F.lit(n_bins - 1)))
-        counts = values.join(F.broadcast(stats), "feature").groupBy("feature", index.cast("int").alias("bin")).agg(
-            F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"))
+        counts = values.join(F.broadcast(stats), "feature").groupBy("feature", index.cast("int").alias("bin")).agg(*per_split)
         last = F.when(flat, F.lit(0)).otherwise(F.lit(n_bins - 1))
         spine = stats.select("feature", "lo", "hi", F.explode(F.sequence(F.lit(0), last)).alias("bin"))
         width = (F.col("hi") - F.col("lo")) / n_bins
@@ -173,7 +170,7 @@ def train_test_distribution(train: DataFrame, test: DataFrame, columns: Sequence
             (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
             F.coalesce("n_train", F.lit(0)).alias("n_train"), F.coalesce("n_test", F.lit(0)).alias("n_test")))
     if text:
-        parts.append(both(text, "string").select(
+        parts.append(both(text, "string").groupBy("feature", "v").agg(*per_split).select(
             "feature", F.col("v").alias("category"), F.lit(None).cast("int").alias("bin"),
             F.lit(None).cast("double").alias("bin_lo"), "n_train", "n_test"))
     out = parts[0]

@@ -3,7 +3,8 @@
 The built-in exact ``percentile`` keeps every distinct value of a group in one task. That is fine
 for a group whose size the calendar bounds (one series, one fold), and those callers use it. For
 unbounded groups the quantile is found by narrowing: a mergeable sketch brackets the wanted rank, a
-histogram inside the bracket picks one thin slice, and only that slice is ranked exactly.
+histogram inside the bracket picks one thin slice, and only that slice is ranked exactly. The input
+is read three times, and only sketches, slice counts and the rows of one slice are shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple
     long = df.select(*by, F.inline(F.array(*[
         F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns
     ]))).where(F.col("_v").isNotNull())
-    counted = long.groupBy(*by, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
 
     # A sketch of rank error below n/accuracy, widened by three such errors on both sides.
     slack = 3.0 / accuracy
@@ -59,11 +59,11 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple
         .when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(slices - 1)))
         .otherwise(F.lit(0)).cast("int")
     )
-    placed = counted.join(near(aims), [*by, "_c"]).where(F.col("_v") <= F.col("_hi")).withColumn("_bin", slice_no)
+    placed = long.join(near(aims), [*by, "_c"]).where(F.col("_v") <= F.col("_hi")).withColumn("_bin", slice_no)
     tag = [*by, "_name"]
     up_to = Window.partitionBy(*tag).orderBy("_bin")  # at most slices + 1 rows per group
     chosen = (
-        placed.groupBy(*tag, "_bin").agg(F.sum("_n").alias("_m"), F.max("_pos").alias("_pos"))
+        placed.groupBy(*tag, "_bin").agg(F.count(F.lit(1)).alias("_m"), F.max("_pos").alias("_pos"))
         .withColumn("_before", F.sum("_m").over(up_to) - F.col("_m"))
         .where((F.col("_before") <= F.ceil("_pos")) & (F.col("_before") + F.col("_m") > F.floor("_pos")))
         .select(*tag, "_bin", "_before")
@@ -71,6 +71,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple
     inside = Window.partitionBy(*tag, "_bin").orderBy("_v")
     ranked = (
         placed.join(near(chosen), [*tag, "_bin"])
+        .groupBy(*tag, "_bin", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_before").alias("_before"), F.max("_pos").alias("_pos"))
         .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )

@@ -20,7 +20,7 @@ def merge_stations(frames: Sequence[DataFrame], ts: str = "timestamp") -> DataFr
 
 def stations_wide(readings: DataFrame, cities: Sequence[str] = tuple(CITIES), ts: str = "timestamp") -> DataFrame:
     """The same result from long rows ``(timestamp, city, fields...)`` with one shuffle."""
-    wide = readings.groupBy(ts).agg(
+    wide = readings.where(F.col("city").isin(*cities)).groupBy(ts).agg(
         *[
             F.max(F.when(F.col("city") == city, F.col(field))).alias(f"{field}_{city}")
             for city in cities for field in WEATHER_FIELDS
@@ -40,7 +40,8 @@ def stations_long(wide: DataFrame, cities: Sequence[str] = tuple(CITIES), ts: st
 
 def station_counts(readings: DataFrame, cities: Sequence[str] = tuple(CITIES), ts: str = "timestamp") -> DataFrame:
     """Hours per station beside the hours all of them share: unequal numbers mean a gap."""
-    hours = readings.groupBy(ts).agg(F.collect_set("city").alias("seen"))
+    known = readings.where(F.col("city").isin(*cities))
+    hours = known.groupBy(ts).agg(F.collect_set("city").alias("seen"))
     wanted = F.array(*[F.lit(c) for c in cities])
     return (
         hours.select(F.explode("seen").alias("city"),

@@ -37,7 +37,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     Only where that setting is absent, as in local tests, a temporary folder stands in.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

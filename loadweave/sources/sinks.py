@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -39,9 +39,10 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the earliest by ``order``."""
-    ranked = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(ranked)).where(F.col("_rn") == 1).drop("_rn")
+    """One row per key, the smallest by ``order``. An aggregate, so copies of a key meet on the map side."""
+    rest = [c for c in df.columns if c not in key]
+    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_best")
+    return df.groupBy(*key).agg(best).select(*key, "_best.*").select(*df.columns)
 
 
 def new_rows(batch: DataFrame, existing: DataFrame | None, key: Sequence[str] = LOG_KEY,
@@ -52,13 +53,21 @@ def new_rows(batch: DataFrame, existing: DataFrame | None, key: Sequence[str] =
 
 
 def insert_or_ignore(batch: DataFrame, path: str, key: Sequence[str] = LOG_KEY,
-                     order: Sequence[str] = ("predicted_load_mw",)) -> None:
+                     order: Sequence[str] = ("predicted_load_mw",), time_column: str = "target_timestamp") -> None:
     """Append rows with unseen keys; the first writer of a key wins.
 
-    Files offer no lock between the lookup and the append: keep one writer per table.
+    Only the part of the table within the batch's time range is looked up: the bounds are pushed
+    down to the files. Files offer no lock between the lookup and the append: keep one writer per
+    table.
     """
     spark = batch.sparkSession
-    existing = spark.read.parquet(path) if table_exists(spark, path) else None
+    existing = None
+    if table_exists(spark, path):
+        first, last = batch.agg(F.min(time_column), F.max(time_column)).first()
+        existing = spark.read.parquet(path)
+        if first is not None:
+            kind = batch.schema[time_column].dataType
+            existing = existing.where(F.col(time_column).between(F.lit(first).cast(kind), F.lit(last).cast(kind)))
     new_rows(batch, existing, key, order).write.mode("append").parquet(path)
 
 
