@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,11 @@ from loadweave.catalog.ctes import sql
 from loadweave.catalog.registry import query, rounded
 from loadweave.catalog.tables import FOLDS, daily
 from loadweave.config import DAILY, FEATURES, FEATURES_V3, TARGET
+from loadweave.functions import metrics
 from loadweave.operators import ensemble, features as feat, folds, forecast
 from loadweave.plans import experiment as lab
 from loadweave.session import materialise, scratch_path
+from loadweave.sources.sinks import log_run
 
 KEYS = list(DAILY.keys)
 ON = [*KEYS, "fold_id"]
@@ -128,6 +131,18 @@ def trend_oof(spark, sf):
     return rounded(forecast.trend_oof(train_rows(spark, sf), FOLDS, DAILY), 4, "y_pred")
 
 
+@query("overlapping_folds_oof", sql(
+    "select v.series_id, timestamp, 'trend' as model, cast(max(v.fold_id) as int) as fold_id, any_value(actual_load_mw) as y_true, "
+    "round(arg_max(slope * trend_idx + intercept, v.fold_id), 4) as y_pred from (select t.*, fold_id from dtrain t join folds "
+    "on timestamp between val_start and val_end + interval 180 day) v join ftrend r on r.series_id = v.series_id "
+    "and r.fold_id = v.fold_id group by 1, 2", "dtrain", "folds", "ftrend", "hol"))
+def overlapping_folds_oof(spark, sf):
+    """Validation ranges that run into the next fold: the later fold's forecast stands."""
+    longer = [replace(f, val_end=f.val_end + timedelta(days=180)) for f in FOLDS]
+    oof = forecast.trend_oof(train_rows(spark, sf), longer, DAILY)
+    return rounded(forecast.last_fold_wins(oof, DAILY, longer), 4, "y_pred")
+
+
 _METRICS = ("count(*) as n_rows, round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 4) as rmse, "
             "round(avg(abs(y_true - y_pred) / greatest(abs(y_true), 2.220446049250313e-16)) * 100, 6) as mape")
 
@@ -197,6 +212,20 @@ def _weights(spark, ens: ensemble.Ensemble) -> DataFrame:
     return spark.createDataFrame(rows, "model string, weight double, solo_rmse double, score double")
 
 
+@query("alpha_scores", sql(
+    "select a / 10.0::double as alpha, round(sqrt(avg(pow(y_true - ((1 - a / 10.0::double) * trend + a / 10.0::double * persistence), 2))), 4) as rmse, "
+    "round(avg(abs(y_true - ((1 - a / 10.0::double) * trend + a / 10.0::double * persistence))), 4) as mae from oofw, range(11) t(a) group by 1",
+    "oofw", "hol"))
+def alpha_scores(spark, sf):
+    """Two measures of every mix of two models, each measure in one aggregation."""
+    oof = naive_and_trend(train_rows(spark, sf))
+    wide = materialise(forecast.oof_wide(oof, MODELS, DAILY), "wide")
+    shares = [i / 10 for i in range(11)]
+    mixes = [{"trend": 1 - a, "persistence": a} for a in shares]
+    scores = zip(shares, ensemble.spark_scorer(wide, metrics.rmse)(mixes), ensemble.spark_scorer(wide, metrics.mae)(mixes))
+    return rounded(spark.createDataFrame(list(scores), "alpha double, rmse double, mae double"), 4, "rmse", "mae")
+
+
 @query("hill_climb_vote")
 def hill_climb_vote(spark, sf):
     """Equal-vote ensemble found from the error matrix."""
@@ -232,6 +261,32 @@ def knn_residual(spark, sf):
     return rounded(lab.knn_cross_validate(table, "knn", 15), 3, "y_pred")
 
 
+@query("linear_residual_cv", sql(
+    _STATS + ", z as (select t.series_id, t.fold_id, t.timestamp, (load_lag_168 - mean_load_lag_168) / std_load_lag_168 as z, "
+    "actual_load_mw - (slope * trend_idx + intercept) as res from ftrain t join st on st.series_id = t.series_id and st.fold_id = t.fold_id "
+    "join ftrend r on r.series_id = t.series_id and r.fold_id = t.fold_id), "
+    "b as (select fold_id, regr_slope(res, z) as b1, regr_intercept(res, z) as b0 from z group by 1) "
+    "select v.series_id, v.timestamp, 'linear' as model, v.fold_id, actual_load_mw as y_true, round(slope * trend_idx + intercept + b0 + "
+    "b1 * (load_lag_168 - mean_load_lag_168) / std_load_lag_168, 2) as y_pred from fval v join st on st.series_id = v.series_id and "
+    "st.fold_id = v.fold_id join ftrend r on r.series_id = v.series_id and r.fold_id = v.fold_id join b on b.fold_id = v.fold_id",
+    "ftrain", "fval", "ftrend", "hol").replace(") st as", "), st as"))
+def linear_residual_cv(spark, sf):
+    """Trend plus a linear model of the residual, fitted per fold by Spark ML."""
+    table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, ["load_lag_168"], scale=True)
+    return rounded(lab.cross_validate(table, lab.linear_model, "linear"), 2, "y_pred")
+
+
+@query("run_log", sql(f"select model as run_name, {_METRICS} from oof group by 1", "oof", "hol"))
+def run_log(spark, sf):
+    """One appended record per model, read back."""
+    path = scratch_path(spark, "runs")
+    for m in forecast.oof_metrics(naive_and_trend(train_rows(spark, sf))).collect():  # one row per model
+        log_run(spark, path, m["model"], {"features": "none"}, {k: m[k] for k in ("n_rows", "rmse", "mape")})
+    value = lambda k: F.col("metrics")[k]
+    return spark.read.parquet(path).select("run_name", value("n_rows").cast("long").alias("n_rows"),
+                                           F.round(value("rmse"), 4).alias("rmse"), F.round(value("mape"), 6).alias("mape"))
+
+
 # --- Spark ML: few and shallow trees, so that a run over all folds stays short -----------------
 SMALL = {"trees": 5, "depth": 3, "learning_rate": 0.3}
 

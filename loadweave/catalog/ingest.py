@@ -10,8 +10,8 @@ from loadweave.catalog.tables import hourly_joined
 from loadweave.config import CITIES, GATE_COLUMNS, HOURLY, JOINED_VALUES, TARGET
 from loadweave.functions.timefn import gate_text
 from loadweave.operators import align, holidays, profile, quality, weather
-from loadweave.session import materialise
-from loadweave.sources import adapters, readers
+from loadweave.session import materialise, scratch_path
+from loadweave.sources import adapters, readers, sinks
 
 WEATHER_SQL = "temp_c, humidity_pct, precip_mm"
 
@@ -53,6 +53,27 @@ def load_one_zone(spark, sf):
     return readers.normalise_load(wide, "click").where(F.col(TARGET).isNotNull())
 
 
+@query("csv_series_scan", sql(
+    f"select series_id, timestamp, {local('timestamp')} as timestamp_central, actual_load_mw from hl", "hl"))
+def csv_series_scan(spark, sf):
+    """Load written as CSV with UTC text in both time columns, read back with a declared schema."""
+    load = adapters.hourly_load(spark, sf)
+    stamp = gate_text(F.col("timestamp"))
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(load.select("series_id", stamp.alias("timestamp"), stamp.alias("timestamp_central"), TARGET), path)
+    return readers.read_series_csv(spark, path, [TARGET], ["timestamp", "timestamp_central"], keys=["series_id"])
+
+
+@query("parquet_series_scan", sql(
+    "select series_id, timestamp, actual_load_mw from dl where timestamp >= timestamp '1999-11-15' and timestamp < timestamp '2000-02-16'", "dl"))
+def parquet_series_scan(spark, sf):
+    """Load stored by year, then one period read back: other years' files are not opened."""
+    path = scratch_path(spark, "series")
+    sinks.write_series(adapters.daily_load(spark, sf), path)
+    stored = readers.read_features(spark, path).where(F.col("year").between(1999, 2000))
+    return readers.between_dates(stored, "1999-11-15", "2000-02-15").drop("year")
+
+
 @query("date_range_scan", """
     select o_orderpriority as series_id, count(*) as n_orders, sum(cast(round(o_totalprice * 100) as bigint))::double / 100.0 as total
     from orders where o_orderdate >= timestamp '1996-03-01' and o_orderdate < timestamp '1998-03-01' group by 1""")
@@ -222,6 +243,16 @@ def dq_gate(spark, sf):
     return quality.verdict(quality.evaluate(gate_table(spark, sf), quality.gate_suite(rows=GATE_ROWS)))
 
 
+@query("dq_csv_gate", sql("select 1", "hj").replace("select 1", "").rstrip() + ", " + _DQ.strip()
+       + " select check_no, expectation, observed, success from res")
+def dq_csv_gate(spark, sf):
+    """The gate over a landed CSV whose first column stays raw text."""
+    path = scratch_path(spark, "gate")
+    sinks.write_csv(gate_table(spark, sf), path)
+    results = quality.evaluate(readers.read_gate_csv(spark, path), quality.gate_suite(rows=GATE_ROWS))
+    return results.select("check_no", "expectation", "observed", "success")
+
+
 @query("federal_holidays", sql(
     "select holiday_date, holiday_name from hol, (select min(o_orderdate) as a, max(o_orderdate) as z from orders) "
     "where holiday_date between cast(a as date) and cast(z as date)", "hol"))

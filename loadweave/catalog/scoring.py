@@ -98,6 +98,19 @@ def score_batch(spark, sf):
     return rounded(responses.drop("predicted_at"), 4, "predicted_load_mw")
 
 
+@query("registry_round_trip", sql(
+    f"select series_id, target_timestamp, round(slope * trend_idx + intercept, 4) as predicted_load_mw, '{MODEL_NAME}' as model_name, "
+    f"'2' as model_version, '{CHAMPION}' as model_alias from eng", "eng", "hol"))
+def registry_round_trip(spark, sf):
+    """Two versions registered; the newest champion is loaded from its files and scores the test rows."""
+    d, bundle = prepared(spark, sf)
+    root = scratch_path(spark, "models")
+    for _ in range(2):
+        registry.register(spark, root, bundle.state, None, FEATURES, "trend", "v3_holiday", str(d.split.train_end), str(d.split.test_start))
+    responses, _ = scoring.score_batch(d.test, registry.load_champion(spark, root), DAILY)
+    return rounded(responses.drop("predicted_at"), 4, "predicted_load_mw")
+
+
 @query("score_batch_summary", sql("select count(*) as n_scored, count(*) as n_rows from eng", "eng", "hol"))
 def score_batch_summary(spark, sf):
     d, bundle = prepared(spark, sf)

@@ -33,6 +33,15 @@ def hourly_gap_fill(spark, sf):
     return gaps.gap_fill(stored_load(spark, sf), HOURLY, aligned=True)
 
 
+@query("null_target_rows", sql(
+    "select b.series_id, b.timestamp from (select series_id, unnest(generate_series(min(timestamp), max(timestamp), interval 1 hour)) "
+    "as timestamp from hl group by 1) b anti join hl on hl.series_id = b.series_id and hl.timestamp = b.timestamp", "hl"))
+def null_target_rows(spark, sf):
+    """The hours that gap filling brought in."""
+    filled = gaps.gap_fill(stored_load(spark, sf, "event_type"), HOURLY, local_name=None)
+    return filled.where(F.col(TARGET).isNull()).select("series_id", "timestamp")
+
+
 @query("gap_report", sql(
     "select series_id, prev_ts, timestamp, delta_seconds, delta_seconds // 3600 - 1 as n_missing from (select *, "
     "cast(epoch(timestamp) - epoch(prev_ts) as bigint) as delta_seconds from (select series_id, timestamp, "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loadweave.config import CHAMPION, FEATURES_V3, FIELD_SPECS, RAW_REQUIRED, Layout
 from loadweave.functions.scalar import require_columns
-from loadweave.functions.timefn import parse_utc, years_since
+from loadweave.functions.timefn import iso_text, parse_utc, years_since
 from loadweave.operators.features import extreme_event_columns, model_input_columns
 from loadweave.operators.forecast import trend_value
 from loadweave.plans.registry import Bundle
@@ -98,8 +98,7 @@ def validate_json(df: DataFrame, payload: str, features: Sequence[str], keep: Se
 
 def request_json(df: DataFrame, features: Sequence[str], ts: str = "timestamp") -> Column:
     """A row as the JSON body of a request."""
-    stamp = F.date_format(F.col(ts), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    return F.to_json(F.struct(*features, stamp.alias(TIME_FIELD)))
+    return F.to_json(F.struct(*features, iso_text(F.col(ts)).alias(TIME_FIELD)))
 
 
 def engineer_with_state(raw: DataFrame, bundle: Bundle, layout: Layout, keep: Sequence[str] = ()) -> DataFrame:

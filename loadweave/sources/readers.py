@@ -21,7 +21,7 @@ PAYLOAD = T.StructType([T.StructField("hourly", T.StructType([
 
 
 def read_series_csv(spark: SparkSession, path: str, values: Sequence[str], times: Sequence[str] = ("timestamp",),
-                    zone: str = LOCAL_ZONE) -> DataFrame:
+                    zone: str = LOCAL_ZONE, keys: Sequence[str] = ()) -> DataFrame:
     """Columns matched by header; ``timestamp`` becomes a UTC instant, other time columns local labels.
 
     Spark raises if the path does not exist.
@@ -32,7 +32,7 @@ def read_series_csv(spark: SparkSession, path: str, values: Sequence[str], times
     raw = spark.read.schema(schema).option("header", True).csv(path)
     parsed = [
         (parse_utc(F.col(c)) if c == "timestamp" else to_local(parse_utc(F.col(c)), zone)).alias(c) for c in times]
-    return nan_to_null(raw.select(*parsed, *values))
+    return nan_to_null(raw.select(*keys, *parsed, *values))
 
 
 def read_gate_csv(spark: SparkSession, path: str) -> DataFrame:
