@@ -29,7 +29,7 @@ def train_rows(spark, sf) -> DataFrame:
 
 
 def naive_and_trend(train: DataFrame) -> DataFrame:
-    return forecast.naive_baselines(train, FOLDS, DAILY).unionByName(forecast.trend_oof(train, FOLDS, DAILY))
+    return forecast.simple_oof(train, FOLDS, DAILY)
 
 
 @query("fold_sizes", sql(

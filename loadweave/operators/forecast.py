@@ -26,18 +26,6 @@ def oof_select(df: DataFrame, layout: Layout, model: str, pred: Column) -> DataF
                      F.col(TARGET).alias("y_true"), pred.alias("y_pred"))
 
 
-def naive_baselines(df: DataFrame, folds: Sequence[Fold], layout: Layout) -> DataFrame:
-    """Train mean, and the load one day earlier, on every validation row."""
-    fits = fit_by_fold(df, folds, layout.keys, {"_mean": lambda m: F.avg(m(F.col(TARGET)))}, layout.ts)
-    val = fold_roles(df, folds, layout.ts, roles=("val",)).join(fits, [*layout.keys, "fold_id"])
-    forecasts = F.array(
-        F.struct(F.lit("constant").alias("model"), F.col("_mean").alias("y_pred")),
-        F.struct(F.lit("persistence").alias("model"), F.col("load_lag_24").alias("y_pred")),
-    )
-    return val.select(*layout.order, "fold_id", F.col(TARGET).alias("y_true"), F.inline(forecasts)).select(
-        *layout.order, *OOF)
-
-
 TREND_STATS = {
     "slope": lambda m: F.regr_slope(m(F.col(TARGET)), m(F.col("trend_idx"))),
     "intercept": lambda m: F.regr_intercept(m(F.col(TARGET)), m(F.col("trend_idx"))),
@@ -57,11 +45,35 @@ def trend_value() -> Column:
     return F.col("slope") * F.col("trend_idx") + F.col("intercept")
 
 
+SIMPLE_MODELS = {
+    # model -> (fitted statistics, forecast)
+    "constant": ({"mean_load": lambda m: F.avg(m(F.col(TARGET)))}, lambda: F.col("mean_load")),
+    "persistence": ({}, lambda: F.col("load_lag_24")),
+    "trend": (TREND_STATS, trend_value),
+}
+
+
+def simple_oof(df: DataFrame, folds: Sequence[Fold], layout: Layout,
+               models: Sequence[str] = tuple(SIMPLE_MODELS)) -> DataFrame:
+    """Forecasts of the models that one aggregation can fit: all folds and models in one pass."""
+    stats = {k: fn for m in models for k, fn in SIMPLE_MODELS[m][0].items()}
+    val = fold_roles(df, folds, layout.ts, roles=("val",))
+    if stats:
+        val = val.join(fit_by_fold(df, folds, layout.keys, stats, layout.ts), [*layout.keys, "fold_id"])
+    forecasts = F.array(*[
+        F.struct(F.lit(m).alias("model"), SIMPLE_MODELS[m][1]().alias("y_pred")) for m in models])
+    return val.select(*layout.order, "fold_id", F.col(TARGET).alias("y_true"), F.inline(forecasts)).select(
+        *layout.order, *OOF)
+
+
+def naive_baselines(df: DataFrame, folds: Sequence[Fold], layout: Layout) -> DataFrame:
+    """Train mean, and the load one day earlier, on every validation row."""
+    return simple_oof(df, folds, layout, ("constant", "persistence"))
+
+
 def trend_oof(df: DataFrame, folds: Sequence[Fold], layout: Layout) -> DataFrame:
     """The trend half of the two-part model, alone."""
-    fits = fit_trend_by_fold(df, folds, layout)
-    val = fold_roles(df, folds, layout.ts, roles=("val",)).join(fits, [*layout.keys, "fold_id"])
-    return oof_select(val, layout, "trend", trend_value())
+    return simple_oof(df, folds, layout, ("trend",))
 
 
 def scaler_stats(columns: Sequence[str]):

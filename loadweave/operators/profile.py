@@ -31,7 +31,8 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def target_histogram(df: DataFrame, column: str, n_bins: int = 100) -> DataFrame:
     """Equal-width bins, the last one closed, with the mean and deviation of the column on each row."""
-    known = df.where(F.col(column).isNotNull()).select(F.lit(column).alias("feature"), F.col(column).alias("v"))
+    cell = F.array(F.struct(F.lit(column).alias("feature"), F.col(column).alias("v")))
+    known = df.where(F.col(column).isNotNull()).select(F.inline(cell))
     stats = known.groupBy("feature").agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
     placed = known.join(F.broadcast(stats), "feature")  # a single row of statistics

@@ -19,7 +19,7 @@ from loadweave.config import SEED, TARGET, Layout
 from loadweave.operators import features as feat
 from loadweave.operators.folds import Fold, fit_by_fold, fold_roles
 from loadweave.operators.forecast import (
-    compare_models, fit_trend, fit_trend_by_fold, oof_metrics, oof_select, scaled, scaler_stats, trend_value,
+    TREND_STATS, compare_models, fit_trend, fit_trend_by_fold, oof_metrics, oof_select, scaled, scaler_stats, trend_value,
 )
 from loadweave.operators.neighbours import nearest, weighted_vote
 from loadweave.session import materialise
@@ -256,8 +256,9 @@ def choose_champion(studies: Sequence[Study], df: DataFrame, folds: Sequence[Fol
 def fit_state(train: DataFrame, origin: DataFrame, layout: Layout, use_holiday: bool) -> DataFrame:
     """Per series: trend line, thresholds, trend origin and (if used) holiday shares."""
     keys = list(layout.keys)
+    fits = {**TREND_STATS, **feat.threshold_stats()}
     state = (
-        fit_trend(train, keys).join(feat.fit_thresholds(train, keys), keys)
+        train.groupBy(*keys).agg(*[fn(lambda c: c).alias(k) for k, fn in fits.items()])
         .join(origin.select(*keys, F.col("first_ts").alias("trend_origin")), keys)
     )
     if not use_holiday:

@@ -23,24 +23,21 @@ def check_fields(features: Sequence[str]) -> None:
         raise ValueError(f"no field rule for {unknown}")
 
 
-def _field_error(name: str, value: Column, present: Column, readable: Column) -> Column:
-    """First broken rule of one field as text, else null."""
+def _rule(name: str, value: str, present: str, readable: str = "true") -> str:
+    """SQL ``case`` naming the first rule a field breaks, else null; arguments are SQL text."""
     kind, low, high = FIELD_SPECS[name]
-    bad = F.lit(False)
-    if low is not None or high is not None:
-        bad = bad | F.isnan(value)
-    if low is not None:
-        bad = bad | (value < F.lit(float(low)))
-    if high is not None:
-        bad = bad | (value > F.lit(float(high)))
-    checks = F.when(~present, F.lit(f"{name}:missing")).when(~readable, F.lit(f"{name}:type"))
+    whens = [(f"not ({present})", "missing"), (f"not ({readable})", "type")]
     if kind == "int":
-        checks = checks.when(F.isnan(value) | (value != F.floor(value)), F.lit(f"{name}:type"))
-    return checks.when(bad, F.lit(f"{name}:range"))
+        whens.append((f"isnan({value}) or {value} <> floor({value})", "type"))
+    bounds = [f"{value} < {float(low)}D"] if low is not None else []
+    bounds += [f"{value} > {float(high)}D"] if high is not None else []
+    if bounds:
+        whens.append((f"isnan({value}) or {' or '.join(bounds)}", "range"))
+    return "case " + " ".join(f"when {test} then '{name}:{problem}'" for test, problem in whens) + " end"
 
 
-def _with_errors(df: DataFrame, errors: Sequence[Column], more: Column | None = None) -> DataFrame:
-    found = F.filter(F.array(*errors), lambda e: e.isNotNull())
+def _with_errors(df: DataFrame, rules: Sequence[str], more: Column | None = None) -> DataFrame:
+    found = F.expr(f"filter(array({', '.join(rules)}), e -> e is not null)")
     if more is not None:
         found = F.concat(found, more)
     return df.withColumn("errors", F.array_sort(found)).withColumn("is_valid", F.size("errors") == 0)
@@ -53,47 +50,40 @@ def validate_columns(df: DataFrame, features: Sequence[str], time_field: str = T
     Columns in ``ignore`` (series keys) are outside the contract; any other extra column is an error.
     """
     check_fields(features)
-    extra = sorted(set(df.columns) - set(features) - {time_field} - set(ignore))
-    errors = [F.when(F.col(time_field).isNull(), F.lit(f"{time_field}:missing"))
-              if time_field in df.columns else F.lit(f"{time_field}:missing")]
-    for name in features:
-        if name not in df.columns:
-            errors.append(F.lit(f"{name}:missing"))
-            continue
-        value = F.col(name).cast("double")
-        errors.append(_field_error(name, value, F.col(name).isNotNull(), F.lit(True)))
-    errors += [F.lit(f"{name}:extra") for name in extra]
-    return _with_errors(df, errors)
+    have = set(df.columns)
+    rules = [f"case when `{time_field}` is null then '{time_field}:missing' end"
+             if time_field in have else f"'{time_field}:missing'"]
+    rules += [_rule(n, f"cast(`{n}` as double)", f"`{n}` is not null") if n in have else f"'{n}:missing'"
+              for n in features]
+    rules += [f"'{n}:extra'" for n in sorted(have - set(features) - {time_field} - set(ignore))]
+    return _with_errors(df, rules)
 
 
 def validate_json(df: DataFrame, payload: str, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Contract check of JSON requests: typed fields, ``errors``, ``is_valid``; extra fields are errors."""
     check_fields(features)
-    fields = F.from_json(F.col(payload), "map<string,string>")
-    parsed = df.withColumn("_f", fields)
-    missing = F.col("_f").isNull()
 
-    def text(name: str) -> Column:
-        return F.try_element_at("_f", F.lit(name))
+    def text(name: str) -> str:
+        return f"try_element_at(_f, '{name}')"
 
+    parsed = df.withColumn("_f", F.from_json(F.col(payload), "map<string,string>"))
     typed = parsed.withColumns({
-        **{f"_v_{n}": text(n).try_cast("double") for n in features},
-        TIME_FIELD: parse_utc(text(TIME_FIELD)),
+        **{f"_v_{n}": F.expr(f"try_cast({text(n)} as double)") for n in features},
+        TIME_FIELD: parse_utc(F.expr(text(TIME_FIELD))),
     })
-    errors = [
-        F.when(missing, F.lit("body:json")),
-        F.when(~missing & text(TIME_FIELD).isNull(), F.lit(f"{TIME_FIELD}:missing"))
-        .when(~missing & F.col(TIME_FIELD).isNull(), F.lit(f"{TIME_FIELD}:type")),
+    body = "_f is not null"
+    rules = [
+        "case when _f is null then 'body:json' end",
+        f"case when {body} and {text(TIME_FIELD)} is null then '{TIME_FIELD}:missing' "
+        f"when {body} and {TIME_FIELD} is null then '{TIME_FIELD}:type' end",
     ]
-    for n in features:
-        problem = _field_error(n, F.col(f"_v_{n}"), text(n).isNotNull(), F.col(f"_v_{n}").isNotNull())
-        errors.append(F.when(~missing, problem))
-    allowed = F.array(*[F.lit(n) for n in (*features, TIME_FIELD)])
-    extra = F.when(missing, F.array().cast("array<string>")).otherwise(F.transform(
-        F.array_except(F.map_keys("_f"), allowed), lambda k: F.concat(k, F.lit(":extra"))))
-    columns = [
-        F.col(f"_v_{n}").try_cast("int" if FIELD_SPECS[n][0] == "int" else "double").alias(n) for n in features]
-    return _with_errors(typed, errors, extra).select(*keep, payload, TIME_FIELD, *columns, "errors", "is_valid")
+    rules += [f"case when {body} then {_rule(n, f'_v_{n}', f'{text(n)} is not null', f'_v_{n} is not null')} end"
+              for n in features]
+    allowed = ", ".join(f"'{n}'" for n in (*features, TIME_FIELD))
+    extra = F.expr(f"transform(array_except(coalesce(map_keys(_f), cast(array() as array<string>)), array({allowed})), "
+                   "k -> concat(k, ':extra'))")
+    columns = [F.expr(f"try_cast(_v_{n} as {'int' if FIELD_SPECS[n][0] == 'int' else 'double'}) as {n}") for n in features]
+    return _with_errors(typed, rules, extra).select(*keep, payload, TIME_FIELD, *columns, "errors", "is_valid")
 
 
 def request_json(df: DataFrame, features: Sequence[str], ts: str = "timestamp") -> Column:

@@ -38,10 +38,12 @@ def compare(spark, con, sf_dir, fn, sql):
     df = fn(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
     took = time.time() - t0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    crossed = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
-    problems = []
+    problems = [f"plan has {op}" for op in crossed]
     if sorted(df.columns) != sorted(names):
         problems.append(f"columns {sorted(df.columns)} vs {sorted(names)}")
     else:
