@@ -147,6 +147,10 @@ def nearest(train: DataFrame, queries: DataFrame, group: Sequence[str], features
     if pivots is None:
         largest = train.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
         pivots = max(1, min(MAX_PIVOTS, largest // ROWS_PER_CELL))
+    # Of rows at one and the same point only the k with the smallest ids can ever be chosen. The rank
+    # limit is applied before the shuffle too, so a point shared by many rows shrinks to k per task.
+    same_point = Window.partitionBy(*group, "_x").orderBy("_tid")
+    train = train.withColumn("_rn", F.row_number().over(same_point)).where(F.col("_rn") <= k).drop("_rn")
     centres = _pick_pivots(train, pivots)
     placed = materialise(_home_cells(train, centres), "placed")
     cells = (

@@ -155,3 +155,30 @@ def test_lag_spot_check_finds_a_wrong_lag(spark, hourly):
     assert gaps.lag_spot_check(good, HOURLY, spec).first()["n_mismatch"] == 0
     bad = good.withColumn("l", F.col("l") + F.when(F.col("actual_load_mw") == 30, 1).otherwise(0))
     assert gaps.lag_spot_check(bad, HOURLY, spec).first()["n_mismatch"] == 1
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    from loadweave.sources import adapters, readers
+
+    path = str(tmp_path)
+    spark.sql("select timestamp_ntz'1996-05-01' as o_orderdate, 1.0 as o_totalprice, 'x' as o_orderpriority, 'y' as o_orderstatus"
+              ).write.parquet(f"{path}/orders.parquet")
+    load = adapters.daily_load(spark, path)
+    text = readers.between_dates(load, "1996-01-01", "1996-12-31")._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in text.splitlines() if "FileScan" in line)
+    assert "o_orderstatus" not in scan
+    assert "GreaterThanOrEqual(o_orderdate" in scan and "LessThan(o_orderdate" in scan
+
+
+def test_long_series_spread_over_blocks(spark, hourly):
+    """No lag or frame puts a whole series into one partition key."""
+    df = hourly([("a", h, h) for h in range(10)])
+    plans = [
+        blocks.time_lags(df, HOURLY, {"l": ("actual_load_mw", 2)}),
+        blocks.on_rows(df, HOURLY, 3, {"c": blocks.change_from("actual_load_mw", 2)}),
+        gaps.gap_fill(df, HOURLY, aligned=True),
+    ]
+    for out in plans:
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "_blk" in text or "_tb" in text
+        assert "SinglePartition" not in text
