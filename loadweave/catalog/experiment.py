@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loadweave.catalog.ctes import sql
 from loadweave.catalog.registry import query, rounded
 from loadweave.catalog.tables import FOLDS, daily
-from loadweave.config import DAILY, FEATURES, FEATURES_V3, TARGET
+from loadweave.config import DAILY, FEATURES, FEATURES_V3
 from loadweave.functions import metrics
 from loadweave.operators import ensemble, features as feat, folds, forecast
 from loadweave.plans import experiment as lab

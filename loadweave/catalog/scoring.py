@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadweave.catalog.ctes import sql
-from loadweave.catalog.experiment import FOLDS, SMALL, naive_and_trend
+from loadweave.catalog.experiment import SMALL, naive_and_trend
 from loadweave.catalog.registry import query, rounded
 from loadweave.catalog.tables import Daily, daily
-from loadweave.config import CHAMPION, DAILY, FEATURES_V3, MODEL_NAME, PARITY_TOLERANCE, TARGET
+from loadweave.config import CHAMPION, DAILY, FEATURES_V3, MODEL_NAME, PARITY_TOLERANCE
 from loadweave.operators import align, forecast
 from loadweave.operators.features import model_input_columns
 from loadweave.operators.gaps import series_bounds

@@ -250,13 +250,13 @@ def target_mean_std(spark, sf):
     "byb as (select ed.feature, 'histogram' as mode, e0 as bin_lo, e1 as bin_hi, count(x) as n_rows, "
     "avg(y) filter (where x < hi) as mean_target from ed left join u on u.feature = ed.feature and x >= e0 "
     "and (x < e1 or (b = 9 and x <= e1)) group by ed.feature, e0, e1) "
-    "select feature, mode, round(bin_lo, 6) as bin_lo, round(bin_hi, 6) as bin_hi, n_rows, round(mean_target, 6) as mean_target, "
+    "select feature, mode, round(bin_lo, 6) as bin_lo, round(bin_hi, 6) as bin_hi, n_rows, round(mean_target, 3) as mean_target, "
     "k as n_unique, cast(0 as bigint) as n_null from (select * from byv union all select * from byb) join st using (feature)",
     "dtrain", "hol").replace(") u as", "), u as"))
 def feature_target_profile(spark, sf):
     d = daily(spark, sf)
     out = profile.feature_profile(d.train, ["temp_c", "humidity_pct", "tmax", "dayofweek"], TARGET, n_bins=10)
-    return rounded(rounded(out.drop("category"), 6, "bin_lo", "bin_hi"), 6, "mean_target")
+    return rounded(rounded(out.drop("category"), 6, "bin_lo", "bin_hi"), 3, "mean_target")
 
 
 @query("category_order", sql(

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.config import FIRST_TRAIN, FIRST_VALIDATION, N_FOLDS, PURGE_DAYS, TEST_START_LOCAL, Layout
+from loadweave.config import FIRST_TRAIN, FIRST_VALIDATION, N_FOLDS, PURGE_DAYS, TEST_START_LOCAL
 from loadweave.functions.timefn import local_midnight_utc, ntz
 
 Masked = Callable[[Column], Column]

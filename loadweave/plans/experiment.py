@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loadweave.config import SEED, TARGET, Layout
 from loadweave.operators import features as feat
-from loadweave.operators.folds import Fold, fit_by_fold, fold_roles
+from loadweave.operators.folds import Fold, fold_roles
 from loadweave.operators.forecast import (
     TREND_STATS, compare_models, fit_trend, fit_trend_by_fold, oof_metrics, oof_select, scaled, scaler_stats, trend_value,
 )
