@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, decontaminate, language_id, line_dedup, token_files, toxicity
+from loadweave.llm import bpe, decontaminate, language_id, line_dedup, simhash, token_files, toxicity
 from loadweave.llm.common import crc_mod, table
 from loadweave.session import scratch_path
 
@@ -63,6 +63,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256(F.array_join(names, ",")).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
 
 
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 ORACLE["op9_line_dedup"] = r"""
 with texts as (select doc_id, coalesce(text, '') as text from documents),
 lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from texts),
