@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm.common import slices
+from loadweave.llm.common import slices, small_batches
 from loadweave.llm.pieces import Splitter, byte_letters
 
 #: Pieces kept per worker, and the longest that is kept.
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids")
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
 
     schema = rest.withColumn(ids, F.lit(None).cast("array<int>")).schema
-    return rest.mapInArrow(run, schema)
+    return rest.transform(small_batches).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -213,6 +213,6 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids", decoded: str = "d
                                                           pa.py_buffer(np.ascontiguousarray(raw))).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, decoded])
 
-    return rest.mapInArrow(run, rest.withColumn(decoded, F.lit(None).cast("string")).schema)
+    return rest.transform(small_batches).mapInArrow(run, rest.withColumn(decoded, F.lit(None).cast("string")).schema)
 
 

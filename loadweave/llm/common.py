@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Rows sent to a Python worker at once: a row may hold a long text, and Spark bounds batches by rows.
+BATCH_ROWS = 500
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends at most BATCH_ROWS rows at once to Python."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
+        conf.set(_ROWS, BATCH_ROWS)
+    return df
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

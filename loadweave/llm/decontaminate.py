@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loadweave.llm.common import HashArray, mix, slices, utf8
+from loadweave.llm.common import HashArray, mix, slices, small_batches, utf8
 
 WINDOW = 10
 PART_BYTES = 32 << 20
@@ -208,7 +208,7 @@ def _search_part(rows: DataFrame, part: Benchmark, schema: str, item: pa.DataTyp
                     "matches": pa.array([[dict(zip(place.names, (i, *m))) for i, m in found.items()] for found in named],
                                         pa.list_(place))})
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(small_batches).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id",
@@ -228,4 +228,4 @@ def _keep_part(docs: DataFrame, part: Benchmark, text: str) -> DataFrame:
                 hits = shared.value.search(some.column(text))[1]
                 yield some.filter(pa.array([not len(h) for h in hits], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(small_batches).mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm.common import HashArray, mix, multipliers, segment_sums, slices, utf8
+from loadweave.llm.common import HashArray, mix, multipliers, segment_sums, slices, small_batches, utf8
 
 ORDER = 5
 SPACE = 32
@@ -247,7 +247,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", train_ch
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.withColumns({"u": unit, "share": F.element_at(shares, F.col("lang"))})
     counted = (drawn.where("u < share").select("lang", "text")
-               .mapInArrow(count_grams, "lang string, gram string, n long")
+               .transform(small_batches).mapInArrow(count_grams, "lang string, gram string, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow())
     place = {k: i for i, k in enumerate(langs)}
     model = kneser_ney(langs, np.array([place[x] for x in counted["lang"].to_pylist()], int),
@@ -262,7 +262,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", train_ch
                                        "entropy": pa.array(list(entropy), pa.list_(pa.float64()))})
 
     held = (drawn.where("u >= share and u < share * 1.25").select("lang", "text")
-            .mapInArrow(measure, "lang string, size long, entropy array<double>").toArrow())
+            .transform(small_batches).mapInArrow(measure, "lang string, size long, entropy array<double>").toArrow())
     keep = held["size"].to_numpy() > 0
     _calibrate(model, np.array([place[x] for x in held["lang"].to_pylist()], int)[keep], held["size"].to_numpy()[keep],
                np.array(held["entropy"].to_pylist(), float).reshape(-1, len(langs))[keep], reject_quantile, reject_slack)
@@ -312,7 +312,7 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, entropy double, rejected boolean") \
+    return rows.transform(small_batches).mapInArrow(run, f"id {kind}, lang_pred string, score double, entropy double, rejected boolean") \
         .withColumnRenamed("id", key)
 
 
@@ -325,4 +325,4 @@ def keep_identified(docs: DataFrame, model: Model, *, text: str = "text") -> Dat
             for part in slices(batch, text):
                 yield part.filter(pa.array(~shared.value.decide(part.column(text))[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(small_batches).mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm.common import slices
+from loadweave.llm.common import slices, small_batches
 from loadweave.session import scratch_path
 
 MIN_CHARS = 10
@@ -101,7 +101,7 @@ def lost_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batc
     cuts = rows.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     batch = reduce(lambda n, cut: n + (F.col("doc") > cut).cast("int"), sorted(set(cuts)), F.lit(0))
     path, lost = scratch_path(spark, "lines"), scratch_path(spark, "lost-lines")
-    (rows.mapInArrow(_line_hashes, "doc long, h1 long, h2 long").withColumn("batch", batch)
+    (rows.transform(small_batches).mapInArrow(_line_hashes, "doc long, h1 long, h2 long").withColumn("batch", batch)
      .write.partitionBy("batch").parquet(path))
     lines = spark.read.schema("doc long, h1 long, h2 long, batch int").parquet(path)
     runs = Runs(spark, fanout)
@@ -154,4 +154,4 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batches:
                 yield pa.record_batch(columns)
 
     schema = rest.withColumns({"n_lines": F.lit(None).cast("long"), "n_dropped": F.lit(None).cast("long")}).schema
-    return joined.mapInArrow(run, schema)
+    return joined.transform(small_batches).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm.common import slices
+from loadweave.llm.common import slices, small_batches
 from loadweave.session import materialise
 
 SEED = 42
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fp long").withColumnsRenamed({"id": key, "fp": "fingerprint"})
+    return rows.transform(small_batches).mapInArrow(run, f"id {kind}, fp long").withColumnsRenamed({"id": key, "fp": "fingerprint"})
 
 
 @dataclass(frozen=True)

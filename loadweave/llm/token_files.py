@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loadweave.llm.common import slices
+from loadweave.llm.common import slices, small_batches
 from loadweave.llm.pieces import Splitter, byte_letters
 
 MAGIC = b"IDPLANES"
@@ -173,7 +173,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 1,
 
     ordered = (docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
                .repartitionByRange("id").sortWithinPartitions("id", "text"))
-    ordered.mapInArrow(run, STORED).write.option("compression", "none").parquet(folder)
+    ordered.transform(small_batches).mapInArrow(run, STORED).write.option("compression", "none").parquet(folder)
 
 
 def read_ids(spark: SparkSession, folder: str, *, key: str = "doc_id") -> DataFrame:
@@ -198,5 +198,5 @@ def read_ids(spark: SparkSession, folder: str, *, key: str = "doc_id") -> DataFr
                 yield pa.record_batch({"id": pa.array(doc_ids, pa.int64()),
                                        "start": pa.array(bases[shard] + before + ends - sizes, pa.int64()), "ids": raw})
 
-    return (stored.select("shard", "before", "body").mapInArrow(run, "id long, start long, ids binary")
+    return (stored.select("shard", "before", "body").transform(small_batches).mapInArrow(run, "id long, start long, ids binary")
             .withColumnRenamed("id", key))

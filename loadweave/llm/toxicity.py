@@ -19,7 +19,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm.common import mix, multipliers, slices, utf8
+from loadweave.llm.common import mix, multipliers, slices, small_batches, utf8
 from loadweave.session import materialise
 
 BITS = 20
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     # at most train_rows pairs of numbers, so small enough to send to every task
     rows = (docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
             .select("label", "text"))
-    seen = materialise(rows.mapInArrow(_featurise, "label double, found array<int>"), "toxic-features")
+    seen = materialise(rows.transform(small_batches).mapInArrow(_featurise, "label double, found array<int>"), "toxic-features")
     n_pos, n_all = seen.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
     if n_pos in (0, n_all):
         share = np.clip(n_pos / max(n_all, 1), 1e-9, 1 - 1e-9)
@@ -131,4 +131,4 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", key)
+    return rows.transform(small_batches).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", key)
