@@ -1,8 +1,8 @@
 """Line de-duplication over levelled, sorted runs of line hashes.
 
 A run is a bucketed, sorted table of (hash, owner): lines met so far and the document that keeps them.
-Documents come in batches of ascending id. A batch's lines are merge-anti-joined with all runs; what is
-left is new and becomes a run of its own at level 0. ``fanout`` runs of one level are merged to one run
+Documents come in batches of ascending id. A batch's lines, one row per hash, are merge-joined with all runs; what
+no run has is new and becomes a run of its own at level 0. ``fanout`` runs of one level are merged to one run
 of the next, so the number of runs grows with the logarithm of the number of batches. Runs are bucketed
 by hash, so a batch is shuffled once and the runs not at all.
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave.llm.common import slices, small_batches
-from loadweave.session import scratch_path
+from loadweave.session import materialise, scratch_path
 
 MIN_CHARS = 10
 HASH = ["h1", "h2"]
@@ -71,15 +71,16 @@ class Runs:
         self.tables.append(name)
         return self.spark.table(name)
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows of ``lines`` whose hash is in no run."""
-        return reduce(lambda left, run: left.join(run.select(*HASH), HASH, "left_anti"), self.all(), lines)
+    def look_up(self, keys: DataFrame) -> DataFrame:
+        """``keys``, a row per hash, with ``known``: the owner that a run has for it, or null."""
+        for i, run in enumerate(self.all()):
+            keys = keys.join(run.select(*HASH, F.col("owner").alias(f"__{i}")), HASH, "left")
+        owners = [F.col(c) for c in keys.columns if c.startswith("__")]
+        return keys.withColumn("known", F.coalesce(F.lit(None).cast("long"), *owners)).drop(*(f"__{i}" for i in range(len(owners))))
 
-    def add(self, rows: DataFrame) -> DataFrame:
+    def add(self, rows: DataFrame) -> None:
         """Stores (h1, h2, owner) rows, new to all runs, as a run at level 0."""
-        run = self._store(rows)
-        self.levels.setdefault(0, []).append(run)
-        return run
+        self.levels.setdefault(0, []).append(self._store(rows))
 
     def compact(self) -> None:
         level = 0
@@ -107,10 +108,12 @@ def lost_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batc
     runs = Runs(spark, fanout)
     for number in range(len(set(cuts)) + 1):
         own = lines.where(F.col("batch") == number).drop("batch")
-        earlier = runs.all()
-        new = runs.add(runs.unseen(own).groupBy(*HASH).agg(F.min("doc").alias("owner")))
-        found = [own.join(run, HASH).where("owner < doc").select("doc", *HASH) for run in [*earlier, new]]
-        reduce(DataFrame.unionByName, found).write.mode("append").parquet(lost)
+        # one row per hash before any join, however many documents share a line
+        keys = runs.look_up(own.groupBy(*HASH).agg(F.min("doc").alias("owner"), F.count("*").alias("n")))
+        shared = materialise(keys.where("known is not null or n > 1").select(*HASH, F.coalesce("known", "owner").alias("owner")), "shared-lines")
+        runs.add(keys.where("known is null").select(*HASH, "owner"))
+        # not bucketed on either side, so a line that crowds one task is split at run time
+        own.join(shared, HASH).where("owner < doc").select("doc", *HASH).write.mode("append").parquet(lost)
         runs.compact()
     runs.forget()
     return spark.read.schema("doc long, h1 long, h2 long").parquet(lost)
