@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
-#: Rows sent to a Python worker at once: a row may hold a long text, and Spark bounds batches by rows.
-BATCH_ROWS = 500
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and about the bytes, sent to a Python worker at once: a row may hold a long text.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session that sends at most BATCH_ROWS rows at once to Python."""
+    """``df``, in a session that sends no more than BATCH_LIMITS at once to Python."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
-        conf.set(_ROWS, BATCH_ROWS)
+    for key, most in BATCH_LIMITS.items():
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, most)
     return df
 
 

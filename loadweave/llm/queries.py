@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, decontaminate, language_id, line_dedup, simhash, token_files, toxicity
+from loadweave.llm import bpe, decontaminate, language_id, line_dedup, simhash, token_files, top_k, toxicity
 from loadweave.llm.common import crc_mod, table
 from loadweave.session import scratch_path
 
@@ -37,6 +37,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+ORACLE["op2_top_k"] = """
+with good as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from good q join good c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20
+"""
+
+
+@query
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    vectors = table(spark, sf_dir, "embeddings").where(usable).select(
+        "vec_id", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))).alias("vector"))
+    return top_k.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
