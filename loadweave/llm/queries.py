@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, decontaminate, language_id, line_dedup, simhash, token_files, top_k, toxicity
+from loadweave.llm import bpe, decontaminate, language_id, line_dedup, pii, simhash, token_files, top_k, toxicity
 from loadweave.llm.common import crc_mod, table
 from loadweave.session import scratch_path
 
@@ -18,6 +18,9 @@ ORACLE: dict[str, str] = {}
 #: Where the tokenizer file lies on every machine.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+#: Keys the surrogates of the registered query; a real run passes a secret of its own.
+SURROGATE_KEY = "registered query"
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -87,6 +90,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, SURROGATE_KEY).select("doc_id", "n_entities", "text")
+
+
 ORACLE["op9_line_dedup"] = r"""
 with texts as (select doc_id, coalesce(text, '') as text from documents),
 lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from texts),
