@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, decontaminate, language_id, line_dedup, pii, simhash, token_files, top_k, toxicity
+from loadweave.llm import bpe, decontaminate, language_id, line_dedup, pii, pitman_yor, simhash, token_files, top_k, toxicity
 from loadweave.llm.common import crc_mod, table
 from loadweave.session import scratch_path
 
@@ -58,6 +58,16 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@query
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 7) == 2
+    model, pairs = pitman_yor.fit(docs.where(~held_out))
+    return pitman_yor.score(docs, model, pairs).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score")
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
