@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from loadweave.llm.common import slices, small_batches
 from loadweave.llm.pieces import Splitter, byte_letters
 
-#: Pieces kept per worker, and the longest that is kept.
-KEPT, KEPT_LENGTH = 600_000, 64
+#: Pieces in each of a worker's two tables of recent ones, and the longest that is kept.
+KEPT, KEPT_LENGTH = 120_000, 64
 END = "\n"  # stands for the end-of-word mark; no byte letter is a line feed
 
 
@@ -62,7 +62,8 @@ class Bpe:
         self.longest.make_automaton()
         self.own = own
         self.prefix: dict[int, int | None] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str | int, tuple[int, ...]] = {}
+        self.older: dict[str | int, tuple[int, ...]] = {}
         pieces = [(self.shown[i] + " ").encode() if i in self.shown else b"" for i in range(max(self.shown) + 1)]
         self.blob = np.frombuffer(b"".join(pieces), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
@@ -126,7 +127,7 @@ class Bpe:
         return tuple(out)
 
     def _fits(self, left: int, right: int) -> bool:
-        if len(self.compatible) > 4 * KEPT:
+        if len(self.compatible) > 10 * KEPT:
             self.compatible.clear()
         fits = self.compatible[left, right] = self.pair_fits(left, right)
         return fits
@@ -134,16 +135,19 @@ class Bpe:
     def encode(self, text: str) -> list[tuple[int, ...]]:
         """The ids of a text, piece by piece."""
         pieces = self.split.pieces(text)
-        known = self.known
-        new = set(pieces).difference(known)
-        if not new:
-            return [known[p] for p in pieces]
-        if len(known) + len(new) > KEPT:
-            known.clear()
+        new = set(pieces).difference(self.known)
+        if len(self.known) + len(new) > KEPT:
+            # pieces still in use come back from the older table
+            self.older, self.known = self.known, {}
             new = set(pieces)
-        fresh = {p: (p,) if isinstance(p, int) else self.encode_piece(p) for p in new}
-        known.update((p, ids) for p, ids in fresh.items() if isinstance(p, int) or len(p) <= KEPT_LENGTH)
-        return [fresh[p] if p in fresh else known[p] for p in pieces]
+        older, known = self.older, self.known
+        for p in new:
+            known[p] = older.get(p) or ((p,) if isinstance(p, int) else self.encode_piece(p))
+        out = [known[p] for p in pieces]
+        for p in new:
+            if not isinstance(p, int) and len(p) > KEPT_LENGTH:
+                del known[p]
+        return out
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts in a row and their n + 1 offsets, for ids in a row with n + 1 bounds.
@@ -168,29 +172,42 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and ``ids``, the token ids of the whole text (null and empty: none).
+def _ids(bpe: Bpe, texts: pa.Array) -> pa.ListArray:
+    flat, sizes = [np.zeros(0, np.int32)], [0]
+    for value in texts.to_pylist():
+        flat.append(np.fromiter(chain.from_iterable(bpe.encode(value) if value else ()), np.int32))
+        sizes.append(len(flat[-1]))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
 
-    One narrow pass. ``path`` names the tokenizer file on every machine. A column called ``ids`` already
-    there is replaced. Special tokens written in a text are encoded as such.
+
+def _texts(bpe: Bpe, lists: pa.ListArray) -> pa.Array:
+    lists = lists.fill_null([])
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    raw, cuts = bpe.decode(lists.flatten().to_numpy(zero_copy_only=False), bounds)
+    return pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(cuts.astype(np.int64)),
+                                            pa.py_buffer(np.ascontiguousarray(raw))).cast(pa.string())
+
+
+def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """All columns of ``docs`` and ``ids``, the token ids of the whole text (null and empty: none); with
+    ``decoded`` a column of what they decode to as well.
+
+    One narrow pass. ``path`` names the tokenizer file on every machine. Columns of these names already
+    there are replaced. Special tokens written in a text are encoded as such.
     """
-    rest = docs.drop(ids)
+    rest = docs.drop(ids, *([decoded] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
             for part in slices(batch, text):
-                flat, sizes = [], []
-                for value in part.column(text).to_pylist():
-                    coded = bpe.encode(value) if value else []
-                    one = np.fromiter(chain.from_iterable(coded), np.int32)
-                    flat.append(one)
-                    sizes.append(len(one))
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
-                                                  pa.array(np.concatenate(flat), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
-
-    schema = rest.withColumn(ids, F.lit(None).cast("array<int>")).schema
+                new = [_ids(bpe, part.column(text))]
+                if decoded:
+                    new.append(_texts(bpe, new[0]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, ids, decoded][:len(part.columns) + len(new)])
+
+    schema = rest.withColumn(ids, F.lit(None).cast("array<int>"))
+    schema = (schema.withColumn(decoded, F.lit(None).cast("string")) if decoded else schema).schema
     return rest.transform(small_batches).mapInArrow(run, schema)
 
 
@@ -201,18 +218,8 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids", decoded: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
+            for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                at += part.num_rows
-                lists = part.column(ids).fill_null([])
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-                raw, cuts = bpe.decode(flat, bounds)
-                column = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(cuts.astype(np.int64)),
-                                                          pa.py_buffer(np.ascontiguousarray(raw))).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, decoded])
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(bpe, part.column(ids))], [*part.schema.names, decoded])
 
     return rest.transform(small_batches).mapInArrow(run, rest.withColumn(decoded, F.lit(None).cast("string")).schema)
-
-

@@ -44,13 +44,14 @@ class Splitter:
         self.mark = next(iter(self.special), "\0")[:2]
         # Unicode versions differ on letters added of late: such texts are cut by the library itself.
         self.recent = regex.compile(_unassigned()).search
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         self.bytes = {letter: byte for byte, letter in byte_letters().items()}
 
     def plain(self, text: str) -> list[str]:
         if _latin(text):
             return self.find_latin(text.lower())
         if self.recent(text):
+            self.library = self.library or Tokenizer.from_file(self.path)
             whole = self.library.normalizer.normalize_str(text)
             return [bytes(map(self.bytes.__getitem__, piece)).decode()
                     for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(whole)]

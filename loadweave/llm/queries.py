@@ -78,8 +78,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
-    return bpe.decode(coded, TOKENIZER).select(
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, decoded="decoded")
+    return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
         sha256(F.col("decoded")).alias("decoded_sha256"))
