@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +158,7 @@ _LOG = "round(slope * trend_idx + intercept"
 
 @query("idempotent_log", sql(
     f"select series_id, target_timestamp, '1' as model_version, {_LOG}, 4) as predicted_load_mw from eng union all "
-    f"select series_id, target_timestamp, '2', {_LOG} - 5, 4) from eng where dayofweek < 3", "eng", "hol"))
+    f"select series_id, target_timestamp, '2', {_LOG}, 4) from eng where dayofweek < 3", "eng", "hol"))
 def idempotent_log(spark, sf):
     """Two overlapping batches into one log: repeated keys, in a batch or across batches, change nothing."""
     d, bundle = prepared(spark, sf)
@@ -168,7 +170,9 @@ def idempotent_log(spark, sf):
     path = scratch_path(spark, "predictions")
     key = (*KEYS, "target_timestamp", "model_version")
     sinks.insert_or_ignore(first, path, key)
-    sinks.insert_or_ignore(again.unionByName(some).unionByName(lower), path, key)
+    # the first arrival is neither the lowest nor the first row of the batch
+    batch = reduce(DataFrame.unionByName, (df.withColumn("arrived", F.lit(n)) for n, df in ((3, lower), (2, again), (1, some))))
+    sinks.insert_or_ignore(batch, path, key, "arrived")
     sinks.insert_or_ignore(again, path, key)
     log = spark.read.parquet(path)
     return rounded(log.select("series_id", "target_timestamp", "model_version", "predicted_load_mw"), 4, "predicted_load_mw")
@@ -239,10 +243,8 @@ def stream_dead_letter(spark, sf):
 @query("stream_dedup", "select distinct user_id, date_trunc('hour', ts) as event_hour from events")
 def stream_dedup(spark, sf):
     """First event of each user and hour, from the event table read as a stream."""
-    schema = adapters.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = live.read_table(spark, sf, "events.parquet", files_per_batch=100)
     hours = events.select("user_id", adapters.hour_of_event().alias("event_hour"))
     out = scratch_path(spark, "dedup")
-    live.deduplicate(hours, ["user_id", "event_hour"], "event_hour").writeStream.format("parquet").option(
-        "checkpointLocation", scratch_path(spark, "offsets")).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    live.log_distinct(hours, out, ["user_id", "event_hour"], "event_hour", scratch_path(spark, "offsets")).awaitTermination()
     return spark.read.parquet(out).select("user_id", F.col("event_hour").cast("timestamp_ntz").alias("event_hour"))

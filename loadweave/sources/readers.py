@@ -41,12 +41,12 @@ def read_gate_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([
         T.StructField(c, T.StringType() if i == 0 or c.startswith("timestamp") else T.DoubleType())
         for i, c in enumerate(header)])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return nan_to_null(spark.read.schema(schema).option("header", True).csv(path))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet feature table. Order is a matter of the consumer, not of the scan."""
-    return spark.read.parquet(path)
+    return nan_to_null(spark.read.parquet(path))
 
 
 def read_weather_json(spark: SparkSession, path: str) -> DataFrame:
@@ -61,9 +61,9 @@ def explode_payload(df: DataFrame, payload: Column | str = "hourly", keep: Seque
         F.col(f"_h.{name}").alias(name)
         for name in ("time", "temperature_2m", "relative_humidity_2m", "precipitation")])
     rows = df.withColumn("_h", checked).select(*keep, F.inline(zipped))
-    return rows.select(
+    return nan_to_null(rows.select(
         *keep, parse_utc(F.col("time")).alias("timestamp"), F.col("temperature_2m").alias("temp_c"),
-        F.col("relative_humidity_2m").alias("humidity_pct"), F.col("precipitation").alias("precip_mm"))
+        F.col("relative_humidity_2m").alias("humidity_pct"), F.col("precipitation").alias("precip_mm")))
 
 
 def _utc(df: DataFrame, column: str) -> Column:

@@ -45,16 +45,21 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     return df.groupBy(*key).agg(best).select(*key, "_best.*").select(*df.columns)
 
 
-def new_rows(batch: DataFrame, existing: DataFrame | None, key: Sequence[str] = LOG_KEY,
-             order: Sequence[str] = ("predicted_load_mw",)) -> DataFrame:
-    """Rows of the batch whose key the table does not hold yet, one per key."""
-    fresh = first_per_key(batch, key, order)
+def new_rows(batch: DataFrame, existing: DataFrame | None, key: Sequence[str] = LOG_KEY, arrival: str | None = None) -> DataFrame:
+    """Rows of the batch whose key the table does not hold yet: of each key the one that arrived first.
+
+    ``arrival`` names the column that tells (an offset or a time); it is not kept. Without one the order of
+    the rows as read counts, which a batch that has been shuffled no longer has.
+    """
+    order = arrival or "_arrival"
+    timed = batch if arrival else batch.withColumn(order, F.monotonically_increasing_id())
+    fresh = first_per_key(timed, key, (order,)).drop(order)
     return fresh if existing is None else fresh.join(existing.select(*key), list(key), "left_anti")
 
 
-def insert_or_ignore(batch: DataFrame, path: str, key: Sequence[str] = LOG_KEY,
-                     order: Sequence[str] = ("predicted_load_mw",), time_column: str = "target_timestamp") -> None:
-    """Append rows with unseen keys; the first writer of a key wins.
+def insert_or_ignore(batch: DataFrame, path: str, key: Sequence[str] = LOG_KEY, arrival: str | None = None,
+                     time_column: str = "target_timestamp") -> None:
+    """Append rows with unseen keys; the first arrival of a key wins, in a batch and across batches.
 
     Only the part of the table within the batch's time range is looked up: the bounds are pushed
     down to the files. Files offer no lock between the lookup and the append: keep one writer per
@@ -68,7 +73,7 @@ def insert_or_ignore(batch: DataFrame, path: str, key: Sequence[str] = LOG_KEY,
         if first is not None:
             kind = batch.schema[time_column].dataType
             existing = existing.where(F.col(time_column).between(F.lit(first).cast(kind), F.lit(last).cast(kind)))
-    new_rows(batch, existing, key, order).write.mode("append").parquet(path)
+    new_rows(batch, existing, key, arrival).write.mode("append").parquet(path)
 
 
 def prediction_log_rows(scored: DataFrame, features: Sequence[str], name: str, version: str,

@@ -22,10 +22,29 @@ def read_requests(spark: SparkSession, path: str, schema: str, fmt: str = "json"
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
-def deduplicate(stream: DataFrame, key: Sequence[str], time_field: str, delay: str = "2 hours") -> DataFrame:
-    """First row per key while the watermark remembers it. Event time must carry a zone, hence the cast."""
-    timed = stream.withColumn(time_field, F.col(time_field).cast("timestamp")).withWatermark(time_field, delay)
-    return timed.dropDuplicatesWithinWatermark(list(key))
+def read_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """The Parquet table ``name`` of a folder as a stream, whether it is one file or a folder of part files."""
+    path = f"{folder}/{name}"
+    table = spark.read.parquet(path)
+    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch)
+    if any(f.endswith(f"/{name}") for f in table.inputFiles()[:1]):  # a stream watches folders
+        return source.option("pathGlobFilter", name).parquet(folder)
+    return source.parquet(path)
+
+
+def log_distinct(stream: DataFrame, path: str, key: Sequence[str], time_column: str, checkpoint: str,
+                 available_now: bool = True) -> StreamingQuery:
+    """Appends the first row per key to the table at ``path``, however late it comes: a batch drops its own
+    repeats and what the table already holds, so no state has to be kept and none is forgotten."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            insert_or_ignore(held, path, key=key, time_column=time_column)
+        finally:
+            held.unpersist()
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def score_micro_batch(batch: DataFrame, batch_id: int, bundle: Bundle, layout: Layout, root: str,
@@ -37,13 +56,16 @@ def score_micro_batch(batch: DataFrame, batch_id: int, bundle: Bundle, layout: L
     try:
         refused = checked.where(~F.col("is_valid")).select(*layout.keys, payload, "errors")
         refused.write.mode("overwrite").parquet(f"{root}/dead_letter/batch={batch_id}")
-        scored = predict(checked.where("is_valid").drop("errors", "is_valid", payload), bundle, layout)
+        # responses and the log both read the forecasts
+        scored = predict(checked.where("is_valid").drop("errors", "is_valid", payload), bundle, layout).persist()
         respond(scored, bundle, layout.keys).write.mode("overwrite").parquet(f"{root}/responses/batch={batch_id}")
         try:
             rows = prediction_log_rows(scored, inputs, bundle.name, str(bundle.version), layout.keys)
             insert_or_ignore(rows, f"{root}/predictions", key=(*layout.keys, "target_timestamp", "model_version"))
         except Exception:
             log.exception("batch %s: forecasts were made but could not be logged", batch_id)
+        finally:
+            scored.unpersist()
     finally:
         checked.unpersist()
 

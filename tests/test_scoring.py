@@ -144,7 +144,21 @@ def test_insert_or_ignore(spark):
     sinks.insert_or_ignore(make(("t1", "1", 10.0), ("t1", "1", 9.0), ("t2", "1", 5.0)), path)
     sinks.insert_or_ignore(make(("t1", "1", 1.0), ("t1", "2", 2.0)), path)
     got = sorted(tuple(r) for r in spark.read.parquet(path).collect())
-    assert got == [("t1", "1", 9.0), ("t1", "2", 2.0), ("t2", "1", 5.0)]
+    assert got == [("t1", "1", 10.0), ("t1", "2", 2.0), ("t2", "1", 5.0)]
+    late = make(("t9", "1", 1.0), ("t9", "1", 2.0)).withColumn("arrived", 5 - F.col("predicted_load_mw"))
+    sinks.insert_or_ignore(late, path, arrival="arrived")
+    log = spark.read.parquet(path)
+    assert log.where("target_timestamp = 't9'").first()["predicted_load_mw"] == 2.0 and log.count() == 4
+
+
+def test_log_distinct_drops_no_late_row(spark):
+    source, out = scratch_path(spark, "events"), scratch_path(spark, "distinct")
+    for hour in (20, 3, 20, 11, 0, 3):  # far beyond any watermark, out of order, one file each
+        spark.sql(f"select 1 as user_id, timestamp_ntz'2024-01-01' + interval {hour} hours as h").coalesce(1).write.mode("append").parquet(source)
+    folder, name = source.rsplit("/", 1)
+    stream = live.read_table(spark, folder, name, files_per_batch=1)
+    live.log_distinct(stream, out, ["user_id", "h"], "h", scratch_path(spark, "offsets")).awaitTermination()
+    assert sorted(r["h"].hour for r in spark.read.parquet(out).collect()) == [0, 3, 11, 20]
 
 
 def test_files_round_trip(spark, tmp_path, hourly):
