@@ -181,7 +181,7 @@ def best_model(spark, sf):
         f"('{a}', '{b}', c{i}{j})" for i, a in enumerate(MODELS) for j, b in enumerate(MODELS)) + ") v(model_a, model_b, c)",
     "oofw", "hol"))
 def residual_corr(spark, sf):
-    wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
+    wide = forecast.simple_wide(train_rows(spark, sf), FOLDS, DAILY, MODELS)
     return rounded(forecast.residual_correlation(wide, MODELS), 6, "corr")
 
 
@@ -194,7 +194,7 @@ _TRI = [(i, j) for i in range(3) for j in range(i, 3)]
     + " from oofw), lateral (values " + ", ".join(f"('{MODELS[i]}', '{MODELS[j]}', s{i}{j})" for i, j in _TRI)
     + ") v(model_a, model_b, s)", "oofw", "hol"))
 def error_gram(spark, sf):
-    wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
+    wide = forecast.simple_wide(train_rows(spark, sf), FOLDS, DAILY, MODELS)
     out = ensemble.error_gram(wide, MODELS)
     return out.select("model_a", "model_b", F.round(F.col("sum_ee") / F.col("n_rows") / 1e6, 4).alias("mean_ee"), "n_rows")
 
@@ -202,7 +202,7 @@ def error_gram(spark, sf):
 @query("ensemble_blend", sql(
     "select series_id, timestamp, y_true, round(0.2 * constant + 0.3 * persistence + 0.5 * trend, 4) as y_pred from oofw", "oofw", "hol"))
 def ensemble_blend(spark, sf):
-    wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
+    wide = forecast.simple_wide(train_rows(spark, sf), FOLDS, DAILY, MODELS)
     mix = forecast.blend({"constant": 0.2, "persistence": 0.3, "trend": 0.5})
     return wide.select("series_id", "timestamp", "y_true", F.round(mix, 4).alias("y_pred"))
 
@@ -218,8 +218,7 @@ def _weights(spark, ens: ensemble.Ensemble) -> DataFrame:
     "oofw", "hol"))
 def alpha_scores(spark, sf):
     """Two measures of every mix of two models, each measure in one aggregation."""
-    oof = naive_and_trend(train_rows(spark, sf))
-    wide = materialise(forecast.oof_wide(oof, MODELS, DAILY), "wide")
+    wide = materialise(forecast.simple_wide(train_rows(spark, sf), FOLDS, DAILY, MODELS), "wide")
     shares = [i / 10 for i in range(11)]
     mixes = [{"trend": 1 - a, "persistence": a} for a in shares]
     scores = zip(shares, ensemble.spark_scorer(wide, metrics.rmse)(mixes), ensemble.spark_scorer(wide, metrics.mae)(mixes))
@@ -229,14 +228,14 @@ def alpha_scores(spark, sf):
 @query("hill_climb_vote")
 def hill_climb_vote(spark, sf):
     """Equal-vote ensemble found from the error matrix."""
-    wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
+    wide = forecast.simple_wide(train_rows(spark, sf), FOLDS, DAILY, MODELS)
     return _weights(spark, ensemble.vote_ensemble(ensemble.Gram.collect(wide, MODELS)))
 
 
 @query("hill_climb_alpha")
 def hill_climb_alpha(spark, sf):
     """Share-by-share ensemble found from the error matrix, negative weights allowed."""
-    wide = forecast.oof_wide(naive_and_trend(train_rows(spark, sf)), MODELS, DAILY)
+    wide = forecast.simple_wide(train_rows(spark, sf), FOLDS, DAILY, MODELS)
     gram = ensemble.Gram.collect(wide, MODELS)
     return _weights(spark, ensemble.blend_ensemble(ensemble.gram_scorer(gram), MODELS, negative_weights=True))
 

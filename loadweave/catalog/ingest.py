@@ -33,7 +33,9 @@ def weather_json_explode(spark, sf):
     return readers.explode_payload(parsed, F.col("payload.hourly"), ["city"])
 
 
-ZONES = ["click", "view", "purchase", "signup", "error"]
+def wide_load(hourly):
+    """A landed table with a column for each zone there is."""
+    return hourly.groupBy(F.col("timestamp").alias("interval_start_utc")).pivot("series_id").agg(F.max(TARGET))
 
 
 @query("load_zones", sql(
@@ -41,15 +43,14 @@ ZONES = ["click", "view", "purchase", "signup", "error"]
 def load_zones(spark, sf):
     """A landed wide table with a column per zone, turned into one series per zone."""
     hourly = adapters.hourly_load(spark, sf)
-    wide = hourly.groupBy(F.col("timestamp").alias("interval_start_utc")).pivot("series_id", ZONES).agg(F.max(TARGET))
-    return readers.normalise_all_zones(wide, ZONES).where(F.col(TARGET).isNotNull())
+    wide = wide_load(hourly)
+    return readers.normalise_all_zones(wide, wide.columns[1:]).where(F.col(TARGET).isNotNull())
 
 
 @query("load_one_zone", sql(
     "select timestamp, actual_load_mw from hl where series_id = 'click'", "hl"))
 def load_one_zone(spark, sf):
-    hourly = adapters.hourly_load(spark, sf)
-    wide = hourly.groupBy(F.col("timestamp").alias("interval_start_utc")).pivot("series_id", ZONES).agg(F.max(TARGET))
+    wide = wide_load(adapters.hourly_load(spark, sf))
     return readers.normalise_load(wide, "click").where(F.col(TARGET).isNotNull())
 
 

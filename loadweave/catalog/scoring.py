@@ -12,7 +12,7 @@ from loadweave.catalog.experiment import SMALL, naive_and_trend
 from loadweave.catalog.registry import query, rounded
 from loadweave.catalog.tables import Daily, daily
 from loadweave.config import CHAMPION, DAILY, FEATURES_V3, MODEL_NAME, PARITY_TOLERANCE
-from loadweave.operators import align, forecast
+from loadweave.operators import align, forecast, quality
 from loadweave.operators.features import model_input_columns
 from loadweave.operators.gaps import series_bounds
 from loadweave.plans import experiment as lab
@@ -67,6 +67,17 @@ def engineered_check(spark, sf):
     return align.null_report(scoring.engineer_with_state(d.test, bundle, DAILY), INPUTS)
 
 
+@query("output_check", sql(
+    "select 'null' as problem, 'humidity_pct' as column_name, cast(count(*) as bigint) as n from eng where dayofweek = 0 having count(*) > 0 "
+    "union all select 'absent', 'tmax', null union all select 'surplus', 'note', null union all select 'text', 'note', null", "eng", "hol"))
+def output_check(spark, sf):
+    """Model-ready rows with a column lost, a text column added and one day's humidity missing."""
+    d, bundle = prepared(spark, sf)
+    rows = scoring.engineer_with_state(d.test, bundle, DAILY).select(*INPUTS).drop("tmax").withColumns({
+        "humidity_pct": F.when(F.col("dayofweek") != 0, F.col("humidity_pct")), "note": F.lit("x")})
+    return quality.output_problems(rows, INPUTS)
+
+
 @query("contract_validation", sql(
     "select series_id, target_timestamp, case when dayofweek = 0 and humidity_pct * 3 > 100 then 'humidity_pct:range' "
     "when dayofweek = 1 then 'hour:type' when dayofweek = 2 and precip_mm > 0 then 'precip_mm:range' "
@@ -102,13 +113,15 @@ def score_batch(spark, sf):
 
 @query("registry_round_trip", sql(
     f"select series_id, target_timestamp, round(slope * trend_idx + intercept, 4) as predicted_load_mw, '{MODEL_NAME}' as model_name, "
-    f"'2' as model_version, '{CHAMPION}' as model_alias from eng", "eng", "hol"))
+    f"'1' as model_version, '{CHAMPION}' as model_alias from eng", "eng", "hol"))
 def registry_round_trip(spark, sf):
-    """Two versions registered; the newest champion is loaded from its files and scores the test rows."""
+    """Two versions take the alias, which is then rolled back: the first is loaded and scores the test rows."""
     d, bundle = prepared(spark, sf)
     root = scratch_path(spark, "models")
     for _ in range(2):
-        registry.register(spark, root, bundle.state, None, FEATURES, "trend", "v3_holiday", str(d.split.train_end), str(d.split.test_start))
+        registry.register(spark, root, bundle.state, None, FEATURES, "trend", "v3_holiday", str(d.split.train_end), str(d.split.test_start),
+                          alias=CHAMPION)
+    registry.roll_back(spark, root)
     responses, _ = scoring.score_batch(d.test, registry.load_champion(spark, root), DAILY)
     return rounded(responses.drop("predicted_at"), 4, "predicted_load_mw")
 
@@ -137,19 +150,26 @@ def score_parity(spark, sf):
 
 @query("champion_lookup", sql(
     "m as (select model, fold_id, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) as rmse from oof group by 1, 2) "
-    "select model as model_name, cast(max(fold_id) as int) as model_version, round(arg_max(rmse, fold_id), 4) as rmse, "
-    "false as use_holiday_feature from (select *, avg(rmse) over (partition by model) as a from m) where rmse <= a group by 1",
+    "select model as model_name, case when newest > oldest then first else last end as model_version, "
+    "round(case when newest > oldest then oldest else newest end, 4) as rmse, false as use_holiday_feature from ("
+    "select model, cast(min(fold_id) as int) as first, cast(max(fold_id) as int) as last, arg_min(rmse, fold_id) as oldest, "
+    "arg_max(rmse, fold_id) as newest from (select *, avg(rmse) over (partition by model) as a from m) where rmse <= a group by 1)",
     "oof", "hol").replace(") m as", "), m as"))
 def champion_lookup(spark, sf):
-    """Folds as versions: those no worse than their model's mean hold the alias, the newest is champion."""
+    """Folds as versions: those no worse than their model's mean take the alias in turn, and it moves back to
+    the first of them if the newest is worse."""
     from pyspark.sql import Window
     versions = forecast.oof_metrics(naive_and_trend(daily(spark, sf).train), ("model", "fold_id"))
     mean = F.avg("rmse").over(Window.partitionBy("model"))  # one row per fold in each group
     rows = versions.select(
         F.col("model").alias("model_name"), F.col("fold_id").alias("model_version"), "rmse",
-        F.when(F.col("rmse") <= mean, F.lit(CHAMPION)).otherwise(F.lit("candidate")).alias("alias"),
-        F.array(*[F.lit(c) for c in FEATURES_V3]).alias("features"))
-    out = registry.champion_rows(rows)
+        (F.col("rmse") <= mean).alias("good"), F.array(*[F.lit(c) for c in FEATURES_V3]).alias("features"))
+    taken = rows.where("good").select("model_name", "model_version", F.col("model_version").alias("set_no"), "rmse")
+    back = (taken.groupBy("model_name")
+            .agg(F.min_by(F.struct("model_version", "rmse"), "set_no").alias("old"), F.max_by(F.struct("set_no", "rmse"), "set_no").alias("new"))
+            .where("new.rmse > old.rmse").select("model_name", "old.model_version", (F.col("new.set_no") + 1).alias("set_no")))
+    aliases = taken.drop("rmse").unionByName(back).withColumn("alias", F.lit(CHAMPION))
+    out = registry.champion_rows(rows, aliases)
     return out.select("model_name", "model_version", F.round("rmse", 4).alias("rmse"), "use_holiday_feature")
 
 
@@ -200,7 +220,7 @@ def registered_champion(spark, sf):
     state = lab.fit_state(d.train, series_bounds(d.core, DAILY), DAILY, use_holiday=True)
     root = scratch_path(spark, "models")
     registry.register(spark, root, state, model, FEATURES, "trend_plus_gbt_a", "v3_holiday",
-                      str(d.split.train_end), str(d.split.test_start), SMALL)
+                      str(d.split.train_end), str(d.split.test_start), SMALL, alias=CHAMPION)
     bundle = registry.load_champion(spark, root)
     responses, _ = scoring.score_batch(d.test, bundle, DAILY)
     return responses.drop("predicted_at")

@@ -25,7 +25,7 @@ def hourly_joined(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hourly_core(spark: SparkSession, sf: str) -> DataFrame:
-    return feat.core_features(hourly_joined(spark, sf), HOURLY)
+    return feat.core_features(hourly_joined(spark, sf), HOURLY, aligned=True)
 
 
 def daily_joined(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def daily_joined(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily_core(spark: SparkSession, sf: str) -> DataFrame:
-    return feat.core_features(daily_joined(spark, sf), DAILY, feat.DAY_LAGS)
+    return feat.core_features(daily_joined(spark, sf), DAILY, feat.DAY_LAGS, aligned=True)
 
 
 def daily_base(spark: SparkSession, sf: str) -> DataFrame:

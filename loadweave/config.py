@@ -40,7 +40,6 @@ FEATURES_V2 = FEATURES + [
     "is_extreme_heat_event", "is_extreme_cold_event", "is_holiday_x_extreme",
 ]
 FEATURES_V3 = FEATURES_V2 + ["temp_change_vs_lag24", "is_high_precip_event"]
-FEATURE_SETS = {"v1": FEATURES, "v2": FEATURES_V2, "v3": FEATURES_V3}
 
 # --- Fixed values: columns of the core table and of a raw scoring slice ----------------------
 CORE_COLUMNS = [
@@ -116,7 +115,7 @@ FIELD_SPECS = {
     "holiday_freq": ("float", 0, 1),
     "trend_idx": ("float", None, None),
 }
-MODEL_NAME = "Electricity-Load-Forecaster"
+MODEL_NAME = "loadweave-load"
 CHAMPION = "champion"
 PARITY_TOLERANCE = 1e-4
 SEED = 42

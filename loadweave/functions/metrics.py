@@ -32,7 +32,3 @@ def mae(y: Column, p: Column) -> Column:
 def peak_mape(y: Column, p: Column, cutoff: Column) -> Column:
     """Percentage error over rows whose actual reaches the cutoff (inclusive)."""
     return F.avg(F.when(y >= cutoff, percentage_error(y, p))) * 100
-
-
-def max_abs_difference(a: Column, b: Column) -> Column:
-    return F.max(F.abs(a - b))

@@ -53,11 +53,6 @@ def normalise(weights: Sequence[float]) -> list[float]:
     return list(weights) if total == 0 else [w / total for w in weights]
 
 
-def normalise_over(weight: Column, total: Column) -> Column:
-    """Column form of :func:`normalise`: a zero total leaves the weight alone."""
-    return F.when(total == 0, weight).otherwise(weight / total)
-
-
 def equal_width_bin(x: Column, lo: Column, hi: Column, n: int) -> Column:
     """Index of the half-open bin holding ``x``; ``x == hi`` gets index ``n``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -21,10 +21,6 @@ def to_local(ts: Column, zone: str = LOCAL_ZONE) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))
 
 
-def to_utc(local: Column, zone: str = LOCAL_ZONE) -> Column:
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), local.cast("timestamp_ntz"))
-
-
 def local_day(ts: Column, zone: str = LOCAL_ZONE) -> Column:
     return F.to_date(to_local(ts, zone))
 
@@ -53,10 +49,6 @@ def gate_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss'+00:00'")
 
 
-def hour_of(local: Column) -> Column:
-    return F.hour(local)
-
-
 def weekday_of(local: Column) -> Column:
     """0 = Monday ... 6 = Sunday."""
     return F.weekday(local)
@@ -72,9 +64,5 @@ def local_midnight_utc(text: str, zone: str = LOCAL_ZONE) -> datetime:
     return local.astimezone(timezone.utc).replace(tzinfo=None)
 
 
-def minus_days(moment: datetime, days: float) -> datetime:
-    return moment - timedelta(days=days)
-
-
 def ntz(moment: datetime | str) -> Column:
     return F.lit(str(moment)).cast("timestamp_ntz")

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadweave.config import (
-    COLD_Q, CORE_COLUMNS, FEATURES_V3, HEAT_Q, LOCAL_ZONE, PRECIP_Q, RAW_REQUIRED, TARGET, Layout,
+    COLD_Q, CORE_COLUMNS, HEAT_Q, LOCAL_ZONE, PRECIP_Q, TARGET, Layout,
 )
-from loadweave.functions.scalar import either, flag, require_columns
+from loadweave.functions.scalar import either, flag
 from loadweave.functions.timefn import to_local, weekday_of, is_weekend, years_since
 from loadweave.operators.blocks import change_from, on_clock, on_rows, rolling_std, time_lags
 from loadweave.operators.folds import Fold, fit_by_fold
-from loadweave.operators.gaps import gap_fill
+from loadweave.operators.gaps import gap_fill, on_grid
 from loadweave.operators.holidays import add_holiday_name, calendar_bounds, with_holiday_name
 
 HOUR_LAGS = {"load_lag_24": (TARGET, 24), "load_lag_168": (TARGET, 168)}
@@ -40,14 +40,19 @@ def holiday_flag(df: DataFrame, layout: Layout, zone: str = LOCAL_ZONE) -> DataF
 
 
 def core_features(joined: DataFrame, layout: Layout, lags: Mapping[str, tuple[str, int]] = HOUR_LAGS,
-                  zone: str = LOCAL_ZONE) -> DataFrame:
+                  zone: str = LOCAL_ZONE, aligned: bool = False) -> DataFrame:
     """Calendar, holiday and lag features of a joined table, warm-up and gap rows removed.
 
+    Rows off the grid that a series' first timestamp sets are left out, as a gap fill would; pass
+    ``aligned=True`` when all timestamps are known to be whole steps.
+
     Lags are looked up on the clock, which gives what shifting a gap-filled series would. Rows a
     gap fill would insert have no load and are dropped at the end anyway, so they are never made.
     The holiday calendar starts with the series, which only matters on its first local day; when a
     lag reaches back further than a day, no row of that day survives and the span is not needed.
     """
+    if not aligned:
+        joined = on_grid(joined, layout)
     labelled = joined.withColumn("timestamp_central", to_local(F.col(layout.ts), zone))
     lagged = calendar_features(time_lags(labelled, layout, lags).dropna(subset=[TARGET, *lags]))
     longest_day = 25 * 3600
@@ -197,23 +202,3 @@ def apply_fold_features(rows: DataFrame, source: DataFrame, folds: Sequence[Fold
 
 def model_input_columns(features: Sequence[str]) -> list[str]:
     return [*features, "trend_idx"]
-
-
-def engineer_features(df: DataFrame, thresholds: Mapping[str, float], trend_origin: str | Column,
-                      freq_map: Mapping[str, float] | None = None, use_holiday: bool = True,
-                      ts: str = "timestamp", keep: Sequence[str] = ()) -> DataFrame:
-    """Model-ready rows from raw rows plus a fitted state; nothing is fitted here."""
-    require_columns(df, [*RAW_REQUIRED, ts])
-    if use_holiday and freq_map is None:
-        raise ValueError("the holiday feature needs a frequency map")
-    origin = trend_origin if isinstance(trend_origin, Column) else F.lit(str(trend_origin)).cast("timestamp_ntz")
-    out = df.withColumn("trend_idx", years_since(F.col(ts), origin)).withColumns(
-        extreme_event_columns(*[F.lit(float(thresholds[k])) for k in ("heat", "cold", "precip")]))
-    features = list(FEATURES_V3)
-    if use_holiday:
-        known = reduce(
-            lambda rest, kv: F.when(F.col("holiday_name") == kv[0], F.lit(float(kv[1]))).otherwise(rest),
-            freq_map.items(), F.lit(0.0))
-        out = out.withColumn("holiday_freq", known)
-        features.append("holiday_freq")
-    return out.select(*keep, *model_input_columns(features))

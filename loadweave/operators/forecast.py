@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loadweave.config import PEAK_SHARE, TARGET, Layout
 from loadweave.functions import metrics
 from loadweave.functions.scalar import is_finite
-from loadweave.operators.folds import Fold, fit_by_fold, fold_roles
+from loadweave.operators.folds import Fold, fit_by_fold, fold_roles, validation_overlaps
 from loadweave.operators.quantiles import exact_quantiles
 
 OOF = ("model", "fold_id", "y_true", "y_pred")
@@ -53,13 +53,30 @@ SIMPLE_MODELS = {
 }
 
 
-def simple_oof(df: DataFrame, folds: Sequence[Fold], layout: Layout,
-               models: Sequence[str] = tuple(SIMPLE_MODELS)) -> DataFrame:
-    """Forecasts of the models that one aggregation can fit: all folds and models in one pass."""
+def _fitted(df: DataFrame, folds: Sequence[Fold], layout: Layout, models: Sequence[str]) -> DataFrame:
+    """Validation rows of each fold beside what the models fitted on its train rows."""
     stats = {k: fn for m in models for k, fn in SIMPLE_MODELS[m][0].items()}
     val = fold_roles(df, folds, layout.ts, roles=("val",))
     if stats:
         val = val.join(fit_by_fold(df, folds, layout.keys, stats, layout.ts), [*layout.keys, "fold_id"])
+    return val
+
+
+def simple_wide(df: DataFrame, folds: Sequence[Fold], layout: Layout,
+                models: Sequence[str] = tuple(SIMPLE_MODELS)) -> DataFrame:
+    """The same forecasts as one column per model, rows that every model forecasts: a row's forecasts are
+    made side by side, so nothing is shuffled to bring them together. Folds must not validate a row twice."""
+    if validation_overlaps(folds):
+        raise ValueError("validation ranges overlap: use oof_wide on merged forecasts")
+    wide = _fitted(df, folds, layout, models).select(
+        *layout.order, F.col(TARGET).alias("y_true"), *[SIMPLE_MODELS[m][1]().alias(m) for m in models])
+    return wide.dropna(subset=list(models))
+
+
+def simple_oof(df: DataFrame, folds: Sequence[Fold], layout: Layout,
+               models: Sequence[str] = tuple(SIMPLE_MODELS)) -> DataFrame:
+    """Forecasts of the models that one aggregation can fit: all folds and models in one pass."""
+    val = _fitted(df, folds, layout, models)
     forecasts = F.array(*[
         F.struct(F.lit(m).alias("model"), SIMPLE_MODELS[m][1]().alias("y_pred")) for m in models])
     return val.select(*layout.order, "fold_id", F.col(TARGET).alias("y_true"), F.inline(forecasts)).select(
@@ -93,7 +110,6 @@ def scaled(column: str) -> Column:
 
 def last_fold_wins(oof: DataFrame, layout: Layout, folds: Sequence[Fold] | None = None) -> DataFrame:
     """Where validation ranges overlap, the forecast of the latest fold stands."""
-    from loadweave.operators.folds import validation_overlaps
     if folds is not None and not validation_overlaps(folds):
         return oof
     return oof.groupBy(*layout.order, "model").agg(

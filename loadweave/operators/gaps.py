@@ -54,6 +54,13 @@ def gap_report(df: DataFrame, layout: Layout, block: int = BLOCK) -> DataFrame:
     )
 
 
+def on_grid(df: DataFrame, layout: Layout) -> DataFrame:
+    """Rows that lie whole steps after their series' first row."""
+    first = df.groupBy(*layout.keys).agg(F.min(layout.ts).alias("_first"))
+    since = F.unix_micros(F.col(layout.ts).cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))
+    return df.join(first, list(layout.keys)).where(since % (layout.step * 1_000_000) == 0).drop("_first")
+
+
 def gap_fill(df: DataFrame, layout: Layout, zone: str = LOCAL_ZONE, local_name: str | None = "timestamp_central",
              block: int = BLOCK, aligned: bool = False) -> DataFrame:
     """One row per step from a series' first to its last row; absent steps come in with nulls.
@@ -67,9 +74,7 @@ def gap_fill(df: DataFrame, layout: Layout, zone: str = LOCAL_ZONE, local_name:
     ts, step = layout.ts, layout.step
     values = [c for c in df.columns if c not in layout.order]
     if not aligned:
-        first = df.groupBy(*keys).agg(F.min(ts).alias("_first"))
-        since = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))
-        df = df.join(first, keys).where(since % (step * 1_000_000) == 0).drop("_first")
+        df = on_grid(df, layout)
 
     def as_ts(seconds):
         return F.timestamp_seconds(seconds).cast("timestamp_ntz")

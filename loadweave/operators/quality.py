@@ -155,22 +155,21 @@ def run_gate(spark: SparkSession, path: str, suite: Sequence[Check] | None = Non
         return False
 
 
-def non_numeric(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
+def output_problems(df: DataFrame, expected: Sequence[str] | None = None,
+                    aside: Sequence[str] = ("trend_idx",)) -> DataFrame:
+    """``(problem, column_name, n)`` of a model-ready table, no row where nothing is wrong.
 
-
-def output_problems(df: DataFrame, expected: Sequence[str] | None) -> list[str]:
-    """What is wrong with a model-ready frame: nulls, column differences, non-numeric columns."""
-    problems = []
-    nulls = df.agg(reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])).first()[0]
-    if nulls:
-        problems.append(f"{nulls} null value(s)")
+    ``null`` counts the rows a column lacks; ``text`` (a column models cannot read), ``absent`` and
+    ``surplus`` (against ``expected``, which need not list the columns ``aside``) hold for a whole
+    column and have no count. One pass over the data.
+    """
+    findings = [("null", c, F.count_if(F.col(c).isNull())) for c in df.columns]
+    unknown = F.lit(None).cast("long")
+    findings += [("text", f.name, unknown) for f in df.schema if not isinstance(f.dataType, T.NumericType)]
     if expected is not None:
-        have = {c for c in df.columns if c != "trend_idx"}
-        if missing := sorted(set(expected) - have):
-            problems.append(f"missing columns: {missing}")
-        if extra := sorted(have - set(expected)):
-            problems.append(f"extra columns: {extra}")
-    if odd := non_numeric(df):
-        problems.append(f"non-numeric columns: {odd}")
-    return problems
+        listed = {*expected, *aside}
+        findings += [("surplus", c, unknown) for c in df.columns if c not in listed]
+        findings += [("absent", c, unknown) for c in expected if c not in df.columns]
+    cells = [F.struct(F.lit(problem).alias("problem"), F.lit(column).alias("column_name"), n.alias("n"))
+             for problem, column, n in findings]
+    return df.agg(F.array(*cells).alias("_all")).select(F.inline("_all")).where("n is null or n > 0")

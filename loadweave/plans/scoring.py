@@ -15,6 +15,8 @@ from loadweave.operators.forecast import trend_value
 from loadweave.plans.registry import Bundle
 
 TIME_FIELD = "target_timestamp"
+#: The fitted line, carried from the state to the forecast.
+LINE = ("slope", "intercept")
 
 
 def check_fields(features: Sequence[str]) -> None:
@@ -66,9 +68,14 @@ def validate_json(df: DataFrame, payload: str, features: Sequence[str], keep: Se
     def text(name: str) -> str:
         return f"try_element_at(_f, '{name}')"
 
+    def number(name: str) -> str:
+        # a cast also reads a type letter behind the digits, which is not a number to a client
+        suffixed = f"{text(name)} rlike '[0-9.][dDfF][^0-9A-Za-z]*$'"
+        return f"case when not ({suffixed}) then try_cast({text(name)} as double) end"
+
     parsed = df.withColumn("_f", F.from_json(F.col(payload), "map<string,string>"))
     typed = parsed.withColumns({
-        **{f"_v_{n}": F.expr(f"try_cast({text(n)} as double)") for n in features},
+        **{f"_v_{n}": F.expr(number(n)) for n in features},
         TIME_FIELD: parse_utc(F.expr(text(TIME_FIELD))),
     })
     body = "_f is not null"
@@ -106,14 +113,15 @@ def engineer_with_state(raw: DataFrame, bundle: Bundle, layout: Layout, keep: Se
 
 
 def predict(df: DataFrame, bundle: Bundle, layout: Layout) -> DataFrame:
-    """Trend plus residual; ``df`` carries the keys and the model inputs."""
-    lines = bundle.state.select(*layout.keys, "slope", "intercept")
-    scored = df.join(lines, list(layout.keys))
+    """Trend plus residual; ``df`` carries the keys and the model inputs, and the line if the state was joined before."""
+    scored = df
+    if not set(LINE) <= set(df.columns):
+        scored = df.join(bundle.state.select(*layout.keys, *LINE), list(layout.keys))
     if bundle.residual_model is None:
-        return scored.withColumn("predicted_load_mw", trend_value()).drop("slope", "intercept")
+        return scored.withColumn("predicted_load_mw", trend_value()).drop(*LINE)
     with_residual = bundle.residual_model.transform(scored)
     return with_residual.withColumn("predicted_load_mw", trend_value() + F.col("residual_pred")).drop(
-        "slope", "intercept", "features", "residual_pred")
+        *LINE, "features", "residual_pred")
 
 
 def respond(scored: DataFrame, bundle: Bundle, keep: Sequence[str] = ()) -> DataFrame:
@@ -126,9 +134,10 @@ def respond(scored: DataFrame, bundle: Bundle, keep: Sequence[str] = ()) -> Data
 def score_batch(raw: DataFrame, bundle: Bundle, layout: Layout) -> tuple[DataFrame, DataFrame]:
     """Raw slice -> (responses, rejected rows)."""
     inputs = model_input_columns(bundle.features)
-    checked = validate_columns(engineer_with_state(raw, bundle, layout), inputs, ignore=layout.keys)
+    rows = engineer_with_state(raw, bundle, layout, keep=LINE)
+    checked = validate_columns(rows, inputs, ignore=(*layout.keys, *LINE))
     scored = predict(checked.where("is_valid").drop("errors", "is_valid"), bundle, layout)
-    return respond(scored, bundle, layout.keys), checked.where(~F.col("is_valid"))
+    return respond(scored, bundle, layout.keys), checked.where(~F.col("is_valid")).drop(*LINE)
 
 
 def batch_summary(responses: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadweave.config import FEATURES_V3, FIELD_SPECS, HOURLY, PARITY_TOLERANCE, RAW_REQUIRED
-from loadweave.operators import features as feat, forecast
+from loadweave.operators import forecast
 from loadweave.operators.features import model_input_columns
 from loadweave.plans import experiment as lab, registry, scoring
 from loadweave.session import scratch_path
@@ -67,7 +67,7 @@ def fitted(spark):
     root = scratch_path(spark, "models")
     state = lab.fit_state(train, origin, HOURLY, True)
     for family in ("old", "trend_plus_gbt_a"):
-        registry.register(spark, root, state, model, FEATURES, family, "v3_holiday", "a", "b", small)
+        registry.register(spark, root, state, model, FEATURES, family, "v3_holiday", "a", "b", small, alias="champion")
     registry.register(spark, root, state, None, FEATURES, "trend", "v3_holiday", "a", "b", alias="shadow")
     return root, scored, test.select("series_id", "timestamp", *RAW_REQUIRED)
 
@@ -88,18 +88,31 @@ def test_champion_scores_as_the_final_fit_did(spark, fitted):
     assert {"model_name", "model_version", "model_alias", "predicted_at"} <= set(responses.columns)
 
 
-def test_engineering_needs_its_columns_and_map(spark, fitted):
-    _, _, raw = fitted
-    thresholds = {"heat": 15.0, "cold": 5.0, "precip": 14.0}
+def test_engineering_needs_its_columns(spark, fitted):
+    root, _, raw = fitted
     with pytest.raises(ValueError, match="tmax"):
-        feat.engineer_features(raw.drop("tmax"), thresholds, "2020-01-01", {})
-    with pytest.raises(ValueError, match="frequency map"):
-        feat.engineer_features(raw, thresholds, "2020-01-01")
-    out = feat.engineer_features(raw, thresholds, "2020-01-01", {"X": 0.75}, keep=["holiday_name"])
-    assert out.columns == ["holiday_name", *INPUTS]
-    assert {r[0] for r in out.where("holiday_name = 'X'").select("holiday_freq").distinct().collect()} == {0.75}
-    assert out.where("holiday_name is null and holiday_freq <> 0").count() == 0
-    assert feat.engineer_features(raw, thresholds, "2020-01-01", use_holiday=False).columns == model_input_columns(FEATURES_V3)
+        scoring.engineer_with_state(raw.drop("tmax"), registry.load_champion(spark, root), HOURLY)
+
+
+def test_alias_moves_and_rolls_back(spark, fitted):
+    root, _, _ = fitted
+    with pytest.raises(LookupError):
+        registry.roll_back(spark, root, "shadow")  # it named one version only
+    with pytest.raises(LookupError):
+        registry.set_alias(spark, root, 9, "shadow")
+    registry.set_alias(spark, root, 1, "shadow")
+    assert registry.load_champion(spark, root, alias="shadow").version == 1
+    assert registry.roll_back(spark, root, "shadow") == 3
+    assert registry.load_champion(spark, root, alias="shadow").version == 3
+    assert registry.load_champion(spark, root).version == 2
+
+
+def test_type_letters_are_no_numbers(spark):
+    row = {c: 1 for c in INPUTS} | {"target_timestamp": "2024-01-01T00:00:00Z"}
+    bodies = [json.dumps(row | {"temp_c": v}) for v in ("13d", "13.F ", "13", " 1.5e1 ")]
+    df = spark.createDataFrame([(b,) for b in bodies], "payload string")
+    got = [r["errors"] for r in scoring.validate_json(df, "payload", INPUTS).collect()]
+    assert [("temp_c:type" in e) for e in got] == [True, True, False, False]
 
 
 def test_stream_equals_batch_and_replay_changes_nothing(spark, fitted):
