@@ -17,7 +17,7 @@ HEADLINE = [
     "load_features", "hourly_gap_fill", "gap_report", "load_lags", "calendar_central", "core_features",
     "daily_core_features", "base_features", "align_join", "alignment_report", "dq_results", "describe_core",
     "fold_thresholds", "trend_oof", "model_comparison", "residual_corr", "error_gram", "feature_target_profile",
-    "contract_validation", "score_batch", "idempotent_log",
+    "contract_validation", "score_batch", "idempotent_log", "knn_residual", "ml_linear_cv", "stream_score",
 ]
 
 

@@ -209,7 +209,41 @@ def ensemble_blend(spark, sf):
 
 def _weights(spark, ens: ensemble.Ensemble) -> DataFrame:
     rows = [(m, float(w), float(ens.solo[m]), float(ens.score)) for m, w in ens.weights.items()]
-    return spark.createDataFrame(rows, "model string, weight double, solo_rmse double, score double")
+    out = spark.createDataFrame(rows, "model string, weight double, solo_rmse double, score double")
+    return rounded(out, 4, "weight", "solo_rmse", "score")
+
+
+def _mix_rmse(w0: str, w1: str, w2: str) -> str:
+    w = (w0, w1, w2)
+    terms = " + ".join(f"{1 if i == j else 2} * ({w[i]}) * ({w[j]}) * s{i}{j}" for i, j in _TRI)
+    return f"sqrt(greatest({terms}, 0) / n)"
+
+
+_SOLO = ("e as (select count(*) as n, " + ", ".join(
+    f"sum(({MODELS[i]} - y_true) * ({MODELS[j]} - y_true)) as s{i}{j}" for i, j in _TRI) + " from oofw), "
+    "v(i, name, c0, c1, c2) as (values " + ", ".join(
+        f"({i}, '{m}', {', '.join(str(float(i == j)) + '::double' for j in range(3))})" for i, m in enumerate(MODELS)) + "), "
+    f"solo as (select v.*, {_mix_rmse('c0', 'c1', 'c2')} as r from v, e), "
+    "opening as (select * from solo order by r, i limit 1), ")
+_VOTED = "(s.c{0} * s.k + v.c{0}) / (s.k + 1)"
+_VOTE = _SOLO + (
+    "steps as (select 1 as k, c0, c1, c2, r from opening union all select k, c0, c1, c2, r from (select *, row_number() over (order by r, i) as rn "
+    "from (select s.k + 1 as k, " + ", ".join(f"{_VOTED.format(j)} as c{j}" for j in range(3)) + f", {_mix_rmse(*map(_VOTED.format, range(3)))} as r, "
+    "s.r as was, v.i from steps s, e, v where s.k <= 50)) where rn = 1 and r < was - 1e-6), "
+    "last as (select * from steps order by k desc limit 1) ")
+_MIXED = "(1 - a) * s.c{0} + a * v.c{0}"
+_ALPHA = _SOLO + (
+    "steps as (select 1 as k, c0, c1, c2, r from opening union all select k, c0, c1, c2, r from (select *, row_number() over (order by r, i, a) as rn "
+    "from (select s.k + 1 as k, " + ", ".join(f"{_MIXED.format(j)} as c{j}" for j in range(3)) + f", {_mix_rmse(*map(_MIXED.format, range(3)))} as r, "
+    "s.r as was, v.i, a from steps s, e, v, (select -1 + g * 0.01::double as a from range(201) t(g)))) "
+    "where rn = 1 and was - r >= 1e-6), last as (select * from steps order by k desc limit 1) ")
+_WEIGHT = "case i when 0 then last.c0 when 1 then last.c1 else last.c2 end"
+_WEIGHTS = (f"select name as model, round({_WEIGHT}, 4) as weight, round(solo.r, 4) as solo_rmse, round(last.r, 4) as score "
+            f"from solo, last where {_WEIGHT} <> 0")
+
+
+def _searched(parts: str, body: str) -> str:
+    return sql(", " + parts + body, "oofw", "hol").replace(") , e as", "), e as").replace("with ", "with recursive ", 1)
 
 
 @query("alpha_scores", sql(
@@ -225,14 +259,14 @@ def alpha_scores(spark, sf):
     return rounded(spark.createDataFrame(list(scores), "alpha double, rmse double, mae double"), 4, "rmse", "mae")
 
 
-@query("hill_climb_vote")
+@query("hill_climb_vote", _searched(_VOTE, _WEIGHTS))
 def hill_climb_vote(spark, sf):
     """Equal-vote ensemble found from the error matrix."""
     wide = forecast.simple_wide(train_rows(spark, sf), FOLDS, DAILY, MODELS)
     return _weights(spark, ensemble.vote_ensemble(ensemble.Gram.collect(wide, MODELS)))
 
 
-@query("hill_climb_alpha")
+@query("hill_climb_alpha", _searched(_ALPHA, _WEIGHTS))
 def hill_climb_alpha(spark, sf):
     """Share-by-share ensemble found from the error matrix, negative weights allowed."""
     wide = forecast.simple_wide(train_rows(spark, sf), FOLDS, DAILY, MODELS)
@@ -240,6 +274,15 @@ def hill_climb_alpha(spark, sf):
     return _weights(spark, ensemble.blend_ensemble(ensemble.gram_scorer(gram), MODELS, negative_weights=True))
 
 
+@query("hill_climb_oof", _searched(_VOTE, "select series_id, timestamp, y_true, round(last.c0 * constant + last.c1 * persistence + "
+                                   "last.c2 * trend, 4) as y_pred from oofw, last"))
+def hill_climb_oof(spark, sf):
+    """Out-of-fold forecasts of the mix that the vote search finds."""
+    wide = materialise(forecast.simple_wide(train_rows(spark, sf), FOLDS, DAILY, MODELS), "wide")
+    found = ensemble.vote_ensemble(ensemble.Gram.collect(wide, MODELS))
+    return wide.select("series_id", "timestamp", "y_true", F.round(found.column(), 4).alias("y_pred"))
+
+
 _KNN_X = " + ".join(
     f"pow((v.{c} - mean_{c}) / case when std_{c} = 0 then 1 else std_{c} end - (t.{c} - mean_{c}) / case when std_{c} = 0 then 1 else std_{c} end, 2)"
     for c in SCALED)

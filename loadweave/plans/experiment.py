@@ -9,10 +9,10 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave.config import SEED, TARGET, Layout
@@ -131,8 +131,11 @@ def prepare_folds(df: DataFrame, folds: Sequence[Fold], layout: Layout, features
     return FoldTable(materialise(prepared, "folds", "fold_id", "role"), folds, layout, list(features))
 
 
-def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+def with_inputs(model: Estimator, features: Sequence[str]) -> Pipeline:
+    """The model behind its inputs: a missing feature value counts as the mean of the train rows."""
+    filled = [f"{c}_filled" for c in features]
+    return Pipeline(stages=[Imputer(strategy="mean", inputCols=list(features), outputCols=filled),
+                            VectorAssembler(inputCols=filled, outputCol="features"), model])
 
 
 def cross_validate(table: FoldTable, build: Builder, model: str, parallel: int = 4) -> DataFrame:
@@ -142,8 +145,8 @@ def cross_validate(table: FoldTable, build: Builder, model: str, parallel: int =
     short jobs of one fit.
     """
     def forecast(fold: Fold) -> DataFrame:
-        fitted = build().fit(assemble(table.part(fold, "train").select("label", *table.features), table.features))
-        val = fitted.transform(assemble(table.part(fold, "val"), table.features))
+        train = table.part(fold, "train").select("label", *table.features)
+        val = with_inputs(build(), table.features).fit(train).transform(table.part(fold, "val"))
         pred = F.coalesce(F.col("trend"), F.lit(0.0)) + F.col("residual_pred")
         return oof_select(val, table.layout, model, pred)
 
@@ -219,14 +222,19 @@ class Study:
 
 
 def random_search(table: FoldTable, family: str, n_trials: int = 40, seed: int = SEED,
-                  space: Mapping[str, tuple[str, float, float]] | None = None) -> Study:
-    """Lowest out-of-fold RMSE over random parameter draws; all trials share the fold table."""
+                  space: Mapping[str, tuple[str, float, float]] | None = None, parallel: int = 4) -> Study:
+    """Lowest out-of-fold RMSE over random parameter draws; all trials share the fold table and run
+    side by side, ``parallel`` at a time."""
     spark = table.rows.sparkSession
-    trials = []
-    for row in trial_table(spark, family, n_trials, seed, space).collect():  # one row per trial
+    rows = trial_table(spark, family, n_trials, seed, space).orderBy("trial").collect()  # one row per trial
+
+    def run(row: Row) -> tuple[dict[str, float], float]:
         params = {k: v for k, v in row.asDict().items() if k not in ("family", "trial")}
-        oof = cross_validate(table, lambda params=params: BUILDERS[family](params), family)
-        trials.append((params, oof_metrics(oof).first()["rmse"]))
+        oof = cross_validate(table, lambda: BUILDERS[family](params), family)
+        return params, oof_metrics(oof).first()["rmse"]
+
+    with ThreadPool(min(parallel, len(rows))) as pool:
+        trials = pool.map(inheritable_thread_target(spark)(run), rows)
     params, value = min(trials, key=lambda t: t[1])
     return Study(family, params, value, trials)
 
@@ -283,9 +291,7 @@ def final_fit(train: DataFrame, test: DataFrame, layout: Layout, features: Seque
         out = reduce(lambda d, step: step[1](d, step[0], keys), chain, df).join(trend, keys)
         return out.withColumn("trend", trend_value()).withColumn("label", F.col(TARGET) - F.col("trend"))
 
-    stage = VectorAssembler(inputCols=columns, outputCol="features")
-    fitted = build().fit(stage.transform(materialise(prepared(train).select("label", *columns), "final")))
-    pipeline = PipelineModel(stages=[stage, fitted])
+    pipeline = with_inputs(build(), columns).fit(materialise(prepared(train).select("label", *columns), "final"))
     scored = pipeline.transform(prepared(test)).select(
         *layout.order, F.lit(model).alias("model"), F.col(TARGET).alias("y_true"),
         (F.col("trend") + F.col("residual_pred")).alias("y_pred"))
@@ -293,4 +299,5 @@ def final_fit(train: DataFrame, test: DataFrame, layout: Layout, features: Seque
 
 
 def test_metrics(scored: DataFrame) -> DataFrame:
-    return compare_models(scored)
+    """Measures of the forecasts, which are stored first: several passes read them."""
+    return compare_models(materialise(scored, "scored"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loadweave.config import FEATURES_V3, HOURLY
 from loadweave.functions import metrics
-from loadweave.operators import ensemble, features as feat, folds, forecast
+from loadweave.operators import ensemble, features as feat, folds, forecast, neighbours
 from loadweave.operators.neighbours import nearest, weighted_vote
 from loadweave.plans import experiment as lab
 
@@ -234,6 +234,35 @@ def test_linear_cv_matches_least_squares(spark, data):
     assert np.isclose(detail["residual"], detail["y_true"] - detail["y_pred"])
 
 
+def test_missing_features_count_as_the_train_mean(spark, data):
+    pdf, df = data
+    names = ["temp_c", "load_lag_24"]
+    holed = df.withColumn("temp_c", F.when(F.dayofmonth("timestamp") != 3, F.col("temp_c")))
+    for build in (lab.linear_model, lambda: lab.boosted_trees({"trees": 2, "depth": 2})):
+        raw = lab.prepare_folds(holed, FOLDS[:1], HOURLY, names)
+        mean = raw.part(FOLDS[0], "train").agg(F.avg("temp_c")).first()[0]
+        filled = lab.FoldTable(raw.rows.fillna({"temp_c": mean}), raw.folds, raw.layout, names)
+        got, want = (lab.cross_validate(t, build, "m").orderBy("series_id", "timestamp").toPandas() for t in (raw, filled))
+        assert got.y_pred.notna().all()
+        np.testing.assert_allclose(got.y_pred, want.y_pred)
+
+
+def test_neighbours_visit_few_rows_as_data_grow(spark):
+    """With the default number of pivots the cells shrink as rows grow, so a query is held against few of them."""
+    shares = []
+    for n in (1_000, 16_000):
+        x = np.random.default_rng(3).uniform(size=(n, 2))
+        train = spark.createDataFrame(pd.DataFrame({"g": 1, "_qid": [f"{i}" for i in range(n)], "_x": x.tolist()}))
+        centres = x[: int(n ** 0.5)]
+        home = neighbours._home_cells(train, centres)
+        cells = home.groupBy("g", "_cell").agg(F.count("*").alias("_n"), F.min("_r").alias("_rmin"), F.max("_r").alias("_rmax"))
+        bounded = train.limit(50).withColumn("_bound", F.lit((5 / n) ** 0.5))
+        kinds = [neighbours._plan_visits(bounded, cells, centres, ["g"], 5, first, 20_000) for first in (True, False)]
+        seen = kinds[0].unionByName(kinds[1]).join(cells, ["g", "_cell"]).agg(F.sum("_n")).first()[0]
+        shares.append(seen / (50 * n))
+    assert shares[1] < shares[0] / 2 and shares[1] < 0.1
+
+
 def test_search_and_champion(spark, data):
     pdf, df = data
     space = {"trees": ("int", 2, 3), "depth": ("int", 2, 3), "learning_rate": ("log", 0.1, 0.5)}
