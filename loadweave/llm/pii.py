@@ -102,13 +102,17 @@ def _from(values: list[str], at: Column) -> Column:
     return F.element_at(listed, F.pmod(at, F.lit(len(values))) + 1)
 
 
-def _name(role: Column, word: Column, drawn: Column) -> Column:
-    """An invented word for a name's word: three or four syllables and an ending, by script and role."""
+def _name(role: Column, word: Column, drawn: Column, attempt: Column) -> Column:
+    """An invented word for a name's word: syllables and an ending, by script and role. There are three
+    syllables, and one more every third attempt, so that there are places for any number of names."""
+    more = F.slice(F.array(*map(F.lit, range(ROUNDS))), F.lit(1), F.floor(attempt / 3).cast("int"))
+
     def built(script: str) -> Column:
         parts = [_from(SYLLABLES[script], _byte(drawn, F.lit(i)) * 256 + _byte(drawn, F.lit(i + 8))) for i in range(3)]
+        further = F.array_join(F.transform(more, lambda i: _from(SYLLABLES[script], _byte(drawn, i * 2 + 24) * 256 + _byte(drawn, i * 2 + 25))), "")
         ends = reduce(lambda rest, r: F.when(role == r, _from(ENDINGS[script][r], _byte(drawn, F.lit(20)))).otherwise(rest),
                       ENDINGS[script], F.lit(""))
-        return F.initcap(F.concat(*parts, ends))
+        return F.initcap(F.concat(*parts, further, ends))
 
     return F.when(word.rlike(r"\p{IsCyrillic}"), built("cyrillic")).otherwise(built("latin"))
 
@@ -143,7 +147,7 @@ def draw(kind: Column, value: Column, attempt: Column, key: str) -> Column:
             .when(kind == "ip", octets).when(kind == "phone", F.concat(code, _shaped(rest(code), drawn)))
             .when(kind == "card", _card(value, drawn)).when(kind == "key", F.concat(F.lit("AKIA"), _shaped(F.substring(value, 5, 16), drawn)))
             .when(kind == "secret", F.concat(head, _shaped(rest(head), drawn)))
-            .when(kind.isin("female", "male", "any", "family"), _name(kind, value, drawn)).otherwise(_shaped(value, drawn)))
+            .when(kind.isin("female", "male", "any", "family"), _name(kind, value, drawn, attempt)).otherwise(_shaped(value, drawn)))
 
 
 def redrawn(found: DataFrame, key: str) -> DataFrame:
