@@ -329,8 +329,78 @@ def run_log(spark, sf):
                                            F.round(value("rmse"), 4).alias("rmse"), F.round(value("mape"), 6).alias("mape"))
 
 
-# --- Spark ML: few and shallow trees, so that a run over all folds stays short -----------------
-SMALL = {"trees": 5, "depth": 3, "learning_rate": 0.3}
+# --- Models and searches whose numbers SQL can give: linear in one or two features ---------------
+_RES = ("b as (select fold_id, regr_slope(actual_load_mw, load_lag_168) as b1, regr_intercept(actual_load_mw, load_lag_168) as b0 "
+        "from ftrain group by 1) ")
+
+
+@query("linear_raw_cv", sql(
+    _RES + "select v.series_id, v.timestamp, 'linear' as model, v.fold_id, actual_load_mw as y_true, round(b0 + b1 * load_lag_168, 2) as y_pred "
+    "from fval v join b on b.fold_id = v.fold_id", "ftrain", "fval", "hol").replace(") b as", "), b as"))
+def linear_raw_cv(spark, sf):
+    """A linear model of the load itself, without trend or scale, fitted per fold."""
+    table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, ["load_lag_168"], trend=False)
+    return rounded(lab.cross_validate(table, lab.linear_model, "linear"), 2, "y_pred")
+
+
+@query("fold_details", sql(
+    "select series_id, timestamp, (timezone('America/Chicago', timezone('UTC', timestamp))) as timestamp_central, model, fold_id, y_true, "
+    "round(y_pred, 4) as y_pred, round(y_true - y_pred, 4) as residual from oof where model = 'trend'", "oof", "hol"))
+def fold_details(spark, sf):
+    """Residual and local time of every validated row."""
+    return rounded(lab.fold_details(forecast.trend_oof(train_rows(spark, sf), FOLDS, DAILY)), 4, "y_pred", "residual")
+
+
+_BOOSTED = ("gbt_a", "gbt_b", "gbt_c")
+
+SINGLES = ["load_lag_168", "load_lag_24", "temp_c", "humidity_pct"]
+_ONE = ", ".join(f"regr_slope(res, {c}) as s_{c}, regr_intercept(res, {c}) as i_{c}" for c in SINGLES)
+_TRAIN_RES = ("z as (select t.*, actual_load_mw - (slope * trend_idx + intercept) as res from ftrain t join ftrend r on r.series_id = t.series_id "
+              "and r.fold_id = t.fold_id), ")
+_VAL_RES = ("v as (select t.*, actual_load_mw - (slope * trend_idx + intercept) as res from fval t join ftrend r on r.series_id = t.series_id "
+            "and r.fold_id = t.fold_id) ")
+
+
+@query("tuned_models", sql(
+    _TRAIN_RES + f"b as (select fold_id, {_ONE} from z group by 1), " + _VAL_RES + "select model, round(rmse, 3) as tuned_oof_rmse, "
+    "cast(row_number() over (order by rmse) as int) as place from (select " + ", ".join(
+        f"sqrt(avg(pow(res - (i_{c} + s_{c} * {c}), 2))) as {c}" for c in SINGLES)
+    + " from v join b on b.fold_id = v.fold_id) w, lateral (values " + ", ".join(f"('{c}', w.{c})" for c in SINGLES) + ") m(model, rmse)",
+    "ftrain", "fval", "ftrend", "hol").replace(") z as", "), z as"))
+def tuned_models(spark, sf):
+    """Studies side by side, the best first: trend plus a linear model in one feature each."""
+    train = train_rows(spark, sf)
+    studies = []
+    for c in SINGLES:
+        table = lab.prepare_folds(train, FOLDS, DAILY, [c])
+        studies.append(replace(lab.random_search(table, "linear", 1), family=c))
+    return rounded(lab.tuned_comparison(spark, studies).drop("params"), 3, "tuned_oof_rmse")
+
+
+_X = ("x as (select z.*, coalesce(holiday_freq, 0.0) as hf from z left join fq on fq.series_id = z.series_id and fq.fold_id = z.fold_id "
+      "and fq.holiday_name = z.holiday_name), "
+      "c as (select fold_id, covar_pop(load_lag_168, res) as ay, covar_pop(hf, res) as by_, covar_pop(load_lag_168, hf) as ab, "
+      "var_pop(load_lag_168) as aa, var_pop(hf) as bb, avg(load_lag_168) as ma, avg(hf) as mb, avg(res) as my from x group by 1), "
+      "k as (select *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) as ka, (by_ * aa - ay * ab) / (aa * bb - ab * ab) as kb, "
+      "ay / aa as k1 from c), ")
+
+
+@query("linear_champion", sql(
+    _TRAIN_RES + _FREQ.rstrip() + ", " + _X + _VAL_RES.rstrip() + ", w as (select v.*, coalesce(holiday_freq, 0.0) as hf from v left join fq "
+    "on fq.series_id = v.series_id and fq.fold_id = v.fold_id and fq.holiday_name = v.holiday_name) "
+    "select 'linear' as family, round(a, 3) as cv_rmse, round(h, 3) as holiday_rmse, h < a as use_holiday from (select "
+    "sqrt(avg(pow(res - (my + k1 * (load_lag_168 - ma)), 2))) as a, sqrt(avg(pow(res - (my + ka * (load_lag_168 - ma) + kb * (hf - mb)), 2))) as h "
+    "from w join k on k.fold_id = w.fold_id)", "ftrain", "fval", "ftrend", "hol").replace(") z as", "), z as"))
+def linear_champion(spark, sf):
+    """The search's choice of family, and whether the holiday feature lowers its error."""
+    train = train_rows(spark, sf)
+    table = lab.prepare_folds(train, FOLDS, DAILY, ["load_lag_168"])
+    best = lab.choose_champion([lab.random_search(table, "linear", 1)], train, FOLDS, DAILY, ["load_lag_168"], chain=())
+    return spark.createDataFrame([(best.family, round(best.oof_rmse, 3), round(best.holiday_rmse, 3), bool(best.use_holiday))],
+                                 "family string, cv_rmse double, holiday_rmse double, use_holiday boolean")
+
+
+# --- Boosted trees at full size, each fit ending where its validation error rises -----------------
 
 
 @query("ml_linear_cv")
@@ -344,41 +414,40 @@ def ml_linear_cv(spark, sf):
 def ml_gbt_cv(spark, sf):
     """Trend plus boosted trees with fold-fitted extreme-event flags."""
     table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, FEATURES_V3, [feat.EXTREME_EVENTS])
-    return lab.fold_rmse(lab.cross_validate(table, lambda: lab.boosted_trees(SMALL), "gbt_a"))
+    return lab.fold_rmse(lab.cross_validate(table, lab.boosted_trees, "gbt_a", stop=True))
 
 
 @query("model_sweep")
 def model_sweep(spark, sf):
-    """Several models over one stored fold table, each logged; compared by peak error."""
+    """All models over one stored fold table, each logged; compared by peak error."""
     train = train_rows(spark, sf)
     table = lab.prepare_folds(train, FOLDS, DAILY, FEATURES_V3, [feat.EXTREME_EVENTS])
     scaled = lab.prepare_folds(train, FOLDS, DAILY, FEATURES_V3, [feat.EXTREME_EVENTS], scale=True)
-    builders = {name: (lambda name=name: lab.BUILDERS[name](SMALL)) for name in ("gbt_a", "linear")}
+    builders = {name: (lambda name=name: lab.BUILDERS[name]({})) for name in lab.BUILDERS}
     oof = lab.model_sweep(table, scaled, builders, runs=scratch_path(spark, "runs"))
     return forecast.compare_models(oof).orderBy("peak_mape")
 
 
-SMALL_SPACE = {"trees": ("int", 3, 6), "depth": ("int", 2, 4), "learning_rate": ("log", 0.05, 0.4)}
-
-
-def _studies(table, families=("gbt_a", "gbt_c"), n=2):
-    return [lab.random_search(table, f, n, space=SMALL_SPACE) for f in families]
+#: Trials of a search, and how many of them share the fits of one set of structure parameters.
+TRIALS, PER_FIT = 40, 10
 
 
 @query("random_search")
 def random_search(spark, sf):
-    table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, FEATURES)
-    rows = [(s.family, i, p["trees"], p["depth"], p["learning_rate"], v)
-            for s in _studies(table, ("gbt_a",), 2) for i, (p, v) in enumerate(s.trials)]
-    return spark.createDataFrame(rows, "family string, trial int, trees double, depth double, learning_rate double, rmse double")
+    """Forty trials of each boosted family."""
+    table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, FEATURES_V3, [feat.EXTREME_EVENTS])
+    studies = [lab.random_search(table, f, TRIALS, per_fit=PER_FIT, parallel=8) for f in _BOOSTED]
+    rows = [(s.family, i, {k: float(x) for k, x in p.items()}, float(v)) for s in studies for i, (p, v) in enumerate(s.trials)]
+    return spark.createDataFrame(rows, "family string, trial int, params map<string,double>, rmse double")
 
 
 @query("champion_select")
 def champion_select(spark, sf):
-    """Tune, pick the best family, decide on the holiday feature, fit on all train rows, score the test rows."""
+    """Tune all families, pick the best, decide on the holiday feature, fit on all train rows, score the test rows."""
     d = daily(spark, sf, "full")
     table = lab.prepare_folds(d.train, FOLDS, DAILY, FEATURES_V3, [feat.EXTREME_EVENTS])
-    best = lab.choose_champion(_studies(table, n=1), d.train, FOLDS, DAILY, FEATURES_V3)
+    studies = [lab.random_search(table, f, TRIALS, per_fit=PER_FIT, parallel=8) for f in _BOOSTED]
+    best = lab.choose_champion(studies, d.train, FOLDS, DAILY, FEATURES_V3)
     _, scored = lab.final_fit(d.train, d.test, DAILY, FEATURES_V3, lambda: lab.BUILDERS[best.family](best.params), best.use_holiday)
     return lab.test_metrics(scored).withColumns({
         "family": F.lit(best.family), "cv_rmse": F.lit(best.oof_rmse), "use_holiday": F.lit(best.use_holiday)})

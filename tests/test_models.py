@@ -1,9 +1,12 @@
+from dataclasses import replace
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loadweave.config import FEATURES_V3, HOURLY
+from loadweave.config import FEATURES_V3, HOURLY, SEED
 from loadweave.functions import metrics
 from loadweave.operators import ensemble, features as feat, folds, forecast, neighbours
 from loadweave.operators.neighbours import nearest, weighted_vote
@@ -238,10 +241,10 @@ def test_missing_features_count_as_the_train_mean(spark, data):
     pdf, df = data
     names = ["temp_c", "load_lag_24"]
     holed = df.withColumn("temp_c", F.when(F.dayofmonth("timestamp") != 3, F.col("temp_c")))
-    for build in (lab.linear_model, lambda: lab.boosted_trees({"trees": 2, "depth": 2})):
+    for build in (lab.linear_model, lambda: lab.boosted_trees({"maxIter": 2, "maxDepth": 2})):
         raw = lab.prepare_folds(holed, FOLDS[:1], HOURLY, names)
         mean = raw.part(FOLDS[0], "train").agg(F.avg("temp_c")).first()[0]
-        filled = lab.FoldTable(raw.rows.fillna({"temp_c": mean}), raw.folds, raw.layout, names)
+        filled = lab.prepare_folds(holed.fillna({"temp_c": mean}), FOLDS[:1], HOURLY, names)
         got, want = (lab.cross_validate(t, build, "m").orderBy("series_id", "timestamp").toPandas() for t in (raw, filled))
         assert got.y_pred.notna().all()
         np.testing.assert_allclose(got.y_pred, want.y_pred)
@@ -263,15 +266,89 @@ def test_neighbours_visit_few_rows_as_data_grow(spark):
     assert shares[1] < shares[0] / 2 and shares[1] < 0.1
 
 
-def test_search_and_champion(spark, data):
-    pdf, df = data
-    space = {"trees": ("int", 2, 3), "depth": ("int", 2, 3), "learning_rate": ("log", 0.1, 0.5)}
-    a, b = (lab.trial_table(spark, "gbt_a", 6).toPandas() for _ in range(2))
-    pd.testing.assert_frame_equal(a, b)
+def test_trial_draws(spark):
+    for family in ("gbt_a", "gbt_b", "gbt_c"):
+        a, b = (lab.trial_table(spark, family, 40).toPandas() for _ in range(2))
+        pd.testing.assert_frame_equal(a, b)
+        for name, (kind, lo, hi) in lab.PARAM_SPACES[family].items():
+            assert a[name].between(lo, hi).all() and (kind != "int" or (a[name] % 1 == 0).all())
+            assert a[name].nunique() > 5
+    # the same draws in another engine's SQL
+    import duckdb
     for name, (kind, lo, hi) in lab.PARAM_SPACES["gbt_a"].items():
-        assert a[name].between(lo, hi).all() and (kind != "int" or (a[name] % 1 == 0).all())
-    table = lab.prepare_folds(df, FOLDS[:1], HOURLY, FEATURES_V3, [feat.EXTREME_EVENTS])
-    study = lab.random_search(table, "gbt_a", 2, space=space)
+        number = "t" if name == "maxIter" else "t // 10"
+        u = f"(cast('0x' || substr(md5('{SEED}:gbt_a:{name}:' || ({number})), 1, 13) as bigint) / {float(1 << 52)!r})"
+        value = {"int": f"{lo} + floor({u} * {hi - lo + 1})", "float": f"{lo} + {u} * ({hi} - {lo})",
+                 "log": f"exp(ln({lo}) + {u} * (ln({hi}) - ln({lo})))"}[kind]
+        want = [r[0] for r in duckdb.sql(f"select {value} from range(40) r(t) order by t").fetchall()]
+        np.testing.assert_allclose(lab.trial_table(spark, "gbt_a", 40, per_fit=10).orderBy("trial").toPandas()[name], np.array(want, float))
+    shared = lab.trial_table(spark, "gbt_a", 40, per_fit=10).toPandas()
+    assert shared["stepSize"].nunique() == 4 and shared["maxIter"].nunique() > 20
+
+
+SPACE = {"maxIter": ("int", 2, 6), "maxDepth": ("int", 2, 3), "stepSize": ("log", 0.1, 0.5)}
+
+
+def test_one_fit_gives_the_error_of_every_tree_count(spark, data):
+    _, df = data
+    table = lab.prepare_folds(df, FOLDS[:2], HOURLY, FEATURES_V3, [feat.EXTREME_EVENTS])
+    build = lambda n: lambda: lab.boosted_trees({"maxIter": n, "maxDepth": 3, "stepSize": 0.3})
+    whole = lab.staged_fit(table, FOLDS[1], build(6))
+    assert 1 <= len(whole.errors) <= 6 and all(a >= b for a, b in zip(whole.errors, whole.errors[1:]))
+    for n in range(1, len(whole.errors) + 1):
+        fitted = lab.with_inputs(build(n)(), table.features).fit(table.part(FOLDS[1], "train").select("label", *table.features))
+        gap = F.col("label") - F.col("residual_pred")
+        direct = fitted.transform(table.part(FOLDS[1], "val")).agg(F.avg(gap * gap)).first()[0]
+        np.testing.assert_allclose(whole.errors[n - 1], direct, rtol=1e-9)
+
+
+def test_search_and_champion(spark, data):
+    _, df = data
+    table = lab.prepare_folds(df, FOLDS[:2], HOURLY, FEATURES_V3, [feat.EXTREME_EVENTS])
+    study = lab.random_search(table, "gbt_a", 4, space=SPACE, per_fit=2)
     assert study.best_value == min(v for _, v in study.trials)
-    best = lab.choose_champion([study], df, FOLDS[:1], HOURLY, FEATURES_V3)
+    for params, value in study.trials[:2]:
+        oof = lab.cross_validate(table, lambda: lab.boosted_trees(params), "gbt_a", stop=True)
+        assert np.isclose(forecast.oof_metrics(oof).first()["rmse"], value)
+    linear = lab.random_search(table, "linear", 3)
+    assert np.isclose(linear.best_value, forecast.oof_metrics(lab.cross_validate(table, lab.linear_model, "linear")).first()["rmse"])
+    best = lab.choose_champion([study, linear], df, FOLDS[:2], HOURLY, FEATURES_V3)
+    assert best.family == min((study, linear), key=lambda s: s.best_value).family
     assert best.use_holiday == (best.holiday_rmse < best.oof_rmse)
+
+
+def test_a_search_that_was_stopped_goes_on(spark, data, tmp_path, monkeypatch):
+    _, df = data
+    table = lab.prepare_folds(df, FOLDS[:2], HOURLY, ["temp_c", "load_lag_24"])
+    ledger, fits, real = str(tmp_path / "ledger"), [], lab.staged_fit
+
+    def counted(table, fold, build):
+        if len(fits) == limit:
+            raise RuntimeError("the driver is gone")
+        fits.append(fold.fold_id)
+        return real(table, fold, build)
+
+    monkeypatch.setattr(lab, "staged_fit", counted)
+    limit = 3
+    with pytest.raises(RuntimeError):
+        lab.random_search(table, "gbt_a", 4, space=SPACE, parallel=1, ledger=ledger, per_fit=2)
+    limit = 99
+    resumed = lab.random_search(table, "gbt_a", 4, space=SPACE, parallel=1, ledger=ledger, per_fit=2)
+    assert len(fits) == 4  # two structures in two folds: none of them twice
+    again = lab.random_search(table, "gbt_a", 4, space=SPACE, parallel=1, ledger=ledger, per_fit=2)
+    assert len(fits) == 4 and again.trials == resumed.trials
+    fresh = lab.random_search(table, "gbt_a", 4, space=SPACE, per_fit=2)
+    np.testing.assert_allclose([v for _, v in fresh.trials], [v for _, v in resumed.trials])
+
+
+def test_the_fold_table_does_not_grow_with_folds(spark, data):
+    _, df = data
+    first = FOLDS[0]
+    many = [replace(first, fold_id=i) for i in range(1, 41)]
+    sizes = [sum(Path(f.removeprefix("file://")).stat().st_size for f in lab.prepare_folds(df, folds, HOURLY, ["temp_c"]).base.inputFiles())
+             for folds in (many[:2], many)]
+    assert sizes[1] < 1.1 * sizes[0]
+    table = lab.prepare_folds(df, many, HOURLY, ["temp_c"])
+    assert table.expanded("val").count() == 40 * table.part(many[7], "val").count()
+    with pytest.raises(ValueError):
+        lab.prepare_folds(df, [first] * 64, HOURLY, ["temp_c"])

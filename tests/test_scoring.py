@@ -62,7 +62,7 @@ def fitted(spark):
     _, df = daily(spark)
     train, test = df.where("timestamp < '2022-06-01'"), df.where("timestamp >= '2022-06-08'")
     origin = df.groupBy("series_id").agg(F.min("timestamp").alias("first_ts"))
-    small = {"trees": 3, "depth": 3, "learning_rate": 0.3}
+    small = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3}
     model, scored = lab.final_fit(train, test, HOURLY, FEATURES_V3, lambda: lab.boosted_trees(small), True)
     root = scratch_path(spark, "models")
     state = lab.fit_state(train, origin, HOURLY, True)
