@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm.common import slices, small_batches
+from loadweave.llm.common import slices, small_batches, tidy
 from loadweave.llm.pieces import Splitter, byte_letters
 
 #: Pieces in each of a worker's two tables of recent ones, and the longest that is kept.
@@ -172,6 +172,13 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
+def forget(path: str) -> None:
+    """Drops the pieces and pairs kept so far, not the vocabulary."""
+    bpe = _LOADED.get(path)
+    if bpe is not None:
+        bpe.known, bpe.older, bpe.compatible = {}, {}, {}
+
+
 def _ids(bpe: Bpe, texts: pa.Array) -> pa.ListArray:
     flat, sizes = [np.zeros(0, np.int32)], [0]
     for value in texts.to_pylist():
@@ -208,7 +215,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids",
 
     schema = rest.withColumn(ids, F.lit(None).cast("array<int>"))
     schema = (schema.withColumn(decoded, F.lit(None).cast("string")) if decoded else schema).schema
-    return rest.transform(small_batches).mapInArrow(run, schema)
+    return rest.transform(small_batches).mapInArrow(tidy(run, lambda: forget(path)), schema)
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadweave.session import materialise
+
 #: Text handled at once inside a task; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 #: Rows, and about the bytes, sent to a Python worker at once: a row may hold a long text.
@@ -30,6 +34,28 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def numbered(docs: DataFrame, row: str, name: str) -> DataFrame:
+    """``docs`` with a number per row, written once and read back. Numbers given while reading follow the cut
+    of the input into partitions, which changes with the executors alive; stored ones stay."""
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), name)
+
+
+def tidy(run: Callable, forget: Callable[[], None] = lambda: None) -> Callable:
+    """``run``, which gives memory back at the end of a task: a worker serves other operators after it."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+    return wrapped
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loadweave.llm.common import HashArray, mix, slices, small_batches, utf8
+from loadweave.llm.common import HashArray, mix, numbered, slices, small_batches, utf8
 
 WINDOW = 10
 PART_BYTES = 32 << 20
@@ -176,10 +176,13 @@ def search(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     repeated rows give repeated results. Items repeated under one id are one item.
     """
     kinds = {f.name: f.dataType.simpleString() for f in [docs.schema[key], benchmark.schema[item]]}
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    parts = _parts(benchmark, item, item_text, part_bytes)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    # several passes meet again by row, so its number must be the same in each
+    rows = numbered(rows, "row", "numbered") if len(parts) > 1 else rows.withColumn("row", F.lit(0).cast("long"))
     schema = f"row long, id {kinds[key]}, " + FOUND.format(item=kinds[item])
     kind = to_arrow_type(benchmark.schema[item].dataType)
-    passes = [_search_part(rows, _gather(part), schema, kind) for part in _parts(benchmark, item, item_text, part_bytes)]
+    passes = [_search_part(rows, _gather(part), schema, kind) for part in parts]
     if len(passes) == 1:
         return passes[0].drop("row").withColumnRenamed("id", key)
     union = passes[0]

@@ -68,3 +68,27 @@ def test_near_copies_are_rows(spark, docs, odd_texts):
     assert sorted(kept, key=str) == sorted((texts[i] for i in (0, 2, 3, 5)), key=str)
     got = near_copies.keep_first(docs(odd_texts)).collect()
     assert len(got) == len(brute(odd_texts)) and near_copies.keep_first(docs([])).count() == 0
+
+
+def test_rows_keep_their_numbers_when_executors_change(spark, docs, tmp_path, monkeypatch):
+    """Files are cut by the default parallelism, which on a cluster follows the executors alive."""
+    words = [f"w{i}" for i in range(2000)]
+    r = random.Random(1)
+    texts = [(i, " ".join(r.choices(words, k=30))) for i in range(40)]
+    texts += [(40 + i, texts[i][1]) for i in range(10)]
+    docs(texts).repartition(6).write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    key, before, real = "spark.sql.leafNodeDefaultParallelism", spark.conf.get("spark.sql.leafNodeDefaultParallelism", None), near_copies._roots
+    cuts = iter((1, 64))
+
+    def changed(links):
+        spark.conf.set(key, next(cuts))
+        return real(links)
+
+    monkeypatch.setattr(near_copies, "_roots", changed)
+    try:
+        kept = near_copies.keep_first(stored)
+        spark.conf.set(key, 7)
+        assert sorted(x["doc_id"] for x in kept.collect()) == list(range(40))
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
