@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,20 @@ def holiday_freq_feature(spark, sf):
     return rounded(out.select("series_id", "timestamp", "fold_id", "holiday_freq"), 9, "holiday_freq")
 
 
+@query("fold_feature_chain", sql(
+    _FREQ + "select v.series_id, v.timestamp, v.fold_id, coalesce(cast(tmax > heat as int), 0) as is_extreme_heat_event, "
+    "round(coalesce(holiday_freq, 0.0), 9) as holiday_freq from fval v join fthr t on t.series_id = v.series_id and t.fold_id = v.fold_id "
+    "left join fq on fq.series_id = v.series_id and fq.fold_id = v.fold_id and fq.holiday_name = v.holiday_name", "ftrain", "fval", "fthr", "hol"
+).replace(") fq as", "), fq as"))
+def fold_feature_chain(spark, sf):
+    """Two fitted features, one behind the other, on the validation rows of the bit-masked fold table."""
+    table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, ["is_extreme_heat_event", "holiday_freq"],
+                              [feat.EXTREME_EVENTS, feat.HOLIDAY_FREQ], trend=False)
+    rows = reduce(DataFrame.unionByName, [table.part(f, "val") for f in FOLDS])
+    return rounded(rows.select(*DAILY.order, "fold_id", F.col("is_extreme_heat_event").cast("int").alias("is_extreme_heat_event"),
+                               "holiday_freq"), 9, "holiday_freq")
+
+
 SCALED = ["temp_c", "humidity_pct", "load_lag_24", "load_lag_168", "dayofweek"]
 _STATS = "st as (select series_id, fold_id, " + ", ".join(
     f"avg({c}) as mean_{c}, stddev_pop({c}) as std_{c}" for c in SCALED) + " from ftrain group by 1, 2) "

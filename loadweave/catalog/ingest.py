@@ -9,7 +9,7 @@ from loadweave.catalog.registry import query, rounded
 from loadweave.catalog.tables import hourly_joined
 from loadweave.config import CITIES, GATE_COLUMNS, HOURLY, JOINED_VALUES, TARGET
 from loadweave.functions.timefn import gate_text
-from loadweave.operators import align, holidays, profile, quality, weather
+from loadweave.operators import align, gaps, holidays, profile, quality, weather
 from loadweave.session import materialise, scratch_path
 from loadweave.sources import adapters, readers, sinks
 
@@ -20,17 +20,68 @@ WEATHER_SQL = "temp_c, humidity_pct, precip_mm"
     f"select city, timestamp, {WEATHER_SQL} from sw", "sw"))
 def weather_json_explode(spark, sf):
     """Readings packed into per-city, per-day payloads as a service returns them, then unpacked."""
+    parsed = packed_readings(spark, sf).select("city", F.from_json("body", readers.PAYLOAD).alias("payload"))
+    return readers.explode_payload(parsed, F.col("payload.hourly"), ["city"])
+
+
+def packed_readings(spark, sf):
     readings = adapters.station_weather(spark, sf)
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm")
     hours = F.array_sort(F.collect_list(F.struct(
         stamp.alias("time"), F.col("temp_c").alias("t"), F.col("humidity_pct").alias("h"), F.col("precip_mm").alias("p"))))
-    packed = readings.groupBy("city", F.to_date("timestamp").alias("day")).agg(hours.alias("rows")).select(
-        "city", F.to_json(F.struct(F.struct(
+    return readings.groupBy("city", F.to_date("timestamp").alias("day")).agg(hours.alias("rows")).select(
+        "city", "day", F.to_json(F.struct(F.struct(
             F.col("rows.time").alias("time"), F.col("rows.t").alias("temperature_2m"),
             F.col("rows.h").alias("relative_humidity_2m"), F.col("rows.p").alias("precipitation"),
         ).alias("hourly"))).alias("body"))
-    parsed = packed.select("city", F.from_json("body", readers.PAYLOAD).alias("payload"))
-    return readers.explode_payload(parsed, F.col("payload.hourly"), ["city"])
+
+
+_KEPT = "day(timestamp) % 7"
+
+
+@query("weather_json_files", sql(
+    f"select city, timestamp, {WEATHER_SQL}, null::varchar as problem, cast(1 as bigint) as n from sw where {_KEPT} > 1 union all "
+    f"select city, null, null, null, null, case {_KEPT} when 0 then 'json' else 'hourly' end, count(distinct cast(timestamp as date)) "
+    f"from sw where {_KEPT} <= 1 group by city, {_KEPT}", "sw"))
+def weather_json_files(spark, sf):
+    """Payload files as they land, a folder per city. One day in seven is cut short, one holds no readings: those
+    records are refused and counted, the others unpacked."""
+    kept = F.dayofmonth("day") % 7
+    body = F.when(kept == 0, F.expr("substring(body, 1, length(body) - 9)")).when(kept == 1, "{}").otherwise(F.col("body"))
+    path = scratch_path(spark, "payloads")
+    packed_readings(spark, sf).select("city", body.alias("body")).write.partitionBy("city").text(path)
+    good, refused = readers.read_weather_payloads(spark, path)
+    rows = readers.explode_payload(good, "hourly", ["city"]).withColumns({
+        "problem": F.lit(None).cast("string"), "n": F.lit(1).cast("long")})
+    counted = refused.groupBy("city", "problem").agg(F.count(F.lit(1)).alias("n"))
+    return rows.unionByName(counted, allowMissingColumns=True)
+
+
+@query("quality_verdict", sql(
+    "select 'as landed' as part, null::varchar as problem, (select count(*) from (select timestamp - lag(timestamp) over "
+    "(partition by series_id order by timestamp) as d from hl) where d > interval 1 hour) as n_gaps union all "
+    "select 'fifth hour twice', cast(count(*) as varchar) || ' duplicate timestamp(s)', null from hl where hour(timestamp) = 5", "hl"))
+def quality_verdict(spark, sf):
+    """The check that stops a run: the load as it landed, and with one hour of each day repeated."""
+    load = materialise(adapters.hourly_load(spark, sf), "load")
+    verdicts = []
+    for part, rows in (("as landed", load), ("fifth hour twice", load.unionByName(load.where(F.hour("timestamp") == 5)))):
+        try:
+            verdicts.append((part, None, gaps.quality_check(rows, HOURLY).count()))
+        except ValueError as problem:
+            verdicts.append((part, str(problem), None))
+    return spark.createDataFrame(verdicts, "part string, problem string, n_gaps long")
+
+
+@query("positional_rename", sql(
+    "select 'renamed' as part, series_id, timestamp, actual_load_mw from hl union all "
+    "select 'passed through', series_id, timestamp, actual_load_mw from hl", "hl"))
+def positional_rename(spark, sf):
+    """Columns take names by position where their number agrees; a wider table keeps its own."""
+    load = adapters.hourly_load(spark, sf).select("series_id", "timestamp", "actual_load_mw")
+    renamed = quality.rename_if_same_width(load.toDF("x", "y", "z"), load.columns)
+    kept = quality.rename_if_same_width(load.withColumn("more", F.lit(1)), ["x", "y", "z"]).drop("more")
+    return renamed.withColumn("part", F.lit("renamed")).unionByName(kept.withColumn("part", F.lit("passed through")))
 
 
 def wide_load(hourly):

@@ -269,8 +269,11 @@ def stream_dead_letter(spark, sf):
 
 @query("stream_dedup", "select distinct user_id, date_trunc('hour', ts) as event_hour from events")
 def stream_dedup(spark, sf):
-    """First event of each user and hour, from the event table read as a stream."""
-    events = live.read_table(spark, sf, "events.parquet", files_per_batch=100)
+    """First event of each user and hour, from the event table landed as files that a stream reads one at a time;
+    hours and users are spread over all of them, so most repeats meet across batches and many come late."""
+    landed = scratch_path(spark, "landed")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(6, "event_id").write.parquet(f"{landed}/events.parquet")
+    events = live.read_table(spark, landed, "events.parquet", files_per_batch=1)
     hours = events.select("user_id", adapters.hour_of_event().alias("event_hour"))
     out = scratch_path(spark, "dedup")
     live.log_distinct(hours, out, ["user_id", "event_hour"], "event_hour", scratch_path(spark, "offsets")).awaitTermination()

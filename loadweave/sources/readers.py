@@ -53,6 +53,20 @@ def read_weather_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAYLOAD).option("multiLine", True).json(path)
 
 
+def read_weather_payloads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Landed payloads, a record a line: (good, refused).
+
+    ``good`` has ``hourly``, the file and the folder's partition columns; ``refused`` the record as text, the file
+    and the ``problem``: json where a record cannot be read, hourly where it lacks that part.
+    """
+    schema = T.StructType([*PAYLOAD.fields, T.StructField("record", T.StringType())])
+    rows = (spark.read.schema(schema).option("columnNameOfCorruptRecord", "record").json(path)
+            .withColumn("file", F.col("_metadata.file_path")))
+    problem = F.when(F.col("record").isNotNull(), "json").when(F.col("hourly").isNull(), "hourly")
+    marked = rows.withColumn("problem", problem)
+    return marked.where("problem is null").drop("problem", "record"), marked.where("problem is not null").drop("hourly")
+
+
 def explode_payload(df: DataFrame, payload: Column | str = "hourly", keep: Sequence[str] = ()) -> DataFrame:
     """Parallel arrays -> one row per hour. A record without ``hourly`` is an error."""
     hourly = F.col(payload) if isinstance(payload, str) else payload

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 LOG_KEY = ("target_timestamp", "model_version")
+LOG_MONTH = "log_month"
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -54,26 +57,36 @@ def new_rows(batch: DataFrame, existing: DataFrame | None, key: Sequence[str] =
     order = arrival or "_arrival"
     timed = batch if arrival else batch.withColumn(order, F.monotonically_increasing_id())
     fresh = first_per_key(timed, key, (order,)).drop(order)
-    return fresh if existing is None else fresh.join(existing.select(*key), list(key), "left_anti")
+    if existing is None:
+        return fresh
+    held = existing.select(*[F.col(c).alias(f"_held_{c}") for c in key])
+    # null counts as a value, else a row with a null in its key would be new at every replay
+    return fresh.join(held, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in key]), "left_anti")
 
 
 def insert_or_ignore(batch: DataFrame, path: str, key: Sequence[str] = LOG_KEY, arrival: str | None = None,
                      time_column: str = "target_timestamp") -> None:
     """Append rows with unseen keys; the first arrival of a key wins, in a batch and across batches.
 
-    Only the part of the table within the batch's time range is looked up: the bounds are pushed
-    down to the files. Files offer no lock between the lookup and the append: keep one writer per
-    table.
+    The table is laid out by the month of ``time_column`` (``LOG_MONTH``; null where it is no time), and only the
+    batch's months and time range are looked up: other folders are not opened. Files offer no lock between the
+    lookup and the append: keep one writer per table.
     """
     spark = batch.sparkSession
+    dated = batch.withColumn(LOG_MONTH, F.trunc(F.expr(f"try_cast(`{time_column}` as date)"), "month"))
     existing = None
     if table_exists(spark, path):
-        first, last = batch.agg(F.min(time_column), F.max(time_column)).first()
-        existing = spark.read.parquet(path)
-        if first is not None:
-            kind = batch.schema[time_column].dataType
-            existing = existing.where(F.col(time_column).between(F.lit(first).cast(kind), F.lit(last).cast(kind)))
-    new_rows(batch, existing, key, arrival).write.mode("append").parquet(path)
+        # as many months as the calendar has
+        span = dated.agg(F.collect_set(LOG_MONTH).alias("months"), F.count_if(F.col(LOG_MONTH).isNull()).alias("timeless"),
+                         F.min(time_column).alias("first"), F.max(time_column).alias("last")).first()
+        month, kind = F.col(LOG_MONTH).cast("date"), batch.schema[time_column].dataType
+        asked = F.lit(False)
+        if span["months"]:
+            asked = month.isin(span["months"]) & F.col(time_column).between(F.lit(span["first"]).cast(kind), F.lit(span["last"]).cast(kind))
+        existing = spark.read.parquet(path).where(asked | month.isNull() if span["timeless"] else asked)
+    fresh = new_rows(dated, existing, key, arrival)
+    # few files a month, but a large month in several
+    fresh.hint("rebalance", LOG_MONTH).write.mode("append").partitionBy(LOG_MONTH).parquet(path)
 
 
 def prediction_log_rows(scored: DataFrame, features: Sequence[str], name: str, version: str,

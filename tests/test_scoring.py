@@ -156,7 +156,7 @@ def test_insert_or_ignore(spark):
     make = lambda *rows: spark.createDataFrame(rows, "target_timestamp string, model_version string, predicted_load_mw double")
     sinks.insert_or_ignore(make(("t1", "1", 10.0), ("t1", "1", 9.0), ("t2", "1", 5.0)), path)
     sinks.insert_or_ignore(make(("t1", "1", 1.0), ("t1", "2", 2.0)), path)
-    got = sorted(tuple(r) for r in spark.read.parquet(path).collect())
+    got = sorted(tuple(r) for r in spark.read.parquet(path).drop(sinks.LOG_MONTH).collect())
     assert got == [("t1", "1", 10.0), ("t1", "2", 2.0), ("t2", "1", 5.0)]
     late = make(("t9", "1", 1.0), ("t9", "1", 2.0)).withColumn("arrived", 5 - F.col("predicted_load_mw"))
     sinks.insert_or_ignore(late, path, arrival="arrived")
@@ -164,6 +164,26 @@ def test_insert_or_ignore(spark):
     assert log.where("target_timestamp = 't9'").first()["predicted_load_mw"] == 2.0 and log.count() == 4
 
 
+def test_log_opens_only_the_months_of_a_batch(spark):
+    path = scratch_path(spark, "log")
+    make = lambda *rows: spark.createDataFrame(rows, "target_timestamp string, model_version string, x int").withColumn(
+        "target_timestamp", F.col("target_timestamp").cast("timestamp_ntz"))
+    first = make(("2024-01-05 00:00:00", "1", 1), ("2024-03-07 10:00:00", "1", 2), (None, "1", 3), ("2024-03-08 10:00:00", None, 4))
+    for batch in (first, first, make(("2024-03-07 10:00:00", "1", 9), ("2024-03-09 00:00:00", "1", 5))):
+        sinks.insert_or_ignore(batch, path)
+    assert sorted(r["x"] for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 5]  # null keys are not added again
+    folders = [f for f in os.listdir(path.removeprefix("file://")) if f.startswith(sinks.LOG_MONTH)]
+    assert sorted(folders) == ["log_month=2024-01-01", "log_month=2024-03-01", "log_month=__HIVE_DEFAULT_PARTITION__"]
+
+
+def test_refused_payloads(spark, tmp_path):
+    (tmp_path / "city=a").mkdir()
+    (tmp_path / "city=a" / "x.json").write_text('{"hourly": {"time": ["2024-01-01T00:00"], "temperature_2m": [1.5]}}\n{"hourly": {"ti\n{}\n')
+    good, refused = readers.read_weather_payloads(spark, str(tmp_path))
+    assert good.count() == 1 and good.first()["city"] == "a"
+    assert sorted((r["problem"], r["record"]) for r in refused.collect()) == [("hourly", None), ("json", '{"hourly": {"ti')]
+
+
 def test_log_distinct_drops_no_late_row(spark):
     source, out = scratch_path(spark, "events"), scratch_path(spark, "distinct")
     for hour in (20, 3, 20, 11, 0, 3):  # far beyond any watermark, out of order, one file each
