@@ -195,12 +195,14 @@ def _texts(bpe: Bpe, lists: pa.ListArray) -> pa.Array:
                                             pa.py_buffer(np.ascontiguousarray(raw))).cast(pa.string())
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None,
+           give_back: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``ids``, the token ids of the whole text (null and empty: none); with
     ``decoded`` a column of what they decode to as well.
 
     One narrow pass. ``path`` names the tokenizer file on every machine. Columns of these names already
-    there are replaced. Special tokens written in a text are encoded as such.
+    there are replaced. Special tokens written in a text are encoded as such. ``give_back`` drops the tables of pieces at the
+    end of each task, for jobs that go on with other operators in the same workers; the next task learns them again.
     """
     rest = docs.drop(ids, *([decoded] if decoded else []))
 
@@ -215,7 +217,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids",
 
     schema = rest.withColumn(ids, F.lit(None).cast("array<int>"))
     schema = (schema.withColumn(decoded, F.lit(None).cast("string")) if decoded else schema).schema
-    return rest.transform(small_batches).mapInArrow(tidy(run, lambda: forget(path)), schema)
+    return rest.transform(small_batches).mapInArrow(tidy(run, lambda: forget(path)) if give_back else run, schema)
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
