@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ HEADER = struct.Struct("<8sBBIIQIII")  # magic, version, bits per plane, block,
 PLANE = struct.Struct("<QI")
 #: Ids in a block, and in a segment before it is closed.
 BLOCK, SEGMENT = 65_536, 262_144
-KEPT, KEPT_LENGTH = 600_000, 64
+#: Pieces in a generation, and the longest that is kept.
+KEPT, KEPT_LENGTH = 300_000, 64
 STORED = "shard int, segment int, n_docs long, n_ids long, before long, body binary"
 
 
@@ -99,42 +101,77 @@ def unpack_segment(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return doc_ids, sizes, np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
+class Generation(dict):
+    """Numbers of pieces, and the ids of all of them in a row. A piece asked for and not held gets the next
+    number and waits in ``new`` for its ids."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str | int] = []
+        self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def __missing__(self, piece: str | int) -> int:
+        self[piece] = at = len(self.bounds) - 1 + len(self.new)
+        self.new.append(piece)
+        return at
+
+    def fill(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Gives the waiting pieces their ids. Long pieces are forgotten; their numbers stay taken."""
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+        for p in self.new:
+            if not isinstance(p, int) and len(p) > KEPT_LENGTH:
+                del self[p]
+        self.new = []
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, their ids in a row)."""
+        start, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        ends = np.cumsum(sizes)
+        return sizes, self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - sizes), sizes)]
+
+
 class Encoder:
-    """Ids by the tokenizers library, called for pieces not met lately."""
+    """Ids by the tokenizers library, called for pieces not met lately: a generation of pieces holds up to
+    KEPT, and the one before it is kept beside it."""
 
     def __init__(self, path: str):
         self.split = Splitter(path)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        # texts are cut here, so the library only has to merge
+        self.library = Tokenizer(Tokenizer.from_file(path).model)
         self.letters = byte_letters()
-        self.known: dict[str | int, bytes] = {}
-
-    def _fresh(self, pieces: list) -> dict[str | int, bytes]:
-        model = self.library.model
-        out = {}
-        for p in pieces:
-            if isinstance(p, int):
-                found = [p]
-            else:
-                found = [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
-            out[p] = np.array(found, "<u4").tobytes()
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, four bytes each."""
-        pieces = self.split.pieces(text)
-        new = set(pieces).difference(self.known)
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = set(pieces)
-        fresh = self._fresh(list(new))
-        long = {p for p in new if not isinstance(p, int) and len(p) > KEPT_LENGTH}
-        self.known.update(fresh)
-        out = b"".join(map(self.known.__getitem__, pieces))
-        for p in long:
-            del self.known[p]
-        return out
+        self.known, self.older = Generation(), Generation()
+
+    def _merge(self, pieces: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, their ids in a row)."""
+        words = ["" if isinstance(p, int) else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        found = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+        special = np.flatnonzero([isinstance(p, int) for p in pieces])
+        ends = np.cumsum(sizes)
+        ids = np.insert(np.array(found.ids, "<u4"), ends[special], [pieces[i] for i in special])
+        sizes[special] = 1
+        return sizes, ids
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each whole text, the ids of all in a row). A null text is empty."""
+        if len(self.known.bounds) > KEPT or len(self.known.ids) > 8 * KEPT:
+            self.known, self.older = Generation(), self.known
+        cut = [self.split.pieces(t) if t else [] for t in texts]
+        counts = np.array([len(c) for c in cut], np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        new = self.known.new
+        if new:
+            before = np.fromiter((self.older.get(p, -1) for p in new), np.int64, len(new))
+            met, unmet = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+            parts = [self.older.take(before[met]), self._merge([new[i] for i in unmet])]
+            mixed = Generation()
+            mixed.fill(*map(np.concatenate, zip(*parts)))
+            place = np.empty(len(new), np.int64)
+            place[np.concatenate([met, unmet])] = np.arange(len(new))
+            self.known.fill(*mixed.take(place))
+        sizes, ids = self.known.take(at)
+        return np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]), ids
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -148,12 +185,11 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _LOADED.setdefault(tokenizer, None) or Encoder(tokenizer)
         _LOADED[tokenizer] = encoder
-        end = np.array([end_id], "<u4").tobytes()
         shard = TaskContext.get().partitionId()
-        doc_ids, coded, n, segment, before = [], [], 0, 0, 0
+        doc_ids, sizes, coded, n, segment, before = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            body = pack_segment(doc_ids, [len(c) // 4 for c in coded], np.frombuffer(b"".join(coded), "<u4"), bits)
+            body = pack_segment(doc_ids, sizes, np.concatenate(coded), bits)
             return pa.record_batch({
                 "shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()),
                 "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([n], pa.int64()),
@@ -161,13 +197,17 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 1,
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc, value in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
+                found, ids = encoder.encode(part.column("text").to_pylist())
+                ids = np.insert(ids, np.cumsum(found), end_id)
+                at = 0
+                for doc, size in zip(part.column("id").to_pylist(), (found + 1).tolist()):
                     doc_ids.append(doc)
-                    coded.append(encoder.encode(value or "") + end)
-                    n += len(coded[-1]) // 4
+                    sizes.append(size)
+                    coded.append(ids[at:at + size])
+                    at, n = at + size, n + size
                     if n >= SEGMENT:
                         yield close()
-                        doc_ids, coded, n, segment, before = [], [], 0, segment + 1, before + n
+                        doc_ids, sizes, coded, n, segment, before = [], [], [], 0, segment + 1, before + n
         if doc_ids:
             yield close()
 
