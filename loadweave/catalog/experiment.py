@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import timedelta
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -257,8 +257,8 @@ _WEIGHTS = (f"select name as model, round({_WEIGHT}, 4) as weight, round(solo.r,
             f"from solo, last where {_WEIGHT} <> 0")
 
 
-def _searched(parts: str, body: str) -> str:
-    return sql(", " + parts + body, "oofw", "hol").replace(") , e as", "), e as").replace("with ", "with recursive ", 1)
+def _searched(parts: str, body: str, *more: str) -> str:
+    return sql(", " + parts + body, "oofw", "hol", *more).replace(") , e as", "), e as").replace("with ", "with recursive ", 1)
 
 
 @query("alpha_scores", sql(
@@ -298,6 +298,38 @@ def hill_climb_oof(spark, sf):
     return wide.select("series_id", "timestamp", "y_true", F.round(found.column(), 4).alias("y_pred"))
 
 
+_PEAK_ERROR = "avg(abs(y_true - (c0 * constant + c1 * persistence + c2 * trend))) as r"
+_PEAK = (
+    "pk as materialized (select * from oofw where y_true >= (select quantile_cont(y_true, 1 - 0.1::double) from oofw)), "
+    "v(i, name, c0, c1, c2) as (values " + ", ".join(
+        f"({i}, '{m}', {', '.join(str(float(i == j)) + '::double' for j in range(3))})" for i, m in enumerate(MODELS)) + "), "
+    f"solo as (select i, c0, c1, c2, {_PEAK_ERROR} from v, pk group by all), opening as (select * from solo order by r, i limit 1), "
+    "steps as (select 1 as k, c0, c1, c2, r from opening union all select k, c0, c1, c2, r from (select *, row_number() over (order by r, i, a) as rn "
+    f"from (select k, c0, c1, c2, was, i, a, {_PEAK_ERROR} from (select s.k + 1 as k, " + ", ".join(
+        f"{_MIXED.format(j)} as c{j}" for j in range(3)) + ", s.r as was, v.i, a from steps s, v, (select g / 20.0::double as a from range(21) t(g))), pk "
+    "group by all)) where rn = 1 and was - r >= 1e-6), last as (select * from steps order by k desc limit 1) ")
+_BLENDED = "round(last.c0 * {} + last.c1 * {} + last.c2 * {}, 4) as y_pred"
+
+
+@query("hill_climb_peak", _searched(
+    _PEAK, "select 'oof' as part, series_id, timestamp, y_true, " + _BLENDED.format("constant", "persistence", "trend") + " from oofw, last "
+    "union all select 'test', t.series_id, timestamp, actual_load_mw, " + _BLENDED.format("s.mean_load", "load_lag_24", "(s.slope * trend_idx + s.intercept)")
+    + " from dtest t join (select series_id, avg(actual_load_mw) as mean_load, regr_slope(actual_load_mw, trend_idx) as slope, "
+    "regr_intercept(actual_load_mw, trend_idx) as intercept from dtrain group by 1) s on s.series_id = t.series_id, last", "dtest"
+    ).replace(") , pk as", "), pk as"))
+def hill_climb_peak(spark, sf):
+    """The mix with the least mean error on peak rows: its forecasts out of fold, and of the test rows by models fitted on all train rows."""
+    d = daily(spark, sf)
+    wide = materialise(forecast.simple_wide(d.train, FOLDS, DAILY, MODELS), "wide")
+    score = ensemble.mix_scorer(ensemble.peak_rows(wide, 0.1), MODELS, lambda y, p: F.abs(y - p))
+    found = ensemble.blend_ensemble(score, MODELS, alphas=[i / 20 for i in range(21)])
+    last = folds.Fold(0, datetime(1900, 1, 1), d.split.train_end, d.split.test_start, datetime(9999, 1, 1))
+    final = forecast.simple_wide(d.train.unionByName(d.test), [last], DAILY, MODELS)
+    parts = [df.select(F.lit(part).alias("part"), "series_id", "timestamp", "y_true", F.round(found.column(), 4).alias("y_pred"))
+             for part, df in (("oof", wide), ("test", final))]
+    return parts[0].unionByName(parts[1])
+
+
 _KNN_X = " + ".join(
     f"pow((v.{c} - mean_{c}) / case when std_{c} = 0 then 1 else std_{c} end - (t.{c} - mean_{c}) / case when std_{c} = 0 then 1 else std_{c} end, 2)"
     for c in SCALED)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from loadweave.catalog.ctes import sql
 from loadweave.catalog.experiment import naive_and_trend
 from loadweave.catalog.registry import query, rounded
-from loadweave.catalog.tables import Daily, daily
-from loadweave.config import CHAMPION, DAILY, FEATURES_V3, MODEL_NAME, PARITY_TOLERANCE
+from loadweave.catalog.tables import TEST_START_LOCAL, Daily, daily
+from loadweave.config import CHAMPION, DAILY, FEATURES_V3, MODEL_NAME, PARITY_TOLERANCE, TARGET
 from loadweave.operators import align, forecast, quality
 from loadweave.operators.features import model_input_columns
 from loadweave.operators.gaps import series_bounds
@@ -199,10 +199,13 @@ def idempotent_log(spark, sf):
     return rounded(log.select("series_id", "target_timestamp", "model_version", "predicted_load_mw"), 4, "predicted_load_mw")
 
 
-@query("prediction_accuracy", sql(
+_ACCURACY = sql(
     "select '1' as model_version, count(*) as n_predictions, count(y) as n_actuals, round(sqrt(avg((y - p) * (y - p))), 4) as rmse, "
     "round(avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)) * 100, 6) as mape from (select slope * trend_idx + intercept as p, "
-    "dl.actual_load_mw as y from eng left join dl on dl.series_id = eng.series_id and dl.timestamp = target_timestamp)", "eng", "dl", "hol"))
+    "dl.actual_load_mw as y from eng left join dl on dl.series_id = eng.series_id and dl.timestamp = target_timestamp)", "eng", "dl", "hol")
+
+
+@query("prediction_accuracy", _ACCURACY)
 def prediction_accuracy(spark, sf):
     """Logged predictions beside the load that arrived later."""
     d, bundle = prepared(spark, sf)
@@ -213,6 +216,34 @@ def prediction_accuracy(spark, sf):
     return rounded(rounded(out, 4, "rmse"), 6, "mape")
 
 
+@query("late_actuals", _ACCURACY)
+def late_actuals(spark, sf):
+    """The same when predictions and loads land file by file, the loads behind the predictions, and meet in a stream."""
+    d, bundle = prepared(spark, sf)
+    rows = scoring.predict(scoring.engineer_with_state(d.test, bundle, DAILY), bundle, DAILY)
+    log = materialise(sinks.prediction_log_rows(rows, INPUTS, MODEL_NAME, "1", KEYS), "log").select(
+        *KEYS, "target_timestamp", "model_version", "predicted_load_mw")
+    actuals = materialise(adapters.daily_load(spark, sf).withColumnRenamed("timestamp", "target_timestamp"), "loads").select(
+        *KEYS, "target_timestamp", TARGET)
+    # files in order of time: predictions by quarter, loads of the years before them first
+    quarter = F.year("target_timestamp") * 4 + F.quarter("target_timestamp")
+    first = 4 * int(TEST_START_LOCAL[:4]) + 1
+    late = [quarter == first, quarter == first + 1, quarter == first + 2, quarter >= first + 3]
+    early = [quarter < first - 12, quarter.between(first - 12, first - 1)]
+    landed = {}
+    for name, df, parts in (("log", log, [quarter <= first, *late[1:]]), ("loads", actuals, early + late)):
+        landed[name] = scratch_path(spark, name)
+        for part in parts:
+            df.where(part).coalesce(1).write.mode("append").parquet(landed[name])
+    streams = [spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(landed[name])
+               for name, df in (("log", log), ("loads", actuals))]
+    out = scratch_path(spark, "matched")
+    key = [*KEYS, "target_timestamp"]
+    live.match_actuals(*streams, key, "target_timestamp", TARGET, out, scratch_path(spark, "offsets")).awaitTermination()
+    settled = spark.read.parquet(out).where(F.col(TARGET).isNotNull())
+    return rounded(rounded(forecast.prediction_accuracy(log, settled, key, ["model_version"]), 4, "rmse"), 6, "mape")
+
+
 @query("registered_champion", sql(
     "b as (select regr_slope(res, load_lag_168) as b1, regr_intercept(res, load_lag_168) as b0 from (select t.load_lag_168, "
     "actual_load_mw - (slope * trend_idx + intercept) as res from dtrain t join dstate s on s.series_id = t.series_id)) "

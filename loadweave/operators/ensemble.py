@@ -7,16 +7,20 @@ on it alone, whatever the number of rows. Other measures are evaluated by Spark,
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.config import PEAK_SHARE
 from loadweave.functions.scalar import linspace, normalise
 from loadweave.operators.forecast import blend
+from loadweave.operators.quantiles import exact_quantiles
 
 
 def error_gram(wide: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -98,6 +102,27 @@ def spark_scorer(wide: DataFrame, metric: Callable[[Column, Column], Column], ba
     return score
 
 
+def mix_scorer(wide: DataFrame, models: Sequence[str], error: Callable[[Column, Column], Column]) -> Scorer:
+    """Scores any number of weightings by the mean of ``error`` over the rows, in one aggregation. The weights
+    are one array in the plan and each row's errors another, so the plan doesn't grow with the candidates."""
+    def score(candidates: list[dict[str, float]]) -> list[float]:
+        held = json.dumps([[float(w.get(m, 0.0)) for m in models] for w in candidates])
+        mixes = F.from_json(F.lit(held), "array<array<double>>")
+        errors = F.transform(mixes, lambda w: error(F.col("y_true"), reduce(
+            lambda a, b: a + b, [w[i] * F.col(m) for i, m in enumerate(models)])))
+        rows = wide.select(F.posexplode(errors).alias("mix", "e")).groupBy("mix").agg(F.avg("e").alias("score")).collect()
+        if len(rows) != len(candidates):
+            raise ValueError("no row is forecast by every model")
+        return [r["score"] for r in sorted(rows)]
+    return score
+
+
+def peak_rows(wide: DataFrame, share: float = PEAK_SHARE) -> DataFrame:
+    """Rows whose actual value is among the highest ``share`` of all, by the exact quantile."""
+    cut = exact_quantiles(wide.select("y_true", F.lit(0).alias("all")), ["all"], {"cutoff": ("y_true", 1 - share)}, few_groups=True).first()
+    return wide.where(F.col("y_true") >= F.lit(cut["cutoff"])) if cut else wide
+
+
 def blend_ensemble(score: Scorer, models: Sequence[str], max_models: int | None = None, tolerance: float = 1e-6,
                    negative_weights: bool = False, alphas: Sequence[float] | None = None) -> Ensemble:
     """Repeatedly mix in the one model and share that lower the score most.

@@ -47,6 +47,23 @@ def log_distinct(stream: DataFrame, path: str, key: Sequence[str], time_column:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def match_actuals(predictions: DataFrame, actuals: DataFrame, key: Sequence[str], time_column: str, value: str, path: str,
+                  checkpoint: str, wait: str = "30 days", available_now: bool = True) -> StreamingQuery:
+    """Writes each logged prediction beside its actual value, as both arrive: a stream-stream outer join on
+    ``key``, of which ``time_column`` is one.
+
+    A prediction is written once: with its actual as soon as both are there, or with a null once both streams are
+    ``wait`` past its time, when its state is dropped. What is still awaited is in no row. Rows
+    that come later than ``wait`` behind their stream are not matched."""
+    rest = [c for c in key if c != time_column]
+    at = F.col(time_column).cast("timestamp")
+    left = predictions.withColumn(time_column, at).withWatermark(time_column, wait)
+    right = actuals.select(*rest, at.alias(time_column), value).withWatermark(time_column, wait)
+    joined = left.join(right, list(key), "left_outer").withColumn(time_column, F.col(time_column).cast("timestamp_ntz"))
+    writer = joined.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def score_micro_batch(batch: DataFrame, batch_id: int, bundle: Bundle, layout: Layout, root: str,
                       payload: str = "payload") -> None:
     """Three outputs of one batch. Responses and refusals are rewritten if the batch is replayed; the

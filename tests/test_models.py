@@ -183,6 +183,19 @@ def test_blend_ensemble(three, negative):
     assert mae.score <= min(mae.solo.values())
 
 
+def test_mixes_scored_in_one_aggregation(spark, three):
+    _, df = three
+    mixes = [{m: w for m, w in zip(MODELS, row)} for row in ([1.0, 0, 0], [0.3, 0.7, 0], [0, -0.5, 1.5])]
+    one = ensemble.mix_scorer(df, MODELS, lambda y, p: F.abs(y - p))
+    assert one(mixes) == pytest.approx(ensemble.spark_scorer(df, metrics.mae)(mixes))
+    with pytest.raises(ValueError):
+        ensemble.mix_scorer(df.limit(0), MODELS, lambda y, p: F.abs(y - p))(mixes)
+    actual = np.sort([r["y_true"] for r in df.collect()])
+    peak = sorted(r["y_true"] for r in ensemble.peak_rows(df, 0.25).collect())
+    assert peak == [y for y in actual if y >= np.quantile(actual, 0.75)] and 0 < len(peak) < len(actual)
+    assert ensemble.peak_rows(df.limit(0)).count() == 0
+
+
 def test_negative_shares_need_a_held_model(three):
     _, df = three
     gram = ensemble.gram_scorer(ensemble.Gram.collect(df, MODELS))

@@ -194,6 +194,24 @@ def test_log_distinct_drops_no_late_row(spark):
     assert sorted(r["h"].hour for r in spark.read.parquet(out).collect()) == [0, 3, 11, 20]
 
 
+def test_actuals_meet_predictions_as_both_arrive(spark):
+    """Days 1, 2, 3, 90 and 91 are forecast; day 2 has no actual, day 91 has none yet, day 60 no forecast."""
+    def land(days, column):
+        path = scratch_path(spark, column)
+        for part in days:
+            spark.createDataFrame([("a", d, float(d)) for d in part], f"s string, d int, {column} double").selectExpr(
+                "s", "timestamp_ntz'2024-01-01' + make_dt_interval(d) as t", column).coalesce(1).write.mode("append").parquet(path)
+        schema = spark.read.parquet(path).schema
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    out = scratch_path(spark, "matched")
+    forecasts, actuals = land([[1, 3, 2], [90], [91]], "p"), land([[1], [3], [60], [90]], "y")
+    live.match_actuals(forecasts, actuals, ["s", "t"], "t", "y", out, scratch_path(spark, "offsets"), wait="10 days").awaitTermination()
+    got = sorted((r["p"], r["y"]) for r in spark.read.parquet(out).collect())
+    assert got == [(1.0, 1.0), (2.0, None), (3.0, 3.0), (90.0, 90.0)]
+    assert dict(spark.read.parquet(out).dtypes)["t"] == "timestamp_ntz"
+
+
 def test_files_round_trip(spark, tmp_path, hourly):
     df = hourly([("a", h, h) for h in range(48)], start="2023-12-31")
     sinks.write_series(df, str(tmp_path / "p"))
