@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.llm.common import HashArray, mix, segment_sums, slices, small_batches
+from loadweave.llm.common import HashArray, mix, numbered, segment_sums, slices, small_batches
 from loadweave.llm.decontaminate import words
 from loadweave.session import materialise
 
@@ -493,8 +493,8 @@ def score(docs: DataFrame, model: Model, cells: DataFrame, *, key: str = "doc_id
     unigram. A null text is an empty one: its end alone. Repeated rows give repeated results. A model of
     no training text gives every word the same chance, 1. Other columns are not read.
     """
-    # numbers that name rows within this query, for ids may be null or repeat; the scan gives them twice alike
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # numbers that name rows, for ids may be null or repeat; stored, as postings and ids are read apart
+    rows = numbered(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "row", "scored")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     sent = rows.select("row", "text").transform(small_batches).mapInArrow(_postings(model.hot_words, model.buckets), CELLS)

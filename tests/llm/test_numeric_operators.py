@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql.functions import udf
 
 import corpus_pipeline
 import oracle
@@ -62,6 +63,12 @@ def test_scores_and_counts(spark, docs, odd_texts):
         assert abs(r["base_score"] - base) < 1e-6 * max(1, -base) and r["score"] < 0
     by = {r["doc_id"]: r for r in got}
     assert by[51]["score"] > by[51]["base_score"]
+    # rows that come in another order each time they are read
+    draw = udf(random.random, "double").asNondeterministic()
+    shuffled = docs(rows).repartition(5).sortWithinPartitions(draw()).select("doc_id", "text")
+    again = pitman_yor.score(shuffled, model, pairs).collect()
+    assert sorted(((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in again)) == sorted(
+        (str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in got)
     empty, none = pitman_yor.fit(docs([]))
     assert all(abs(r["score"]) < 1e-9 for r in pitman_yor.score(docs(rows), empty, none).collect())
 
