@@ -266,6 +266,27 @@ def feature_target_profile(spark, sf):
     return rounded(rounded(out.drop("category"), 6, "bin_lo", "bin_hi"), 3, "mean_target")
 
 
+@query("profile_with_nulls", sql(
+    "u as (unpivot (select actual_load_mw as y, case when dayofweek <> 6 then load_lag_168 end as load_lag_168, dayofweek::double as dayofweek from djcore) "
+    "on load_lag_168, dayofweek into name feature value x), "
+    "st as (select feature, count(distinct x) as k, min(x) as lo, max(x) as hi from u group by 1), "
+    "holes as (select count(*) as h from djcore where dayofweek = 6 or load_lag_168 is null), "
+    f"ed as ({_EDGES.format(n=10, m=9)} from st, range(10) t(b) where feature = 'load_lag_168') "
+    "select 'series_id' as feature, 'category' as mode, null::double as bin_lo, null::double as bin_hi, series_id as category, count(*) as n_rows, "
+    "round(avg(actual_load_mw), 3) as mean_target, (select count(distinct series_id) from djcore) as n_unique, 0::bigint as n_null from djcore group by 5 "
+    "union all select 'dayofweek', 'value', x, x, null, count(*), round(avg(y), 3), any_value(k), 0 from u join st using (feature) "
+    "where feature = 'dayofweek' group by x "
+    "union all select 'load_lag_168', 'histogram', round(e0, 6), round(e1, 6), null, count(x), round(avg(y) filter (where x < ed.hi), 3), any_value(k), any_value(h) "
+    "from holes, ed left join (select x, y from u where feature = 'load_lag_168') on x >= e0 and (x < e1 or (b = 9 and x <= e1)), "
+    "(select k from st where feature = 'load_lag_168') group by e0, e1",
+    "djcore", "hol").replace(") u as", "), u as"))
+def profile_with_nulls(spark, sf):
+    """A feature that is unknown on one day of the week, one of few values and a text."""
+    core = daily_core(spark, sf).withColumn("load_lag_168", F.when(F.col("dayofweek") != 6, F.col("load_lag_168")))
+    out = profile.feature_profile(core, ["load_lag_168", "dayofweek", "series_id"], TARGET, n_bins=10)
+    return rounded(rounded(out, 6, "bin_lo", "bin_hi"), 3, "mean_target")
+
+
 @query("category_order", sql(
     "select category, n_rows, round(mean_target, 4) as mean_target, case category when '5-LOW' then 1 when '1-URGENT' then 2 "
     "else 3 end as preferred from (select series_id as category, count(*) as n_rows, "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from loadweave.functions.scalar import equal_width_bin, is_finite
 from loadweave.operators.quantiles import exact_quantiles
+from loadweave.session import materialise
 
 
 def is_text(df: DataFrame, column: str) -> bool:
@@ -48,14 +50,16 @@ def target_histogram(df: DataFrame, column: str, n_bins: int = 100) -> DataFrame
 
 
 def _values(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """(feature, value, n, sum of target) over rows where feature and target are finite."""
+    """(feature, value, all its rows, those where feature and target are finite, their sum of target), stored:
+    all that a profile needs of the rows, with one shuffle."""
     rows = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
-    return (
-        df.select(F.col(target).cast("double").alias("y"), F.inline(rows))
-        .where(is_finite(F.col("x")) & is_finite(F.col("y")))
-        .groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sum_y"))
+    used = is_finite(F.col("x")) & is_finite(F.col("y"))
+    values = (
+        df.select(F.col(target).cast("double").alias("y"), F.inline(rows)).groupBy("feature", "x")
+        .agg(F.count(F.lit(1)).alias("n_all"), F.count_if(used).alias("n"), F.sum(F.when(used, F.col("y"))).alias("sum_y"))
     )
+    return materialise(values, "values")
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str], target: str, n_bins: int = 10,
@@ -65,7 +69,11 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], target: str, n_bins:
     A feature with at most ``value_max`` values, or fewer than ``n_bins``, is shown per value;
     otherwise in ``n_bins`` equal bins. The largest value counts in the last bin but not in its mean.
     """
-    values = _values(df, columns, target)
+    return _shown(_values(df, columns, target), n_bins, value_max)
+
+
+def _shown(values: DataFrame, n_bins: int, value_max: int | None) -> DataFrame:
+    values = values.where("n > 0").drop("n_all")
     stats = values.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_used"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     per_value = F.col("n_used") < n_bins
@@ -115,28 +123,31 @@ def feature_profile(df: DataFrame, columns: Sequence[str], target: str, n_bins:
     """Long profile of numeric and text features, with their distinct and null counts."""
     numeric = [c for c in columns if not is_text(df, c)]
     text = [c for c in columns if is_text(df, c)]
-    parts = []
+    parts, counts = [], []
     if numeric:
-        parts.append(numeric_profile(df, numeric, target, n_bins, value_max).withColumn(
-            "category", F.lit(None).cast("string")))
+        values = _values(df, numeric, target)
+        parts.append(_shown(values, n_bins, value_max).withColumn("category", F.lit(None).cast("string")))
+        counts.append(_counts(values, "x", "n_all"))
+    if text:
+        counts.append(column_counts(df, text))
     for c in text:
         parts.append(category_profile(df, c, target, (order or {}).get(c)).select(
             F.lit(c).alias("feature"), F.lit("category").alias("mode"),
             F.lit(None).cast("double").alias("bin_lo"), F.lit(None).cast("double").alias("bin_hi"),
             "n_rows", "mean_target", "category"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.join(column_counts(df, columns), "feature")
+    return reduce(DataFrame.unionByName, parts).join(reduce(DataFrame.unionByName, counts), "feature")
 
 
 def column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct non-null values and nulls per column, counted over pre-aggregated values."""
+    """Distinct non-null values, as text, and nulls per column, counted over pre-aggregated values."""
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in columns])
-    values = df.select(F.inline(rows)).groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
+    return _counts(df.select(F.inline(rows)).groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")), "v", "n")
+
+
+def _counts(values: DataFrame, value: str, n: str) -> DataFrame:
     return values.groupBy("feature").agg(
-        F.count("v").alias("n_unique"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"))
+        F.count(value).alias("n_unique"),
+        F.coalesce(F.sum(F.when(F.col(value).isNull(), F.col(n))), F.lit(0)).alias("n_null"))
 
 
 def train_test_distribution(train: DataFrame, test: DataFrame, columns: Sequence[str], n_bins: int = 20) -> DataFrame:
