@@ -1,6 +1,9 @@
 """Every registered query with an SQL text, against DuckDB on the middle data set."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -28,6 +31,14 @@ def test_query_runs(spark, con, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("missing", ["xxhash", "corpus_pipeline", "loadweave.llm"])
+def test_entry_without_an_optional_part(missing):
+    code = (f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; from loadweave.catalog import QUERIES; "
+            "assert QUERIES.keys() <= e.queries().keys(); assert e.oracle_sql().keys() <= e.queries().keys()")
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_seeded_sample_is_repeatable(spark, con):
     a, b = (QUERIES["seeded_sample"](spark, SF).collect() for _ in range(2))
     assert a == b and len(a) == 20
