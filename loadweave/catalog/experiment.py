@@ -350,6 +350,16 @@ def knn_residual(spark, sf):
     return rounded(lab.knn_cross_validate(table, "knn", 15), 3, "y_pred")
 
 
+@query("knn_hashed_recall", sql(
+    "n as (select series_id, fold_id, count(*) as n_train from ftrain group by all) "
+    "select v.series_id, v.fold_id, count(*) as n_queries, cast(sum(least(15, n_train)) as bigint) as n_neighbours, true as enough "
+    "from fval v join n on n.series_id = v.series_id and n.fold_id = v.fold_id group by all", "ftrain", "fval", "hol").replace(") n as", "), n as"))
+def knn_hashed_recall(spark, sf):
+    """Neighbours by random projections beside the exact ones: at least nine in ten are found in every series and fold."""
+    table = lab.prepare_folds(train_rows(spark, sf), FOLDS, DAILY, SCALED, scale=True)
+    return lab.knn_recall(table, 15, leaf=128).withColumn("enough", F.col("recall") >= 0.9).drop("recall")
+
+
 @query("linear_residual_cv", sql(
     _STATS + ", z as (select t.series_id, t.fold_id, t.timestamp, (load_lag_168 - mean_load_lag_168) / std_load_lag_168 as z, "
     "actual_load_mw - (slope * trend_idx + intercept) as res from ftrain t join st on st.series_id = t.series_id and st.fold_id = t.fold_id "

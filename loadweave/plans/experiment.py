@@ -24,6 +24,7 @@ from loadweave.operators.folds import Fold
 from loadweave.operators.forecast import (
     TREND_STATS, compare_models, fit_trend, fit_trend_by_fold, oof_metrics, oof_select, scaled, scaler_stats, trend_value,
 )
+from loadweave.operators.hashed_neighbours import nearest_hashed, recall
 from loadweave.operators.neighbours import nearest, weighted_vote
 from loadweave.session import materialise, scratch_path
 from loadweave.sources.sinks import log_run, table_exists
@@ -207,18 +208,35 @@ def cross_validate(table: FoldTable, build: Builder, model: str, parallel: int =
     return reduce(DataFrame.unionByName, _each_fold(table, forecast, table.folds, parallel))
 
 
-def knn_cross_validate(table: FoldTable, model: str = "knn", k: int = 15) -> DataFrame:
-    """The nearest-neighbour model over the same table: all folds in one job. Use a scaled table."""
+def _knn_sides(table: FoldTable) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Train and validation rows of all folds with the ids that a neighbour search asks for, and its groups."""
     group = [*table.layout.keys, "fold_id"]
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in (*group, table.layout.ts)])
     train, val = (table.expanded(r).withColumn("_tid", F.col(table.layout.ts).cast("string")).withColumn("_key", key)
                   for r in ("train", "val"))
-    votes = weighted_vote(nearest(train, val, group, table.features, k, "_tid", "_key", "label"))
+    return train, val, group
+
+
+def knn_cross_validate(table: FoldTable, model: str = "knn", k: int = 15, search: Callable[..., DataFrame] = nearest) -> DataFrame:
+    """The nearest-neighbour model over the same table: all folds in one job. Use a scaled table; ``search`` is
+    exact, or ``nearest_hashed`` where train rows are too many for that."""
+    train, val, group = _knn_sides(table)
+    votes = weighted_vote(search(train, val, group, table.features, k, "_tid", "_key", "label"))
     joined = val.join(votes.withColumnRenamed("_qid", "_key"), "_key")
     pred = F.coalesce(F.col("trend"), F.lit(0.0)) + F.col("prediction")
     return oof_select(joined, table.layout, model, pred)
 
 
+def knn_recall(table: FoldTable, k: int = 15, **hashed) -> DataFrame:
+    """Per series and fold: how many rows asked, how many exact neighbours they have and the share of them that the
+    hashed search finds."""
+    train, val, group = _knn_sides(table)
+    ask = (group, table.features, k, "_tid", "_key", "label")
+    hits = recall(nearest_hashed(train, val, *ask, **hashed), nearest(train, val, *ask))
+    return val.select(*group, F.col("_key").alias("_qid")).join(hits, "_qid").groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_queries"), F.sum("n_exact").alias("n_neighbours"), (F.sum("n_found") / F.sum("n_exact")).alias("recall"))
+
+
 def fold_details(oof: DataFrame, zone: str | None = None) -> DataFrame:
     """Residual and local time of every validated row, as kept for error analysis."""
     from loadweave.config import LOCAL_ZONE

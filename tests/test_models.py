@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loadweave.config import FEATURES_V3, HOURLY, SEED
 from loadweave.functions import metrics
-from loadweave.operators import ensemble, features as feat, folds, forecast, neighbours
+from loadweave.operators import ensemble, features as feat, folds, forecast, hashed_neighbours, neighbours
 from loadweave.operators.neighbours import nearest, weighted_vote
 from loadweave.plans import experiment as lab
 
@@ -279,6 +279,33 @@ def test_neighbours_visit_few_rows_as_data_grow(spark):
     assert shares[1] < shares[0] / 2 and shares[1] < 0.1
 
 
+def test_hashed_neighbours(spark):
+    """Visits of a query stay as they are while rows grow; most neighbours are found, each query gets k, ties and repeats do no harm."""
+    cols, k, seen = ["f1", "f2", "f3", "f4"], 10, []
+    for n in (2_000, 32_000):
+        x = np.random.default_rng(5).normal(size=(n, 4))
+        x[: n // 3] = x[0]  # a third of the rows are one and the same point
+        train = pd.DataFrame(x, columns=cols).assign(g="a", y=x[:, 0], tid=[f"{i:06d}" for i in range(n)])
+        query = train.iloc[::n // 100].assign(qid=lambda d: "q" + d.tid)
+        query = pd.concat([query, query.iloc[:1].assign(f1=99.0, qid="far"), query.iloc[:1].assign(g="unknown", qid="none")])
+        t, q = spark.createDataFrame(train), spark.createDataFrame(query)
+        found = hashed_neighbours.nearest_hashed(t, q, ["g"], cols, k, "tid", "qid", "y").persist()
+        counts = found.groupBy("_qid").count().toPandas().set_index("_qid")["count"]
+        assert (counts == k).all() and len(counts) == len(query) - 1 and "none" not in counts.index
+        hits = hashed_neighbours.recall(found, nearest(t, q, ["g"], cols, k, "tid", "qid", "y")).agg(F.sum("n_found") / F.sum("n_exact"))
+        assert hits.first()[0] >= 0.9
+        assert found.where("_qid = 'q000000'").agg(F.max("_tid"), F.max("_d")).first()[:] == (f"{k - 1:06d}", 0.0)
+        rows = t.select("g", F.array(*cols).alias("_x"), F.lit(True).alias("_train")).distinct()
+        cells = hashed_neighbours.place(rows, ["g"], 4, 3, 256, 4).groupBy("_table", "_cell").count()
+        seen.append(cells.agg(F.max("count")).first()[0])
+        found.unpersist()
+    assert max(seen) <= 256
+    few = spark.createDataFrame(train.head(3)), spark.createDataFrame(query.head(1))
+    assert hashed_neighbours.nearest_hashed(*few, ["g"], cols, k, "tid", "qid", "y").count() == 3
+    none = t.limit(0)
+    assert hashed_neighbours.nearest_hashed(none, q, ["g"], cols, k, "tid", "qid", "y").count() == 0
+
+
 def test_trial_draws(spark):
     for family in ("gbt_a", "gbt_b", "gbt_c"):
         a, b = (lab.trial_table(spark, family, 40).toPandas() for _ in range(2))
