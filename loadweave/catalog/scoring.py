@@ -18,6 +18,7 @@ from loadweave.operators.features import model_input_columns
 from loadweave.operators.gaps import series_bounds
 from loadweave.plans import experiment as lab
 from loadweave.plans import registry, scoring
+from loadweave.plans.packaged import TrendResidualModel
 from loadweave.session import materialise, scratch_path
 from loadweave.sources import adapters, sinks
 from loadweave.streaming import scoring as live
@@ -264,6 +265,20 @@ def registered_champion(spark, sf):
     return rounded(responses.withColumn("stamped", F.coalesce(made, F.lit(False))).drop("predicted_at"), 2, "predicted_load_mw")
 
 
+@query("stored_model_parity", sql(
+    "select count(*) as n_rows, cast(0 as bigint) as n_unmatched, 0.0::double as max_abs_diff, true as matches from eng", "eng", "hol"))
+def stored_model_parity(spark, sf):
+    """Trend plus a linear residual model as one Spark model: forecasts before it was stored and after it was loaded."""
+    d = daily(spark, sf, "full")
+    residual, _ = lab.final_fit(d.train, d.test, DAILY, ["load_lag_168"], lab.linear_model, False)
+    state = materialise(lab.fit_state(d.train, series_bounds(d.core, DAILY), DAILY, use_holiday=True), "state")
+    rows = scoring.engineer_with_state(d.test, registry.Bundle(MODEL_NAME, 1, FEATURES, "v3_holiday", state, residual), DAILY)
+    model, path = TrendResidualModel(state=state, residual=residual, keyCols=KEYS), scratch_path(spark, "model")
+    model.save(path)
+    return forecast.compare_forecasts(model.transform(rows), TrendResidualModel.load(path).transform(rows), [*KEYS, scoring.TIME_FIELD],
+                                      "predicted_load_mw", PARITY_TOLERANCE)
+
+
 def _stream_requests(spark, requests: DataFrame) -> DataFrame:
     path = scratch_path(spark, "requests")
     requests.write.json(path)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave.config import CHAMPION, MODEL_NAME, TARGET
+from loadweave.plans.packaged import TrendResidualModel
 from loadweave.sources.sinks import table_exists
 
 REGISTRY = (
@@ -40,8 +41,8 @@ class Bundle:
 
 def register(spark: SparkSession, root: str, state: DataFrame, residual_model: PipelineModel | None,
              features: Sequence[str], family: str, feature_version: str, train_end: str, test_start: str,
-             params: dict | None = None, alias: str | None = None, name: str = MODEL_NAME) -> int:
-    """Save the fitted parts, then append the registry row: a version is visible only when complete.
+             params: dict | None = None, alias: str | None = None, name: str = MODEL_NAME, keys: Sequence[str] = ("series_id",)) -> int:
+    """Save the model with its state, then append the registry row: a version is visible only when complete.
     It takes over ``alias`` if one is given."""
     table = f"{root}/registry"
     version = 1
@@ -49,9 +50,8 @@ def register(spark: SparkSession, root: str, state: DataFrame, residual_model: P
         last = spark.read.parquet(table).where(F.col("model_name") == name).agg(F.max("model_version")).first()[0]
         version = (last or 0) + 1
     path = f"{root}/versions/{name}/{version}"
-    state.write.parquet(f"{path}/state")
-    if residual_model is not None:
-        residual_model.write().save(f"{path}/model")
+    # what a registration that broke off has left is no version
+    TrendResidualModel(state=state, residual=residual_model, keyCols=list(keys)).write().overwrite().save(f"{path}/model")
     row = [(name, version, list(features), TARGET, family, feature_version, str(train_end), str(test_start),
             json.dumps(params or {}), path)]
     spark.createDataFrame(row, REGISTRY).write.mode("append").parquet(table)
@@ -103,7 +103,5 @@ def load_champion(spark: SparkSession, root: str, name: str = MODEL_NAME, alias:
         row = found.where(F.col("model_name") == name).first()
     if row is None:
         raise LookupError(f"no version of {name} under alias {alias}")
-    path = row["path"]
-    model = PipelineModel.load(f"{path}/model") if row["model_family"] != "trend" else None
-    return Bundle(name, row["model_version"], list(row["features"]), row["feature_version"],
-                  spark.read.parquet(f"{path}/state"), model)
+    model = TrendResidualModel.load(f"{row['path']}/model")
+    return Bundle(name, row["model_version"], list(row["features"]), row["feature_version"], model.state, model.residual)

@@ -11,12 +11,10 @@ from loadweave.config import CHAMPION, FEATURES_V3, FIELD_SPECS, RAW_REQUIRED, L
 from loadweave.functions.scalar import require_columns
 from loadweave.functions.timefn import iso_text, parse_utc, years_since
 from loadweave.operators.features import extreme_event_columns, model_input_columns
-from loadweave.operators.forecast import trend_value
+from loadweave.plans.packaged import LINE, TrendResidualModel
 from loadweave.plans.registry import Bundle
 
 TIME_FIELD = "target_timestamp"
-#: The fitted line, carried from the state to the forecast.
-LINE = ("slope", "intercept")
 
 
 def check_fields(features: Sequence[str]) -> None:
@@ -114,14 +112,7 @@ def engineer_with_state(raw: DataFrame, bundle: Bundle, layout: Layout, keep: Se
 
 def predict(df: DataFrame, bundle: Bundle, layout: Layout) -> DataFrame:
     """Trend plus residual; ``df`` carries the keys and the model inputs, and the line if the state was joined before."""
-    scored = df
-    if not set(LINE) <= set(df.columns):
-        scored = df.join(bundle.state.select(*layout.keys, *LINE), list(layout.keys))
-    if bundle.residual_model is None:
-        return scored.withColumn("predicted_load_mw", trend_value()).drop(*LINE)
-    with_residual = bundle.residual_model.transform(scored)
-    return with_residual.withColumn("predicted_load_mw", trend_value() + F.col("residual_pred")).drop(
-        *LINE, "features", "residual_pred")
+    return TrendResidualModel(state=bundle.state, residual=bundle.residual_model, keyCols=list(layout.keys)).transform(df)
 
 
 def respond(scored: DataFrame, bundle: Bundle, keep: Sequence[str] = ()) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 LOG_KEY = ("target_timestamp", "model_version")
-LOG_MONTH = "log_month"
+LOG_MONTH, LOG_PART = "log_month", "log_part"
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -65,14 +66,17 @@ def new_rows(batch: DataFrame, existing: DataFrame | None, key: Sequence[str] =
 
 
 def insert_or_ignore(batch: DataFrame, path: str, key: Sequence[str] = LOG_KEY, arrival: str | None = None,
-                     time_column: str = "target_timestamp") -> None:
+                     time_column: str = "target_timestamp", part: str | None = None, known: Callable[[DataFrame], Column] | None = None) -> None:
     """Append rows with unseen keys; the first arrival of a key wins, in a batch and across batches.
 
     The table is laid out by the month of ``time_column`` (``LOG_MONTH``; null where it is no time), and only the
-    batch's months and time range are looked up: other folders are not opened. Files offer no lock between the
-    lookup and the append: keep one writer per table.
+    batch's months and time range are looked up: other folders are not opened. Inside a month each append has folders
+    of its own. One that is named (``part``) replaces what an attempt of the same name has left and does not look
+    it up, so a batch that broke off or comes twice may be repeated. ``known`` marks rows of the table whose keys the
+    caller has removed from the batch already; they are not looked up. Files offer no lock between the lookup and
+    the append: keep one writer per table.
     """
-    spark = batch.sparkSession
+    spark, name = batch.sparkSession, f"part-{part or uuid.uuid4().hex}"
     dated = batch.withColumn(LOG_MONTH, F.trunc(F.expr(f"try_cast(`{time_column}` as date)"), "month"))
     existing = None
     if table_exists(spark, path):
@@ -83,10 +87,13 @@ def insert_or_ignore(batch: DataFrame, path: str, key: Sequence[str] = LOG_KEY,
         asked = F.lit(False)
         if span["months"]:
             asked = month.isin(span["months"]) & F.col(time_column).between(F.lit(span["first"]).cast(kind), F.lit(span["last"]).cast(kind))
-        existing = spark.read.parquet(path).where(asked | month.isNull() if span["timeless"] else asked)
-    fresh = new_rows(dated, existing, key, arrival)
+        existing = spark.read.parquet(path).where(asked | month.isNull() if span["timeless"] else asked).where(F.col(LOG_PART) != name)
+        if known is not None:
+            existing = existing.where(~known(existing))
+    fresh = new_rows(dated, existing, key, arrival).withColumn(LOG_PART, F.lit(name))
     # few files a month, but a large month in several
-    fresh.hint("rebalance", LOG_MONTH).write.mode("append").partitionBy(LOG_MONTH).parquet(path)
+    (fresh.hint("rebalance", LOG_MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(LOG_MONTH, LOG_PART).parquet(path))
 
 
 def prediction_log_rows(scored: DataFrame, features: Sequence[str], name: str, version: str,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loadweave.config import FEATURES_V3, FIELD_SPECS, HOURLY, PARITY_TOLERANCE, RAW_REQUIRED
 from loadweave.operators import forecast
 from loadweave.operators.features import model_input_columns
+from loadweave.plans.packaged import TrendResidualModel
 from loadweave.plans import experiment as lab, registry, scoring
 from loadweave.session import scratch_path
 from loadweave.sources import readers, sinks
@@ -156,7 +157,7 @@ def test_insert_or_ignore(spark):
     make = lambda *rows: spark.createDataFrame(rows, "target_timestamp string, model_version string, predicted_load_mw double")
     sinks.insert_or_ignore(make(("t1", "1", 10.0), ("t1", "1", 9.0), ("t2", "1", 5.0)), path)
     sinks.insert_or_ignore(make(("t1", "1", 1.0), ("t1", "2", 2.0)), path)
-    got = sorted(tuple(r) for r in spark.read.parquet(path).drop(sinks.LOG_MONTH).collect())
+    got = sorted(tuple(r) for r in spark.read.parquet(path).drop(sinks.LOG_MONTH, sinks.LOG_PART).collect())
     assert got == [("t1", "1", 10.0), ("t1", "2", 2.0), ("t2", "1", 5.0)]
     late = make(("t9", "1", 1.0), ("t9", "1", 2.0)).withColumn("arrived", 5 - F.col("predicted_load_mw"))
     sinks.insert_or_ignore(late, path, arrival="arrived")
@@ -194,6 +195,86 @@ def test_log_distinct_drops_no_late_row(spark):
     assert sorted(r["h"].hour for r in spark.read.parquet(out).collect()) == [0, 3, 11, 20]
 
 
+def test_repeated_append_leaves_one_row(spark):
+    """An attempt that left some of its rows is repeated under its name; a second repeat changes nothing."""
+    path = scratch_path(spark, "log")
+    make = lambda *rows: spark.createDataFrame(rows, "target_timestamp string, model_version string, x int")
+    sinks.insert_or_ignore(make(("2024-01-01", "1", 0)), path)
+    whole = make(("2024-01-01", "1", 9), ("2024-01-02", "1", 1), ("2024-02-01", "1", 2), (None, "1", 3))
+    for attempt in (whole.where("x = 1"), whole, whole):
+        sinks.insert_or_ignore(attempt, path, part="a")
+        sinks.insert_or_ignore(attempt.where("x > 1"), path, part="b")
+    assert sorted(r["x"] for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3]
+
+
+def test_log_distinct_looks_up_only_what_its_state_may_not_know(spark, monkeypatch):
+    source, out, offsets = (scratch_path(spark, n) for n in ("events", "distinct", "offsets"))
+    for part in range(4):
+        spark.range(60).selectExpr(f"(id * 7 + {part} * 13) % 50 as user_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, id % 5) as h").coalesce(
+            1).write.mode("append").parquet(source)
+    want = {tuple(r) for r in spark.read.parquet(source).distinct().collect()}
+    folder, name = source.rsplit("/", 1)
+    looked_up, plain, fail = [], sinks.new_rows, [True]
+
+    def watched(batch, existing, *more):
+        looked_up.append(existing.count() if existing is not None else 0)
+        return plain(batch, existing, *more)
+
+    def broken(*args, **named):  # the second batch is logged, then the driver is lost
+        sinks.insert_or_ignore(*args, **named)
+        if fail[0] and named["part"].endswith("-1"):
+            fail[0] = False
+            raise RuntimeError("lost")
+
+    def run(where, remember):
+        stream = live.read_table(spark, folder, name, files_per_batch=1)
+        live.log_distinct(stream, out, ["user_id", "h"], "h", where, remember).awaitTermination()
+
+    def logged():
+        rows = [tuple(r) for r in spark.read.parquet(out).select("user_id", "h").collect()]
+        assert len(rows) == len(set(rows))
+        return set(rows)
+
+    monkeypatch.setattr(sinks, "new_rows", watched)
+    monkeypatch.setattr(live, "insert_or_ignore", broken)
+    with pytest.raises(Exception, match="lost"):
+        run(offsets, "1 hour")
+    run(offsets, "1 hour")  # the second batch again
+    assert logged() == want and len(looked_up) >= 5 and not any(looked_up)
+    looked_up.clear()
+    run(scratch_path(spark, "offsets"), "1 hour")  # a query that knows nothing of the first
+    assert logged() == want and all(looked_up)
+    again = scratch_path(spark, "distinct")
+    out = again
+    run(scratch_path(spark, "offsets"), "0 seconds")  # the state may forget at once, the table does not
+    assert logged() == want
+
+
+def test_packaged_model(spark, hourly):
+    """The model in a pipeline, alone and without a residual part, before and after it was stored."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml import Pipeline
+    rows = hourly([(s, h, h, 3.0 * h % 7, h / 10) for s in "ab" for h in range(50)], ("residual", "x", "trend_idx"))
+    steps = [VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="residual", predictionCol="residual_pred")]
+    residual = Pipeline(stages=steps).fit(rows)
+    state = spark.createDataFrame([("a", 2.0, 1.0), ("b", -1.0, 0.5)], "series_id string, slope double, intercept double")
+    for part in (residual, None):
+        model = TrendResidualModel(state=state, residual=part, predictionCol="p")
+        want = model.transform(rows)
+        path = scratch_path(spark, "model")
+        model.save(f"{path}/alone")
+        PipelineModel([model]).save(f"{path}/pipe")
+        for back in (TrendResidualModel.load(f"{path}/alone"), PipelineModel.load(f"{path}/pipe")):
+            assert forecast.compare_forecasts(want, back.transform(rows), ["series_id", "timestamp"], "p", 1e-9).first()["matches"]
+        model.write().overwrite().save(f"{path}/alone")
+        with pytest.raises(Exception):
+            model.save(f"{path}/alone")
+    trend = {r["series_id"]: r["p"] for r in want.where("trend_idx = 1").collect()}
+    assert trend == {"a": 3.0, "b": -0.5} and "slope" not in want.columns
+
+
 def test_actuals_meet_predictions_as_both_arrive(spark):
     """Days 1, 2, 3, 90 and 91 are forecast; day 2 has no actual, day 91 has none yet, day 60 no forecast."""
     def land(days, column):
