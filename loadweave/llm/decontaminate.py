@@ -1,17 +1,19 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Texts are words. A block of documents is a shard: the suffixes of its words that could start a benchmark
-window are sorted, every benchmark suffix is found in that order by binary search, and neighbouring
-finds on one diagonal join to the longest verbatim matches. A shard's words outside the benchmark's
-vocabulary end a suffix, as no match can cross them. Shards are searched where they lie: no shuffle.
-
-The benchmark goes to every task, in parts of at most ``PART_BYTES``; each part is a pass over the
-documents, and the passes are joined by document.
+Texts are words. A block of documents is a shard: its suffixes are sorted by prefix doubling, every benchmark
+suffix is looked up in that order by binary search, which gives all places of its window, and where these begin a
+match it is followed to its end: the longest verbatim match there. A shard's words outside the benchmark's vocabulary
+end a suffix, as no match can cross them; stretches shorter than any window are left out. Shards are searched where
+they lie: no shuffle.
+
+The benchmark goes to every task, in parts of at most ``PART_BYTES``, one at a time; each part is a pass over the
+documents, stored, and the passes are joined by document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loadweave.llm.common import HashArray, mix, numbered, slices, small_batches, utf8
+from loadweave.session import materialise
 
 WINDOW = 10
 PART_BYTES = 32 << 20
@@ -65,19 +68,81 @@ def words(column: pa.Array, letter: np.ndarray = LETTER) -> tuple[np.ndarray, np
     return hashes, np.searchsorted(starts, offsets)
 
 
+class SuffixArray:
+    """The suffixes of a shard, ordered by their first ``depth`` words or more. A suffix goes on for ``run`` words,
+    none where that is 0; where it ends comes before any word."""
+
+    def __init__(self, ids: np.ndarray, run: np.ndarray, depth: int):
+        self.ids, self.run = ids, run
+        places = np.flatnonzero(run)
+        order = np.argsort(ids[places], kind="stable")
+        self.at = places[order]
+        rank = np.zeros(len(ids) + 1, np.int64)
+        index = np.arange(len(self.at))
+        rank[self.at] = 1 + np.searchsorted(ids[self.at], ids[self.at])
+        known = 1
+        while known < depth and len(index):
+            # groups that are still alike, with a suffix that goes on
+            ranks = rank[self.at]
+            first = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1]))
+            size = np.diff(np.append(first, len(ranks)))
+            alike = (size > 1) & (np.maximum.reduceat(run[self.at], first) > known)
+            index = np.flatnonzero(np.repeat(alike, size))
+            at, own = self.at[index], ranks[index]
+            then = np.where(run[at] > known, rank[np.minimum(at + known, len(ids))], 0)
+            order = np.lexsort((then, own))
+            at, then = at[order], then[order]
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (then[1:] != then[:-1])
+            self.at[index] = at
+            rank[at] = 1 + index[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+            known *= 2
+
+    def find(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds, in the order, of the suffixes that begin with the ``length`` words of ``text`` at each start."""
+        words = self.ids[self.at]
+        least, most = (np.searchsorted(words, text[starts], side) for side in ("left", "right"))
+        low = self._bound(text, starts, length, least, most, False)
+        return low, self._bound(text, starts, length, low, most, True)
+
+    def _bound(self, text, starts, length, least, most, after: bool) -> np.ndarray:
+        low, high = least.copy(), most.copy()
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            middle = (low[todo] + high[todo]) // 2
+            side = self._compare(self.at[middle], text, starts[todo], length)
+            right = (side < 0) | ((side == 0) & after)
+            low[todo[right]] = middle[right] + 1
+            high[todo[~right]] = middle[~right]
+            todo = todo[low[todo] < high[todo]]
+        return low
+
+    def _compare(self, places: np.ndarray, text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """Whether the suffix at each place comes before (-1) the wanted words, after them (1), or begins with them (0)."""
+        out, todo, run = np.zeros(len(places), np.int64), np.arange(len(places)), self.run[places]
+        for step in range(1, length):  # first words are alike
+            word = np.where(run[todo] > step, self.ids[np.minimum(places[todo] + step, len(self.ids) - 1)], -1)
+            out[todo] = np.sign(word - text[starts[todo] + step])
+            todo = todo[out[todo] == 0]
+            if not len(todo):
+                break
+        return out
+
+
 class Benchmark:
     """The words of a part of the benchmark, and which windows it has."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
         self.names = [i for i, _ in items]
-        hashes, offsets = words(pa.array([t for _, t in items], pa.large_string()))
+        hashes, self.offsets = words(pa.array([t for _, t in items], pa.large_string()))
         keys, self.text = np.unique(hashes, return_inverse=True)
         self.vocabulary = HashArray(keys)
-        size = np.diff(offsets)
+        size = np.diff(self.offsets)
+        self.longest = int(size.max(initial=0))
         self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: starts, items
         for length in np.unique(np.minimum(size[size > 0], WINDOW)):
             own = np.flatnonzero(np.minimum(size, WINDOW) == length)
-            starts = [np.arange(offsets[i], offsets[i + 1] - length + 1) for i in own]
+            starts = [np.arange(self.offsets[i], self.offsets[i + 1] - length + 1) for i in own]
             self.windows[int(length)] = np.concatenate(starts), np.repeat(own, [len(s) for s in starts])
 
     def search(self, column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[dict]]:
@@ -94,62 +159,40 @@ class Benchmark:
         stop = np.where(ids < 0, np.arange(len(ids)), len(ids))
         ends = np.minimum.accumulate(stop[::-1])[::-1]
         run = np.minimum(ends, np.repeat(bounds[1:], n_words)) - np.arange(len(ids))
+        # a stretch of known words begins where the run does not go on from the place before
+        fresh = np.append(True, run[1:] != run[:-1] - 1)
+        whole = run[np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))]
+        suffixes = SuffixArray(ids, np.where(whole >= min(self.windows), run, 0), self.longest)
         covered = np.zeros(len(ids) + 1, np.int64)
         pairs = []
         for length, (starts, items) in self.windows.items():
-            suffix = np.flatnonzero(run >= length)
-            if not len(suffix):
-                continue
-            # ranks of the first words of text and benchmark suffixes together, by doubling
-            places = np.concatenate([suffix[:, None] + np.arange(length), starts[:, None] + np.arange(length)])
-            rank = _ranks(np.concatenate([ids[places[:len(suffix)]], self.text[places[len(suffix):]]]))
-            own, wanted = rank[:len(suffix)], rank[len(suffix):]
-            order = np.argsort(own, kind="stable")  # the suffix array
-            low = np.searchsorted(own[order], wanted, "left")
-            high = np.searchsorted(own[order], wanted, "right")
+            low, high = suffixes.find(self.text, starts, length)
             count = high - low
-            test = np.repeat(np.arange(len(wanted)), count)
-            at = suffix[order[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]]
+            test = np.repeat(np.arange(len(starts)), count)
+            at = suffixes.at[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
             np.add.at(covered, at, 1)
             np.add.at(covered, at + length, -1)
             pairs.append((at, starts[test], items[test], np.full(len(at), length)))
-        if not pairs:
-            return n_words, hits, matches
-        at, start, item, length = map(np.concatenate, zip(*pairs))
-        doc = np.searchsorted(bounds, at, "right") - 1
+        at, start, item, span = map(np.concatenate, zip(*pairs))
         hit = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
-        owner = np.searchsorted(bounds, hit, "right") - 1
-        for d in np.unique(owner):
-            hits[d] = hit[owner == d] - bounds[d]
-        order = np.lexsort((at, at - start, item, doc))
-        at, start, item, length, doc = at[order], start[order], item[order], length[order], doc[order]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(at - start) != 0) | (np.diff(at) != 1)
-        first = np.flatnonzero(fresh)
-        span = np.diff(np.append(first, len(at))) + length[first] - 1
-        base = np.searchsorted(self._item_starts(), start[first], "right") - 1
-        for d, i, s, a, w, b in zip(doc[first], item[first], start[first], at[first], span, base):
-            if w > matches[d].get(i, (0, 0, 0))[2]:
-                matches[d][i] = (int(s - self._item_starts()[b]), int(a - bounds[d]), int(w))
+        edges = np.searchsorted(hit, bounds)
+        for d in np.flatnonzero(np.diff(edges)):
+            hits[d] = hit[edges[d]:edges[d + 1]] - bounds[d]
+        # places that a match begins at: the words before differ, or item or text begin there
+        doc = np.searchsorted(bounds, at, "right") - 1
+        begins = (at == bounds[doc]) | (start == self.offsets[item]) | (ids[at - 1] != self.text[start - 1])
+        at, start, item, span, doc = (x[begins] for x in (at, start, item, span, doc))
+        todo = np.arange(len(at))
+        most = np.minimum(run[at], self.offsets[item + 1] - start)
+        while len(todo := todo[span[todo] < most[todo]]):
+            todo = todo[ids[at[todo] + span[todo]] == self.text[start[todo] + span[todo]]]
+            span[todo] += 1
+        order = np.lexsort((at, start, -span, item, doc))  # of an item's matches the longest comes first
+        own, of = doc[order], item[order]
+        for i in order[np.append(True, (own[1:] != own[:-1]) | (of[1:] != of[:-1]))[:len(order)]]:
+            matches[doc[i]][item[i]] = (int(start[i] - self.offsets[item[i]]), int(at[i] - bounds[doc[i]]), int(span[i]))
         return n_words, hits, matches
 
-    def _item_starts(self) -> np.ndarray:
-        if not hasattr(self, "_starts"):
-            self._starts = np.unique(np.concatenate([s[np.unique(i, return_index=True)[1]] for s, i in self.windows.values()]))
-        return self._starts
-
-
-def _ranks(rows: np.ndarray) -> np.ndarray:
-    """The rank of each row of word numbers among all rows, by the order of their words; equal rows have
-    one rank. Ranks of neighbouring runs are paired and ranked again, so runs double in length."""
-    ranks = [rows[:, i] for i in range(rows.shape[1])]
-    while len(ranks) > 1:
-        paired = []
-        for left, right in zip(ranks[::2], ranks[1::2]):
-            paired.append(np.unique(left * (int(right.max()) + 1) + right, return_inverse=True)[1])
-        ranks = paired + ranks[len(ranks) - len(ranks) % 2:]
-    return ranks[0]
-
 
 FOUND = ("n_words long, hit array<int>, items array<{item}>, "
          "matches array<struct<item:{item},item_word:int,doc_word:int,n_words:int>>")
@@ -182,12 +225,11 @@ def search(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     rows = numbered(rows, "row", "numbered") if len(parts) > 1 else rows.withColumn("row", F.lit(0).cast("long"))
     schema = f"row long, id {kinds[key]}, " + FOUND.format(item=kinds[item])
     kind = to_arrow_type(benchmark.schema[item].dataType)
-    passes = [_search_part(rows, _gather(part), schema, kind) for part in parts]
-    if len(passes) == 1:
-        return passes[0].drop("row").withColumnRenamed("id", key)
-    union = passes[0]
-    for more in passes[1:]:
-        union = union.unionByName(more)
+    if len(parts) == 1:
+        return _search_part(rows, _gather(parts[0]), schema, kind).drop("row").withColumnRenamed("id", key)
+    # one part at a time on the driver and in the tasks
+    passes = [materialise(_search_part(rows, _gather(part), schema, kind), "part") for part in parts]
+    union = reduce(DataFrame.unionByName, passes)
     return (union.groupBy("row").agg(
         F.first("id").alias(key), F.first("n_words").alias("n_words"),
         *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("hit", "items")),

@@ -183,6 +183,35 @@ def brute_contamination(texts, items, window=10):
         yield doc, len(w), sorted(hit), sorted(found)
 
 
+def longest_common(a, b):
+    """Words of the longest run that two lists share."""
+    best, ending = 0, [0] * (len(b) + 1)
+    for x in a:
+        ending = [0] + [ending[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, max(ending))
+    return best
+
+
+@pytest.mark.parametrize("depth", [1, 3, 1000])
+def test_suffix_array(depth):
+    r = np.random.default_rng(depth)
+    for n, kinds in ((0, 2), (1, 1), (300, 2), (400, 9)):
+        ids = r.integers(-1, kinds, n)
+        ids[n // 3:n // 2] = 0  # a long repeat
+        run = np.zeros(n, int)
+        for i in range(n - 1, -1, -1):
+            run[i] = 0 if ids[i] < 0 else 1 + (run[i + 1] if i + 1 < n else 0)
+        suffixes = decontaminate.SuffixArray(ids, run, depth)
+        texts = [tuple(ids[i:i + run[i]][:depth]) for i in suffixes.at]
+        assert texts == sorted(tuple(ids[i:i + run[i]][:depth]) for i in range(n) if run[i])
+        wanted = r.integers(0, kinds, 50)
+        for length in {1, min(2, depth), min(5, depth)}:
+            starts = np.arange(50 - length)
+            low, high = suffixes.find(wanted, starts, length)
+            for s, a, b in zip(starts, low, high):
+                assert sorted(suffixes.at[a:b]) == [i for i in range(n) if run[i] >= length and (ids[i:i + length] == wanted[s:s + length]).all()]
+
+
 def planted(seed=4, n=300):
     r = random.Random(seed)
     vocabulary = ["ab", "cd", "ef", "gh", "Éa", "x1", "Z", "the", "q9"]
@@ -215,6 +244,8 @@ def test_decontamination_against_brute_force(spark, docs, part_bytes):
             a, b = word_list(dict(items)[m["item"]]), word_list(dict(texts)[r["doc_id"]])
             same = a[m["item_word"]:m["item_word"] + m["n_words"]]
             assert len(same) == m["n_words"] and same == b[m["doc_word"]:m["doc_word"] + m["n_words"]]
+            assert m["n_words"] == longest_common(a, b)
+        assert sorted(m["item"] for m in r["matches"]) == found
     clean = decontaminate.keep_clean(docs(texts), bench, part_bytes=part_bytes)
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, w in want.items() if not w[1])
     assert clean.columns == docs([]).columns
