@@ -1,7 +1,7 @@
 """Exact top-k by inner product, pruned by norms and by rotated partial sums.
 
 Candidates are dealt into chunks by descending length. Their longest chunk gives each query a first bound:
-its k-th best score there. A chunk whose longest vector times the query's length stays below the bound
+its k-th best score there, and the id up to which equal scores still count. A chunk whose longest vector times the query's length stays below the bound
 can't hold a better one, so a query block meets only the chunks that are long enough. Inside a chunk,
 vectors and queries are rotated to the axes of the candidates' second moments (an SVD of the d x d matrix
 that one aggregation sums up), the first axes give a partial score, and what the rest can add is at most
@@ -26,6 +26,7 @@ from loadweave.session import materialise
 CHUNK, BLOCK, STEP = 8192, 2048, 1024
 #: Rounding of the rotated sums stays far below this share of the product of the lengths.
 SLACK = 1e-9
+ANY_ID = np.iinfo(np.int64).max
 PACKED = "part int, number int, n int, longest double, ids binary, vectors binary"
 
 
@@ -94,15 +95,21 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def search_chunk(queries: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
+def _tie(bound: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The largest id with which a score that equals the bound still counts; any, where a double may hold unlike scores."""
+    return np.where(np.abs(bound) < 2.0**53, ids, ANY_ID)
+
+
+def search_chunk(queries: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, tie: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
                  turn: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each query's k best of a chunk (longest first) that reach its bound; fewer if fewer do."""
+    """Each query's k best of a chunk (longest first) that come before its bound, or reach it with an id up to
+    ``tie``; fewer if fewer do."""
     turned_q, turned_v = queries.astype(float) @ turn, vectors.astype(float) @ turn
     lead = max(1, turn.shape[0] // 4)
     norm_q, norm_v = _norms(queries), _norms(vectors)
     rest_q = np.sqrt((turned_q[:, lead:] ** 2).sum(1))
     rest_v = np.sqrt((turned_v[:, lead:] ** 2).sum(1))
-    bound = bound.copy()
+    bound, tie = bound.copy(), tie.copy()
     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries]
     for start in range(0, len(vectors), STEP):
         some = slice(start, start + STEP)
@@ -116,12 +123,15 @@ def search_chunk(queries: np.ndarray, query_ids: np.ndarray, bound: np.ndarray,
         if not len(wanted):
             continue
         scores = _scores(queries[live], vectors[some][wanted])
-        reach = open_pairs[:, wanted] & (scores >= bound[live, None]) & (ids[some][wanted] != query_ids[live, None])
+        own, least = ids[some][wanted], bound[live, None]
+        reach = open_pairs[:, wanted] & ((scores > least) | ((scores == least) & (own <= tie[live, None]))) & (own != query_ids[live, None])
         for row in np.flatnonzero(reach.any(1)):
             q, found = live[row], np.flatnonzero(reach[row])
             best[q] = _best(np.append(best[q][0], ids[some][wanted[found]]), np.append(best[q][1], scores[row, found]), k)
+            # all that were admitted come before the bound, so the k-th of them is a better one
             if len(best[q][0]) == k:
-                bound[q] = max(bound[q], best[q][1][-1])
+                bound[q] = best[q][1][-1]
+                tie[q] = _tie(bound[q], best[q][0][-1])
     return best
 
 
@@ -163,50 +173,61 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, key: str = "ve
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             vectors = _matrix(batch.column("vector"), width)
             none = np.full(len(ids), -np.inf)
-            best = search_chunk(vectors, ids, none, lead, lead_ids, turn, k)
+            best = search_chunk(vectors, ids, none, np.full(len(ids), ANY_ID), lead, lead_ids, turn, k)
             bound = np.array([s[-1] if len(s) == k else -np.inf for _, s in best], float)
+            tie = _tie(bound, np.array([i[-1] if len(i) == k else ANY_ID for i, _ in best], np.int64))
             norm = _norms(vectors)
             need = np.where(bound > 0, bound / np.where(norm > 0, norm, 1), 0.0) * (1 - 1e-9)
-            yield pa.record_batch({"id": ids, "vector": batch.column("vector"), "bound": bound, "need": need})
+            yield pa.record_batch({"id": ids, "vector": batch.column("vector"), "bound": bound, "tie": tie, "need": need})
 
     once = asked.groupBy("id").agg(F.max("vector").alias("vector"))
-    bounded = materialise(once.mapInArrow(bounds, "id long, vector array<long>, bound double, need double"), "queries")
+    bounded = materialise(once.mapInArrow(bounds, "id long, vector array<long>, bound double, tie long, need double"), "queries")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 some = batch.slice(at, block)
-                part = {c: some.column(c).to_numpy(zero_copy_only=False) for c in ("id", "bound", "need")}
+                part = {c: some.column(c).to_numpy(zero_copy_only=False) for c in ("id", "bound", "tie", "need")}
                 yield pa.record_batch({
                     "need": pa.array([part["need"].min()]), "n_queries": pa.array([some.num_rows], pa.int32()),
                     "query_ids": pa.array([part["id"].astype("<i8").tobytes()], pa.binary()),
                     "bounds": pa.array([part["bound"].tobytes()], pa.binary()),
+                    "ties": pa.array([part["tie"].astype("<i8").tobytes()], pa.binary()),
                     "queries": pa.array([_matrix(some.column("vector"), width).astype("<i8").tobytes()], pa.binary())})
 
     # queries that need equally long candidates share a block
     grouped = bounded.repartitionByRange("need", "id").sortWithinPartitions("need", "id")
-    packed = materialise(grouped.mapInArrow(blocks, "need double, n_queries int, query_ids binary, bounds binary, queries binary")
+    packed = materialise(grouped.mapInArrow(blocks, "need double, n_queries int, query_ids binary, bounds binary, ties binary, queries binary")
                          .withColumn("block", F.monotonically_increasing_id()), "query-blocks")
-    numbered = [r["block"] for r in packed.select("block").collect()]  # one number per BLOCK queries
-    if not numbered:
+    needs = packed.select("need", "block").orderBy("need").toArrow()  # two numbers per BLOCK queries
+    if not needs.num_rows:
         return spark.createDataFrame([], out)
-    pairs = (chunks.select("part", "number", "longest", F.explode(F.array(*map(F.lit, numbered))).alias("block"))
-             .join(packed.select("block", "need"), "block").where("longest >= need").select("part", "number", "block"))
+    ordered = spark.sparkContext.broadcast((needs["need"].to_numpy(), needs["block"].to_numpy()))
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks that need no longer candidates than a chunk has: the first of them by need."""
+        need, block = ordered.value
+        for batch in batches:
+            for part, number, most in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "longest"))):
+                own = block[:np.searchsorted(need, most, "right")]
+                yield pa.record_batch({"part": np.full(len(own), part, np.int32), "number": np.full(len(own), number, np.int32), "block": own})
+
+    pairs = chunks.select("part", "number", "longest").mapInArrow(meetings, "part int, number int, block long")
     met = pairs.join(chunks.select("part", "number", "n", "ids", "vectors"), ["part", "number"]).join(packed.drop("need"), "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = start.value[2]
         for batch in batches:
             for i in range(batch.num_rows):
-                n, ids, vectors, n_queries, query_ids, bound, queries = (
-                    batch.column(c)[i].as_py() for c in ("n", "ids", "vectors", "n_queries", "query_ids", "bounds", "queries"))
+                n, ids, vectors, n_queries, query_ids, bound, tie, queries = (
+                    batch.column(c)[i].as_py() for c in ("n", "ids", "vectors", "n_queries", "query_ids", "bounds", "ties", "queries"))
                 query_ids = np.frombuffer(query_ids, "<i8")
-                best = search_chunk(np.frombuffer(queries, "<i8").reshape(n_queries, width), query_ids, np.frombuffer(bound),
+                best = search_chunk(np.frombuffer(queries, "<i8").reshape(n_queries, width), query_ids, np.frombuffer(bound), np.frombuffer(tie, "<i8"),
                                     np.frombuffer(vectors, "<i8").reshape(n, width), np.frombuffer(ids, "<i8"), turn, k)
                 yield pa.record_batch({"query_id": np.repeat(query_ids, [len(b[0]) for b in best]),
                                        "id": np.concatenate([b[0] for b in best]), "score": np.concatenate([b[1] for b in best])})
 
-    found = (met.select("n", "ids", "vectors", "n_queries", "query_ids", "bounds", "queries").transform(few_rows)
+    found = (met.select("n", "ids", "vectors", "n_queries", "query_ids", "bounds", "ties", "queries").transform(few_rows)
              .mapInArrow(run, "query_id long, id long, score long"))
     # ranks are cut before the shuffle, too, so a query sends k rows from a task
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))

@@ -42,6 +42,20 @@ def test_top_k_against_brute_force(spark):
     assert top_k.top_k(df.limit(3), df.limit(3), k=9).count() == 6
 
 
+def test_ties_beyond_the_bound_are_not_kept():
+    """Of many candidates alike, a chunk gives back those that could still come before the k-th known."""
+    one = np.ones((500, 3), np.int64)
+    ids, turn = np.arange(500), np.eye(3)
+    ask = one[:2], np.array([-1, 3]), np.array([3.0, 3.0])
+    first, second = top_k.search_chunk(*ask, np.array([4, 600]), one, ids, turn, 20)
+    assert first[0].tolist() == [0, 1, 2, 3, 4] and second[0].tolist() == [i for i in range(21) if i != 3]
+    far = top_k.search_chunk(*ask, np.array([4, top_k.ANY_ID]), one, ids + 1000, turn, 20)
+    assert [len(i) for i, _ in far] == [0, 20]
+    huge = top_k.search_chunk(one[:1] << 30, np.array([-1]), np.array([3.0 * 2**60]), top_k._tie(np.array([3.0 * 2**60]), np.array([0])),
+                              one << 30, ids, turn, 20)
+    assert len(huge[0][0]) == 20  # doubles cannot tell such scores apart
+
+
 # --- language model --------------------------------------------------------------------------------------------
 
 TEXTS = ["the cat sat on the mat", "the dog sat on the log", "The CAT\tran", "a b a b a b a b", "", None, "the the the the"] * 5
