@@ -1,6 +1,6 @@
 """Exact top-k by inner product, pruned by norms and by rotated partial sums.
 
-Candidates are dealt into chunks by descending length. Their longest chunk gives each query a first bound:
+Candidates are dealt into chunks by descending length. The longest, as many as a chunk takes, give each query a first bound:
 its k-th best score there, and the id up to which equal scores still count. A chunk whose longest vector times the query's length stays below the bound
 can't hold a better one, so a query block meets only the chunks that are long enough. Inside a chunk,
 vectors and queries are rotated to the axes of the candidates' second moments (an SVD of the d x d matrix
@@ -161,10 +161,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, key: str = "ve
     moments = np.zeros(width * width)
     moments[sums["at"].to_numpy()] = sums["value"].to_numpy()
     turn = np.linalg.svd(moments.reshape(width, width))[0]
-    first = chunks.orderBy(F.desc("longest"), "part", "number").select("n", "ids", "vectors").first()
-    lead_ids, lead = (np.frombuffer(first[c], "<i8") for c in ("ids", "vectors")) if first else (np.zeros(0, np.int64),) * 2
+    # the longest vectors: chunks are short where the table is cut into many parts, so as many as make up a full one
+    by_length = chunks.orderBy(F.desc("longest"), "part", "number")
+    sizes = [r["n"] for r in by_length.select("longest", "part", "number", "n").limit(chunk).collect()]
+    enough = int(np.searchsorted(np.cumsum(sizes), chunk)) + 1
+    first = by_length.limit(enough).select("ids", "vectors").collect()  # fewer than two full chunks
+    lead_ids, lead = (np.frombuffer(b"".join(r[c] for r in first), "<i8") for c in ("ids", "vectors"))
     lead = lead.reshape(-1, width)
-    start = spark.sparkContext.broadcast((lead_ids, lead, turn))  # one chunk and a d x d matrix
+    start = spark.sparkContext.broadcast((lead_ids, lead, turn))  # these and a d x d matrix
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds to each query its bound, and the shortest candidate that could still matter."""
