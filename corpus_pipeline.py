@@ -28,10 +28,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies: five-word shingles, Jaccard 0.8 or more.
+    """The document of the smallest id of each group of near copies: SimHash fingerprints of three-word shingles that
+    differ in at most two bits, as op7 links them, or five-word shingles of Jaccard similarity 0.8 or more.
 
-    A 64-bit fingerprint cannot tell such pairs from others (they differ in 5 to 11 bits), so the sets are compared."""
-    return near_copies.keep_first(docs)
+    Most pairs that similar differ in 5 to 11 bits of a 64-bit fingerprint, so the sets are compared as well."""
+    return near_copies.keep_first(docs, distance=2)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

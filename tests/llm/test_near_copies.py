@@ -61,6 +61,52 @@ def test_stage_drops_near_copies(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_stage_drops_what_fingerprints_link(spark, docs):
+    # a repeated phrase decides the fingerprint; of five-word shingles the sets share well under 0.8
+    phrase = "one two three four five six seven eight nine ten eleven " * 200
+    texts = [(5, phrase + "red green blue white black"), (2, phrase + "cat dog cow hen pig"), (9, "a text of its own"),
+             (None, phrase + "cat dog cow hen pig"), (2, phrase + "oak elm ash fir yew"), (2, "another row of a repeated id")]
+    prints = {simhash._fingerprints([t], 3)[0] for _, t in texts if t.startswith(phrase)}
+    assert max((a ^ b).bit_count() for a in map(int, prints) for b in map(int, prints)) <= 2
+    assert near_copies.keep_first(docs(texts)).count() == 5
+    kept = corpus_pipeline.without_near_copies(spark, docs(texts), "").select("doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["text"].startswith(phrase)) for r in kept) == [(2, False), (2, True), (9, False)]
+
+
+def test_chains_of_both_kinds_of_links(spark, docs):
+    # 1 and 2 by fingerprint alone, 2 and 3 by similarity alone: one group
+    words = [f"w{i}" for i in range(200)]
+    tail = "x1 x2 x3 x4 x5 " * 2000
+    first, second = tail + " ".join(words[:100]), tail + " ".join(words[100:])
+    third = " ".join(["x1 x2 x3 x4 x5"] * 2 + words[100:])
+    texts = [(1, first), (2, second), (3, third)]
+    fp = [int(f) for f in simhash._fingerprints([t for _, t in texts], 3)]
+    assert (fp[0] ^ fp[1]).bit_count() <= 2 < (fp[1] ^ fp[2]).bit_count() and brute(texts) == [0, 1]
+    assert [r["doc_id"] for r in near_copies.keep_first(docs(texts), distance=2).collect()] == [1]
+
+
+def test_groups_just_short_of_the_similarity_make_few_pairs(spark, docs, monkeypatch):
+    """Copies of one text, each with words of its own: shingles met once fill the prefixes and no pair is made. By the
+    counts of a small sample all prefixes held shared shingles, and pairs grew with the square of the group."""
+    r, texts = random.Random(3), []
+    base = [f"w{i}" for i in range(300)]
+    for d in range(60):
+        own = list(base)
+        for at in r.sample(range(300), 12):
+            own[at] = f"own{d}-{at}"
+        texts.append((d, " ".join(own)))
+    pairs, real = [], near_copies._similar
+
+    def counted(found, *args):
+        pairs.append(found.count())
+        return real(found, *args)
+
+    monkeypatch.setattr(near_copies, "_similar", counted)
+    kept = near_copies.keep_first(docs(texts), sample=4)
+    assert sorted(x["doc_id"] for x in kept.collect()) == brute(texts)
+    assert sum(pairs) < len(texts)
+
+
 def test_near_copies_are_rows(spark, docs, odd_texts):
     texts = [(1, "copied text of some six words"), (2, "copied text of some six words"), (2, "another text that is only here"),
              (3, "one id on two equal rows"), (3, "one id on two equal rows"), (None, "no id here at all, twice"), (None, "no id here at all, twice")]
