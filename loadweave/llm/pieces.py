@@ -7,10 +7,17 @@ import re
 import sys
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
 
+#: The pattern that ``Splitter.cut_latin`` follows; texts of other tokenizers are matched one by one.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE, LETTER, DIGIT, SIGN = range(4)
+
+
 def _unassigned() -> str:
     """Ranges of code points this Python knows no letter class for, as a pattern's class."""
     points = [p for p in range(sys.maxunicode + 1) if unicodedata.category(chr(p)) == "Cn"]
@@ -40,6 +47,11 @@ class Splitter:
         for kind, letters in latin.items():
             plain = plain.replace(rf"\p{{{kind}}}", letters)
         self.find_latin = re.compile(plain).findall
+        self.by_kind = split["pattern"]["Regex"] == WORDS
+        every = [chr(i) for i in range(256)]
+        self.lower = "".join(map(str.lower, every)).encode("latin-1")
+        self.kinds = np.array([SPACE if re.match(r"[\t-\r \x85\xa0]", c) else LETTER if unicodedata.category(c)[0] == "L" else
+                               DIGIT if unicodedata.category(c)[0] == "N" else SIGN for c in every], np.uint8)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.mark = next(iter(self.special), "\0")[:2]
         # Unicode versions differ on letters added of late: such texts are cut by the library itself.
@@ -59,6 +71,37 @@ class Splitter:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.find(text.lower())
 
+    def latin(self, text: str) -> bytes | None:
+        """The text in Latin-1 if ``cut_latin`` can cut it: no other letters, no special tokens."""
+        if not self.by_kind or (self.cut is not None and self.mark in text):
+            return None
+        try:
+            return text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+
+    def cut_latin(self, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+        """(number of pieces of each text, the pieces of all in a row, in Latin-1): a piece starts where the kind of sign
+        changes and at each digit. An apostrophe behind another kind takes a short ending with it."""
+        raw = np.frombuffer(b" ".join(texts).translate(self.lower), np.uint8)
+        kind = self.kinds[raw]
+        before = np.concatenate([np.zeros(1, np.uint8), kind])[:-1]
+        start = (kind != before) | (kind == DIGIT)
+        at = np.flatnonzero((raw == ord("'")) & (before != SIGN))
+        ahead = np.concatenate([raw, np.full(2, ord(" "), np.uint8)])
+        one, two = ahead[at + 1], ahead[at + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = np.isin(one, np.frombuffer(b"rv", np.uint8)) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        start[at[short | long] + 1] = False
+        ends = np.concatenate([at[short] + 2, at[long] + 3])
+        start[ends[ends < len(raw)]] = True
+        shown = kind != SPACE
+        starts = np.flatnonzero(start & shown)
+        offsets = np.append(np.cumsum(shown)[starts] - 1, shown.sum()).astype(np.int32)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return np.diff(np.searchsorted(starts, bounds)), pa.Array.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[shown])])
+
     def pieces(self, text: str) -> list[str | int]:
         """Pieces in order; a special token in the text is its id."""
         if self.cut is None or self.mark not in text:

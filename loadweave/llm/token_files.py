@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -144,7 +144,8 @@ class Encoder:
 
     def _merge(self, pieces: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each piece, their ids in a row)."""
-        words = ["" if isinstance(p, int) else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        words = ["" if isinstance(p, int) else p if p.isascii() and p.isprintable() else
+                 p.encode().decode("latin-1").translate(self.letters) for p in pieces]
         found = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
         sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
         special = np.flatnonzero([isinstance(p, int) for p in pieces])
@@ -153,13 +154,9 @@ class Encoder:
         sizes[special] = 1
         return sizes, ids
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each whole text, the ids of all in a row). A null text is empty."""
-        if len(self.known.bounds) > KEPT or len(self.known.ids) > 8 * KEPT:
-            self.known, self.older = Generation(), self.known
-        cut = [self.split.pieces(t) if t else [] for t in texts]
-        counts = np.array([len(c) for c in cut], np.int64)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+    def _numbers(self, pieces: Iterable[str | int], n: int) -> np.ndarray:
+        """The numbers of n pieces in ``known``."""
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, n)
         new = self.known.new
         if new:
             before = np.fromiter((self.older.get(p, -1) for p in new), np.int64, len(new))
@@ -170,6 +167,26 @@ class Encoder:
             place = np.empty(len(new), np.int64)
             place[np.concatenate([met, unmet])] = np.arange(len(new))
             self.known.fill(*mixed.take(place))
+        return at
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each whole text, the ids of all in a row). A null text is empty."""
+        if len(self.known.bounds) > KEPT or len(self.known.ids) > 8 * KEPT:
+            self.known, self.older = Generation(), self.known
+        raw = [self.split.latin(t or "") for t in texts]
+        latin = np.array([r is not None for r in raw], bool)
+        # Latin-1 texts are cut at once, and each distinct piece looked up once; others are cut one by one
+        own, pieces = self.split.cut_latin([r for r in raw if r is not None])
+        coded = pieces.dictionary_encode()
+        _, ends, body = coded.dictionary.buffers()
+        ends, whole = np.frombuffer(ends, np.int32)[:len(coded.dictionary) + 1].tolist(), str(body or b"", "latin-1")
+        distinct = [whole[a:b] for a, b in zip(ends, ends[1:])]
+        cut = [self.split.pieces(t) for t, r in zip(texts, raw) if r is None]
+        counts = np.empty(len(texts), np.int64)
+        counts[latin], counts[~latin] = own, [len(c) for c in cut]
+        found = self._numbers(chain(distinct, *cut), len(distinct) + int(counts[~latin].sum()))
+        at, of_latin = np.empty(int(counts.sum()), np.int64), np.repeat(latin, counts)
+        at[of_latin], at[~of_latin] = found[coded.indices.to_numpy()], found[len(distinct):]
         sizes, ids = self.known.take(at)
         return np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]), ids
 

@@ -316,6 +316,27 @@ def test_token_files_query(spark, sf, library):
     assert rows(queries.QUERIES["op10_token_files"](spark, sf)) == sorted(brute_ids(texts, library), key=str)
 
 
+def test_latin_texts_are_cut_at_once(library, monkeypatch):
+    """Equal to the library on random signs; no text of Latin-1 is cut by itself, no piece of a call is asked for twice."""
+    r, encoder = random.Random(4), token_files.Encoder(PATH)
+    signs = ["a", "B", "é", "É", "ß", "'s", "'", "'ll", "'VE", "r", "re", "v", "m", "l", "12", "½", "  ", "\n", "\t", "\x0b", "\x1c",
+             "\x85", "\xa0", "-", "--", "\x00", "\x7f", "ª", "²", "µ", "<", "|", "word", "don't", "x" * 70]
+    latin = ["".join(r.choices(signs, k=r.randint(0, 12))) for _ in range(3000)]
+    latin = [t.replace("|", "") for t in latin]
+    wide = signs + ["Σ", "İ", "\u0301", "中文", "\u2009", "\u212a", "<|endoftext|>", "\U0001f600"]
+    mixed = ["".join(r.choices(wide, k=r.randint(0, 12))) for _ in range(3000)]
+    for texts in (mixed, latin, [], [None, ""]):
+        sizes, ids = encoder.encode(texts)
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    asked, real = [], token_files.Generation.__missing__
+    monkeypatch.setattr(token_files.Generation, "__missing__", lambda self, p: asked.append(p) or real(self, p))
+    monkeypatch.setattr(encoder.split, "pieces", lambda text: 1 / 0)
+    encoder.known = encoder.older = token_files.Generation()
+    encoder.encode(latin)
+    assert len(asked) == len(set(asked)) > 0
+
+
 def test_token_files_of_odd_texts(spark, docs, odd_texts, library, tmp_path, monkeypatch):
     for texts in (odd_texts, []):
         folder = str(tmp_path / f"ids-{len(texts)}")
