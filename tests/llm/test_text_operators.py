@@ -332,7 +332,7 @@ def test_latin_texts_are_cut_at_once(library, monkeypatch):
     asked, real = [], token_files.Generation.__missing__
     monkeypatch.setattr(token_files.Generation, "__missing__", lambda self, p: asked.append(p) or real(self, p))
     monkeypatch.setattr(encoder.split, "pieces", lambda text: 1 / 0)
-    encoder.known = encoder.older = token_files.Generation()
+    encoder.known, encoder.older = token_files.Generation(), token_files.Generation()
     encoder.encode(latin)
     assert len(asked) == len(set(asked)) > 0
 
