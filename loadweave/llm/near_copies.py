@@ -8,12 +8,15 @@ Where a shared shingle stands in both sets bounds what they share; a pair must p
 
 Pairs within a bucket of one shingle grow with its square, so each member is first compared with the
 bucket's least only. Buckets whose members are then in one component need nothing more; of the others,
-pairs across components are compared, each verified on the whole sets. Equal sets are one member. Links of
-SimHash fingerprints can be added; they count like similar pairs.
+pairs across components are compared, each verified on the whole sets. They meet by the lengths that the
+shingle's place in each set allows the other, in bands: crowds of texts that all differ by too many shingles
+of their own are told apart before they are paired. Equal sets are one member. Links of SimHash
+fingerprints can be added; they count like similar pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadweave.llm.common import slices, small_batches, tidy
@@ -34,6 +37,8 @@ PARTS = 256
 SAMPLE, DEAL = 4096, 1 << 20
 #: About the bytes of text whose shingles are counted by one task.
 PART_BYTES = 8 << 20
+#: Bands of length, in equal ratios, from a set to the longest that may be similar to it.
+BANDS = 4
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -196,6 +201,36 @@ def _same_print(rows: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
     return own.join(least, "component_id").where("a < member").select("a", F.col("member").alias("b")).distinct()
 
 
+def _longest(similarity: float) -> Column:
+    """The longest set that one of n members may be similar to, if their first shared shingle stands after ``at`` of
+    them: neither has more to share than the rest of it."""
+    return F.floor((F.col("n") - F.col("at")) * (1 + similarity) / similarity - F.col("n") + 1e-4)
+
+
+def _across(placed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): members of two components that a shingle in the prefixes of both may make similar.
+
+    The shorter set meets the bands of length from its own up to ``most``, the longer those from ``similarity`` times its
+    own up to the lesser of its own and ``most``; sets meet by shingle and the bands of both lengths. So sets whose
+    rest rules each other out do not meet, however many share the shingle."""
+    width = max(-math.log(similarity) / BANDS, 0.01)
+    band = lambda length: F.floor(F.log(length) / width)
+    n, most, shortest = F.col("n"), F.col("most"), F.greatest(F.ceil(similarity * F.col("n") - 1e-4), F.lit(1))
+
+    def pieces(rows: DataFrame, low: Column, high: Column, side: str) -> DataFrame:
+        own = (rows.select("shingle", "root", "member", "n", "most", low.alias("low"), high.alias("high"))
+               .groupBy("shingle", "low", "high", "root", F.pmod(F.xxhash64("member"), F.lit(16)).alias("piece"))
+               .agg(F.collect_list(F.struct("member", "n", "most")).alias("own"), F.min("n").alias("n"), F.max("most").alias("most")))
+        return own.select("shingle", "low", "high", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "own", "n", "most")))
+
+    short = pieces(placed.where(most >= n), band(n), F.explode(F.sequence(band(n), band(most))), "a")
+    long = pieces(placed.where(most >= shortest), F.explode(F.sequence(band(shortest), band(F.least(n, most)))), band(n), "b")
+    met = short.join(long, ["shingle", "low", "high"]).where("root_a <> root_b and n_b <= most_a and n_a <= most_b")
+    return (met.select(F.explode("own_a").alias("x"), "own_b").select("x", F.explode("own_b").alias("y"))
+            .where("x.n <= y.n and y.n <= x.most and x.n <= y.most")
+            .select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct())
+
+
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
                sample: int = SAMPLE, distance: int | None = None) -> DataFrame:
     """One row, that of the smallest id, of each group that a chain of links connects: pairs of ``similarity`` and,
@@ -223,18 +258,12 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", word
         links = links.unionByName(_same_print(rows, prints, distance))
     links = materialise(links, "links")
 
-    # what the stars leave apart: pairs of a bucket across components
-    placed = (shared.select("shingle", "member", "n", "at").join(_roots(links), "member", "left")
+    # what the stars leave apart: pairs of a bucket across components, of bands of length that its shingle allows
+    placed = (shared.select("shingle", "member", "n", _longest(similarity).alias("most")).join(_roots(links), "member", "left")
               .withColumn("root", F.coalesce("root", "member")).repartition("shingle"))
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
-    pieces = materialise(placed.join(mixed, "shingle").groupBy("shingle", "root", F.pmod(F.xxhash64("member"), F.lit(16)).alias("piece"))
-                         .agg(F.collect_list(F.struct("member", "n", F.expr("n - at").alias("rest"))).alias("own")), "pieces")
-    left, right = (pieces.select("shingle", F.col("root").alias(f"root_{s}"), F.col("own").alias(f"own_{s}")) for s in "ab")
-    # at the first shingle that two sets share, neither has more of them to come than its rest
-    enough = F.least("x.rest", "y.rest") * (1 + similarity) >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
-    across = (left.join(right, "shingle").where("root_a < root_b").select(F.explode("own_a").alias("x"), "own_b")
-              .select("x", F.explode("own_b").alias("y")).where(enough)
-              .select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct())
+    mixed = (placed.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max(F.col("most") >= F.col("n")).alias("some"))
+             .where("x < y and some").select("shingle"))
+    across = _across(materialise(placed.join(mixed, "shingle"), "mixed"), similarity)
     apart = materialise(across.join(starred, ["a", "b"], "left_anti"), "across")
     roots = _roots(links.unionByName(_similar(apart, rows, firsts, words, similarity)))
 
